@@ -57,7 +57,9 @@ def hot_keys(rows: DataFrame, on: Sequence[str]) -> DataFrame:
             F.count(F.lit(1)).alias("_rows"),
         )
     )
-    merged = lanes.agg(
+    # A grouping column that is always true: the combining aggregate cannot
+    # serialise the empty buffer a global aggregate makes for an empty task.
+    merged = lanes.groupBy((F.col("_lane") >= 0).alias("_all")).agg(
         F.expr(f"approx_top_k_combine(_sketch, {TRACKED_KEYS})").alias("_sketch"),
         F.sum("_rows").alias("_rows"),
     )

@@ -120,12 +120,12 @@ def lifecycle(
   FROM {p}_pair WHERE y.title IS NOT NULL),
 {p}_seen AS (
   SELECT r.customer_id, w.actor_name, row_number() OVER (
-           PARTITION BY r.customer_id ORDER BY count(*) DESC, w.actor_name NULLS LAST, {actor} NULLS LAST) AS at
+           PARTITION BY r.customer_id ORDER BY count(*) DESC, w.actor_name NULLS LAST, {actor} NULLS LAST) AS pos
   FROM {rental} r LEFT JOIN copies c ON c.inventory_id = r.inventory_id
   LEFT JOIN playing w ON w.film_id = c.film_id GROUP BY r.customer_id, w.actor_name, {actor}),
 {p}_fav AS (
-  SELECT customer_id, max(actor_name) FILTER (at = 1) AS fav_actor_one,
-         max(actor_name) FILTER (at = 2) AS fav_actor_two, max(actor_name) FILTER (at = 3) AS fav_actor_three
+  SELECT customer_id, max(actor_name) FILTER (pos = 1) AS fav_actor_one,
+         max(actor_name) FILTER (pos = 2) AS fav_actor_two, max(actor_name) FILTER (pos = 3) AS fav_actor_three
   FROM {p}_seen GROUP BY customer_id),
 {p}_rate AS (
   SELECT *, (epoch_us(last_rental_date) - epoch_us(thirty_days_date)) / {micros}.0 AS days_after,
@@ -176,12 +176,12 @@ unseen AS (
   WHERE NOT EXISTS (SELECT 1 FROM watched w WHERE w.customer_id = v.customer_id
                     AND w.title = f.title AND w.category IS NOT NULL)),
 advised AS (
-  SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY rate DESC, rental_duration, film_id) AS at
+  SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY rate DESC, rental_duration, film_id) AS pos
   FROM unseen)"""
 
 RECOMMENDED = f"""{WATCHED}
 SELECT customer_id, name AS customer_name, category, title, film_id
-FROM advised JOIN renter ON id = customer_id WHERE at <= 10"""
+FROM advised JOIN renter ON id = customer_id WHERE pos <= 10"""
 
 LISTED_FILMS = """SELECT f.film_id AS fid, title, description, category, CAST(rate AS DOUBLE) AS price,
   rental_duration AS length, description AS rating, string_agg({name}, ', ' ORDER BY {name}) AS actors
@@ -281,7 +281,7 @@ QUALIFY row_number() OVER (PARTITION BY customer_id, category ORDER BY rate DESC
     ),
     "movie_recommend": model(f"""{WATCHED}
 SELECT customer_id, category, title, film_id, CAST(rate AS DOUBLE) AS rental_rate, rental_duration,
-  CAST(at AS INTEGER) AS place FROM advised WHERE at <= 10"""),
+  CAST(pos AS INTEGER) AS place FROM advised WHERE pos <= 10"""),
     "lc_total_revenue": life(
         "SELECT customer_id, CAST(total AS DOUBLE) AS total_revenue, num_of_rentals FROM c_span"
     ),
