@@ -18,6 +18,10 @@ HOT_SHARE = 2000
 # Sketch size: its error, about 1 row in 4,600, stays below one in HOT_SHARE.
 TRACKED_KEYS = 8192
 SKETCH_LANES = 64
+# Tables read from less than this many bytes are joined plainly: even all their
+# rows under one key are a short task. The setting overrides it.
+SPREAD_FLOOR = 32 << 20
+SPREAD_FLOOR_SETTING = "marquee.spread.floorBytes"
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -37,6 +41,13 @@ def is_small(df: DataFrame) -> bool:
     return size <= broadcast_limit(df.sparkSession)
 
 
+def worth_spreading(df: DataFrame) -> bool:
+    """Whether ``df`` reads enough data for a hot key to matter."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return read >= int(df.sparkSession.conf.get(SPREAD_FLOOR_SETTING, str(SPREAD_FLOOR)))
+
+
 def hot_keys(rows: DataFrame, on: Sequence[str]) -> DataFrame:
     """(``_key``, ``_tasks``) of the hot keys: a hash of ``on`` and a task count.
 
@@ -87,17 +98,16 @@ def lookup_join(
     how: str = "left",
     *,
     spread_by: Sequence[str] | None = None,
-    always_spread: bool = False,
 ) -> DataFrame:
     """``rows.join(lookup, on, how)`` that no hot or missing key can slow down.
 
     ``how`` is one of left, inner, left_semi, left_anti. ``spread_by`` names the
     columns that tell rows of one key apart (default: all columns of ``rows``).
-    When Spark estimates ``lookup`` below its broadcast threshold the plain join
-    is left to Spark.
+    When Spark estimates ``lookup`` below its broadcast threshold, or ``rows``
+    reads too little for a hot key to matter, the plain join is left to Spark.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if not always_spread and is_small(lookup):
+    if is_small(lookup) or not worth_spreading(rows):
         return rows.join(lookup, on, how)
 
     parts = shuffle_partitions(rows.sparkSession)

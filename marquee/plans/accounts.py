@@ -22,7 +22,7 @@ def customer_balance(shop: Shop, as_of: str, replacement: bool = False) -> DataF
     until = F.lit(as_of).cast("timestamp_ntz")
     films = shop.film.select("film_id", "rental_rate", "rental_duration", "replacement_cost")
     copies = lookup_join(
-        shop.inventory.select("inventory_id", "film_id"), films, "film_id", "inner", spread_by=["inventory_id"]
+        shop.inventory_core, films, "film_id", "inner", spread_by=["inventory_id"]
     )
     rented = shop.rental.where(F.col("rental_date") <= until).select(
         "rental_id", "customer_id", "inventory_id", "rental_date", "return_date"

@@ -33,19 +33,19 @@ def paid_rentals(shop: Shop, rentals: DataFrame) -> DataFrame:
 
 
 def cast_names(shop: Shop, by: str = "name") -> DataFrame:
-    """(film_id, actor, actor_name, appearances); ``actor`` is what counts as one actor."""
+    """(film_id, actor_id, actor_name, appearances); ``by="name"`` merges namesakes
+    and leaves ``actor_id`` empty."""
     actors = shop.actor.select("actor_id", full_name("first_name", "last_name").alias("actor_name"))
     cast = lookup_join(shop.film_actor.select("film_id", "actor_id"), actors, "actor_id")
-    identity = F.col("actor_name") if by == "name" else F.col("actor_id")
-    return cast.groupBy("film_id", identity.alias("actor"), "actor_name").agg(
-        F.count(F.lit(1)).alias("appearances")
-    )
+    if by == "name":
+        cast = cast.withColumn("actor_id", F.lit(None).cast(cast.schema["actor_id"].dataType))
+    return cast.groupBy("film_id", "actor_id", "actor_name").agg(F.count(F.lit(1)).alias("appearances"))
 
 
 def copy_titles(shop: Shop) -> DataFrame:
     """(film_id, inventory_id, title) of every copy."""
     return lookup_join(
-        shop.inventory.select("inventory_id", "film_id"),
+        shop.inventory_core,
         shop.film.select("film_id", "title"),
         "film_id",
         spread_by=["inventory_id"],

@@ -85,14 +85,14 @@ def watched_actors(shop: Shop, watched: DataFrame, rules: Rules) -> DataFrame:
     cast = cast_names(shop, rules.actors_by)
     return (
         lookup_join(watched, cast, "film_id", spread_by=["customer_id", "film_id"])
-        .groupBy("customer_id", "actor", "actor_name")
+        .groupBy("customer_id", "actor_id", "actor_name")
         .agg(F.sum(F.col("times") * F.coalesce("appearances", F.lit(1))).alias("seen"))
     )
 
 
 def three_favourites(seen: DataFrame) -> DataFrame:
     """The three most seen actors of every customer as columns, ties by name."""
-    order = [F.desc("seen"), F.asc_nulls_last("actor_name"), F.asc_nulls_last("actor")]
+    order = [F.desc("seen"), F.asc_nulls_last("actor_name"), F.asc_nulls_last("actor_id")]
     places = ((1, "one"), (2, "two"), (3, "three"))
     return top_k(seen, len(places), ["customer_id"], order).groupBy("customer_id").agg(
         *[
@@ -161,7 +161,7 @@ class Lifecycle:
         """The three actors seen most per customer, in three columns."""
         shop = self.shop
         rentals = self.facts.select("rental_id", "customer_id", "inventory_id")
-        copies = shop.inventory.select("inventory_id", "film_id")
+        copies = shop.inventory_core
         watched = (
             lookup_join(rentals, copies, "inventory_id", spread_by=["rental_id"])
             .groupBy("customer_id", "film_id")

@@ -25,7 +25,7 @@ def top_titles_by_category(shop: Shop, start: str, end: str, k: int = 10, by: st
         & (F.col("rental_date") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz"))
     )
     per_copy = rented.groupBy("inventory_id").agg(F.count("customer_id").alias("n"))
-    copies = shop.inventory.select("inventory_id", "film_id")
+    copies = shop.inventory_core
     per_film = per_copy.join(copies, "inventory_id", "left").groupBy("film_id").agg(F.sum("n").alias("n"))
     titled = per_film.join(shop.film.select("film_id", "title"), "film_id", "left").join(
         film_categories(shop), "film_id", "left"

@@ -107,7 +107,7 @@ def _sales_per_copy(shop: Shop) -> DataFrame:
 
 def sales_by_category(shop: Shop) -> DataFrame:
     """Revenue per category, best first."""
-    copies = shop.inventory.select("inventory_id", "film_id")
+    copies = shop.inventory_core
     per_film = (
         _sales_per_copy(shop)
         .join(copies, "inventory_id", "inner")

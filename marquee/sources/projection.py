@@ -69,6 +69,11 @@ class OrderProjection:
             F.col("l_orderkey").alias("inventory_id"), F.col("l_partkey").alias("film_id"), "store_id"
         )
 
+    def inventory_core(self) -> DataFrame:
+        return self.lead_lines().select(
+            F.col("l_orderkey").alias("inventory_id"), F.col("l_partkey").alias("film_id")
+        )
+
     def payment_core(self) -> DataFrame:
         return self._read("lineitem").select(
             F.col("l_orderkey").alias("rental_id"),
@@ -208,7 +213,7 @@ class EventProjection:
 
 
 ORDER_TABLES = (
-    "rental rental_core inventory payment payment_core film category film_category film_actor actor "
+    "rental rental_core inventory inventory_core payment payment_core film category film_category film_actor actor "
     "customer staff address city country store"
 ).split()
 

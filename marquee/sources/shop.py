@@ -10,14 +10,15 @@ from marquee.sources.catalog import TABLES
 
 RENTAL_CORE = ("rental_id", "rental_date", "customer_id")
 PAYMENT_CORE = ("rental_id", "amount", "payment_date")
+INVENTORY_CORE = ("inventory_id", "film_id")
 
 
 class Shop:
     """Named tables, each built when first asked for.
 
-    ``rental_core`` and ``payment_core`` are the columns of ``rental`` and
-    ``payment`` that need no join when the tables are projected from others;
-    on stored tables they are plain column selections.
+    ``rental_core``, ``payment_core`` and ``inventory_core`` are the columns of
+    their tables that need fewest joins when the tables are projected from
+    others; on stored tables they are plain column selections.
     """
 
     def __init__(self, spark: SparkSession, tables: Mapping[str, Callable[[], DataFrame]]):
@@ -39,15 +40,15 @@ class Shop:
             return self.rental.select(*RENTAL_CORE)
         if name == "payment_core":
             return self.payment.select(*PAYMENT_CORE)
+        if name == "inventory_core":
+            return self.inventory.select(*INVENTORY_CORE)
         raise AttributeError(f"the shop has no table {name!r}")
 
     def replace(self, **tables: DataFrame) -> Shop:
         """The same shop with some tables exchanged."""
         builders = dict(self._builders)
-        if "rental" in tables:
-            builders.pop("rental_core", None)
-        if "payment" in tables:
-            builders.pop("payment_core", None)
+        for name in tables:
+            builders.pop(f"{name}_core", None)
         builders.update({name: (lambda df=df: df) for name, df in tables.items()})
         return Shop(self.spark, builders)
 

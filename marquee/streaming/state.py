@@ -136,7 +136,7 @@ def merge_state(
     )
     actors = (
         state.actors.unionByName(fresh.actors)
-        .groupBy("customer_id", "actor", "actor_name")
+        .groupBy("customer_id", "actor_id", "actor_name")
         .agg(F.sum("seen").alias("seen"))
     )
     return State(totals, actors)
