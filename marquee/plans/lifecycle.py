@@ -7,6 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marquee.functions.exact import MICROS_PER_DAY, cents, micros_between, round_ratio
 from marquee.operators.ranking import tiles, top_k
@@ -15,11 +16,25 @@ from marquee.operators.skew import lookup_join
 from marquee.plans.facts import cast_names, copy_titles, paid_rentals
 from marquee.sources.shop import Shop
 
-COLUMNS = (
-    "customer_id first_rent_date thirty_days_date thirty_days_revenue value_tier first_film latest_film "
-    "last_rental_date avg_time_days_between_rental total_revenue fav_actor_one fav_actor_two "
-    "fav_actor_three revenue_growth_rate"
-).split()
+SCHEMA = T.StructType(
+    [
+        T.StructField("customer_id", T.LongType(), False),
+        T.StructField("first_rent_date", T.TimestampNTZType(), False),
+        T.StructField("thirty_days_date", T.TimestampNTZType(), False),
+        T.StructField("thirty_days_revenue", T.DecimalType(20, 5), False),
+        T.StructField("value_tier", T.IntegerType(), False),
+        T.StructField("first_film", T.StringType()),
+        T.StructField("latest_film", T.StringType()),
+        T.StructField("last_rental_date", T.TimestampNTZType()),
+        T.StructField("avg_time_days_between_rental", T.DecimalType(10, 2)),
+        T.StructField("total_revenue", T.DecimalType(20, 5), False),
+        T.StructField("fav_actor_one", T.StringType()),
+        T.StructField("fav_actor_two", T.StringType()),
+        T.StructField("fav_actor_three", T.StringType()),
+        T.StructField("revenue_growth_rate", T.DecimalType(20, 5)),
+    ]
+)
+COLUMNS = SCHEMA.names
 
 
 @dataclass(frozen=True)
@@ -131,6 +146,11 @@ class Lifecycle:
             F.count(F.lit(1)).alias("num_distinct_rentals"),
         )
 
+    @cached_property
+    def copies(self) -> DataFrame:
+        """(film_id, inventory_id, title), read by the actors and the titles."""
+        return settle(copy_titles(self.shop), "copies")
+
     def total_revenue(self) -> DataFrame:
         return self.spans.select("customer_id", "total_revenue", "num_of_rentals")
 
@@ -159,15 +179,14 @@ class Lifecycle:
 
     def fav_three_actors(self) -> DataFrame:
         """The three actors seen most per customer, in three columns."""
-        shop = self.shop
         rentals = self.facts.select("rental_id", "customer_id", "inventory_id")
-        copies = shop.inventory_core
+        copies = self.copies.select("inventory_id", "film_id")
         watched = (
             lookup_join(rentals, copies, "inventory_id", spread_by=["rental_id"])
             .groupBy("customer_id", "film_id")
             .agg(F.count("rental_id").alias("times"))
         )
-        return three_favourites(watched_actors(shop, watched, self.rules))
+        return three_favourites(watched_actors(self.shop, watched, self.rules))
 
     def _ends(self) -> DataFrame:
         """First and last rental of every customer as structs ``a`` and ``b``."""
@@ -196,7 +215,7 @@ class Lifecycle:
         ends = self._ends()
         if self.rules.single_rental == "null":
             ends = ends.where(F.col("a.rental_id") != F.col("b.rental_id"))
-        titles = copy_titles(self.shop).select("inventory_id", "title")
+        titles = self.copies.select("inventory_id", "title")
         # Both ends go through one title lookup and come back as columns.
         marked = ends.select(
             "customer_id",

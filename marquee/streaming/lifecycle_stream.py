@@ -105,14 +105,13 @@ class LifecycleStream:
         self.actors.write(state.actors, version=batch_id)
         return lifecycle_of(State(self.totals.read(batch_id), self.actors.read(batch_id)), self.rules)
 
-    def start(self, rentals: DataFrame) -> StreamingQuery:
-        """Process what is there now, in as many batches as the source makes."""
-        return (
-            rentals.writeStream.foreachBatch(self.process)
-            .option("checkpointLocation", f"{self.path}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
+    def start(self, rentals: DataFrame, every: str | None = None) -> StreamingQuery:
+        """Process what is there now, or look for new files ``every`` interval ("1 hour")."""
+        writer = rentals.writeStream.foreachBatch(self.process).option(
+            "checkpointLocation", f"{self.path}/checkpoint"
         )
+        trigger = {"processingTime": every} if every else {"availableNow": True}
+        return writer.trigger(**trigger).start()
 
     def run(self, rentals: DataFrame) -> DataFrame:
         """Process what is there now and return the lifecycle."""

@@ -241,6 +241,9 @@ def _address_list(people: str, street: str, notes: str) -> str:
 FROM {people} JOIN place USING (nation)""")
 
 
+NEWEST = """SELECT o_orderdate AS latest_date, o_orderkey AS latest_id FROM orders
+ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1"""
+
 _STOP = ", ".join(f"'{word}'" for word in STOP_WORDS)
 POSTINGS = rf"""postings AS (
   SELECT term, doc_id, count(*) AS tf
@@ -265,6 +268,7 @@ ORACLE: dict[str, str] = {
         f"""{MERGED} SELECT * REPLACE (CAST(ntile(10) OVER (
         ORDER BY thirty_days_revenue DESC, customer_id) AS INTEGER) AS value_tier) FROM merged"""
     ),
+    "lifecycle_publish": model(f"{MERGED} SELECT * FROM merged"),
     "rental_history": model(f"""{WATCHED}
 SELECT w.customer_id, name AS customer_name, title, w.category, num_rental
 FROM watched w JOIN in_category i ON i.customer_id = w.customer_id AND i.category IS NOT DISTINCT FROM w.category
@@ -294,8 +298,8 @@ SELECT customer_id, category, title, film_id, CAST(rate AS DOUBLE) AS rental_rat
     ),
     "lc_avg_rental_time": life("SELECT customer_id, avg_time_days_between_rental FROM c_table"),
     "lc_revenue_growth_rate": life("SELECT customer_id, revenue_growth_rate FROM c_table"),
-    "hwm_save_read": """SELECT o_orderdate AS latest_date, o_orderkey AS latest_id FROM orders
-ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1""",
+    "hwm_save": NEWEST,
+    "hwm_read": NEWEST,
     "staging_new_rows": f"""SELECT o_orderkey AS rental_id, o_orderdate AS rental_date, o_custkey AS customer_id
 FROM orders WHERE o_orderdate > TIMESTAMP '{MARK}'""",
     "staging_new_rows_tie_safe": f"""SELECT o_orderkey AS rental_id, o_orderdate AS rental_date,

@@ -14,7 +14,7 @@ from marquee.operators.changes import fill_defaults, stamp_changes
 from marquee.operators.postings import match_all_terms, token_index
 from marquee.operators.ranking import assign_ids, row_numbers, tiles
 from marquee.operators.settle import scratch_path
-from marquee.plans import accounts, incremental, stock, views
+from marquee.plans import accounts, incremental, lifecycle, recommend, stock, views
 from marquee.plans.lifecycle import Lifecycle, Rules, customer_lifecycle
 from marquee.plans.popularity import top_titles_by_category
 from marquee.plans.recommend import Recommendations, item_recommendations
@@ -44,16 +44,6 @@ OTHER_RULES = Rules(single_rental="same", denominator="gaps", actors_by="actor_i
 DOCUMENTS = define_table(
     "doc_id", "doc_id long!, text text!, lang text!, source text!, n_chars long!"
 )
-RECOMMENDATIONS = T.StructType(
-    [
-        T.StructField("customer_id", T.LongType(), False),
-        T.StructField("customer_name", T.StringType(), False),
-        T.StructField("category", T.StringType(), False),
-        T.StructField("title", T.StringType(), False),
-        T.StructField("film_id", T.LongType(), False),
-    ]
-)
-
 
 def plain(df: DataFrame) -> DataFrame:
     """Exact decimals as doubles, the last step before comparison."""
@@ -135,7 +125,15 @@ def _stream(order: tuple[int, ...], **options) -> Query:
 
 def _written(shop) -> DataFrame:
     table = _table(shop.spark, "recommendations")
-    table.write(item_recommendations(shop), RECOMMENDATIONS)
+    table.write(item_recommendations(shop), recommend.SCHEMA)
+    return table.read()
+
+
+def _published(shop) -> DataFrame:
+    """The lifecycle before the mark, then its update, as two versions of one table."""
+    table = _table(shop.spark, "lifecycle")
+    table.write(_old_lifecycle(shop), lifecycle.SCHEMA)
+    table.write(incremental.lifecycle_upsert(table.read(), _increment(shop)), lifecycle.SCHEMA)
     return table.read()
 
 
@@ -238,6 +236,7 @@ QUERIES: dict[str, Query] = {
     "lifecycle_upsert_all_tiers": _orders(
         lambda s: incremental.lifecycle_upsert(_old_lifecycle(s), _increment(s), tier_scope="all")
     ),
+    "lifecycle_publish": _orders(_published),
     # parts of the recommendations
     "rental_history": _orders(lambda s: Recommendations(s).rental_history()),
     "favourite_category": _orders(lambda s: Recommendations(s).favourites),
@@ -257,7 +256,8 @@ QUERIES: dict[str, Query] = {
     "lc_avg_rental_time": _orders(lambda s: Lifecycle(s).avg_rental_time()),
     "lc_revenue_growth_rate": _orders(lambda s: Lifecycle(s).revenue_growth_rate()),
     # parts of the increment
-    "hwm_save_read": _orders(_saved_mark),
+    "hwm_save": _orders(lambda s: incremental.high_water_mark(s.rental_core)),
+    "hwm_read": _orders(_saved_mark),
     "staging_new_rows": _orders(lambda s: incremental.new_rentals(s.rental_core, _mark())),
     "staging_new_rows_tie_safe": _orders(
         lambda s: incremental.new_rentals(s.rental_core, incremental.Mark(MARK, 7500), tie_safe=True)
