@@ -59,18 +59,22 @@ def read_copy_text(spark: SparkSession, path: str, table: Table) -> DataFrame:
     A line with another number of fields than the table has columns is an error.
     """
     width = len(table.columns)
-    lines = spark.read.option("lineSep", "\n").text(path).where(F.col("value") != "\\.")
+    lines = spark.read.option("lineSep", "\n").text(path)
+    no_row = F.col("value") == "\\."
     if width > 1:
-        lines = lines.where(F.col("value") != "")
-    fields = F.split("value", "\t", -1)
-    checked = lines.select(
-        F.when(F.size(fields) == width, fields)
+        no_row = no_row | (F.col("value") == "")
+    # Spark may evaluate the columns before the filter: lines that hold no row give nulls.
+    fields = F.when(~no_row, F.split("value", "\t", -1))
+    checked = lines.where(~no_row).select(
+        F.when(no_row | (F.size(fields) == width), fields)
         .otherwise(F.raise_error(F.concat(F.lit(f"expected {width} fields: "), F.col("value"))))
         .alias("fields")
     )
     return checked.select(
         *[
-            _typed(_unescaped(F.col("fields")[i]), c.kind, table.schema[i].dataType, c.padded).alias(c.name)
+            _typed(
+                _unescaped(F.get("fields", F.lit(i))), c.kind, table.schema[i].dataType, c.padded
+            ).alias(c.name)
             for i, c in enumerate(table.columns)
         ]
     )
