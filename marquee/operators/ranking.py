@@ -36,29 +36,30 @@ def _placed(df: DataFrame, within: Sequence[str], order_by: Sequence[Column]) ->
     )
 
 
-def _numbered(placed: DataFrame, within: Sequence[str], name: str) -> DataFrame:
-    # One row per partition and group: the window below sees, per group, at
+def _numbered(placed: DataFrame, within: Sequence[str], name: str, total: str | None = None) -> DataFrame:
+    # One row per partition and group: the windows below see, per group, at
     # most as many rows as there are partitions.
     runs = placed.groupBy("_part", *within).agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first")
     )
-    earlier = (
-        Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    group = Window.partitionBy(*within)
+    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(
         F.col("_part").alias("_run_part"),
         *[F.col(key).alias(f"_run_{key}") for key in within],
         (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_offset"),
+        F.sum("_rows").over(group).alias("_total"),
     )
     if not within:
         runs = F.broadcast(runs)  # one row per shuffle partition
     same_run = F.col("_part") == F.col("_run_part")
     for key in within:
         same_run = same_run & F.col(key).eqNullSafe(F.col(f"_run_{key}"))
-    columns = [c for c in placed.columns if c not in ("_part", "_place")]
-    return placed.join(runs, same_run).select(
-        *columns, (F.col("_place") + F.col("_offset")).cast("long").alias(name)
-    )
+    columns = [F.col(c) for c in placed.columns if c not in ("_part", "_place")]
+    columns.append((F.col("_place") + F.col("_offset")).cast("long").alias(name))
+    if total:
+        columns.append(F.col("_total").alias(total))
+    return placed.join(runs, same_run).select(*columns)
 
 
 def row_numbers(
@@ -70,22 +71,19 @@ def row_numbers(
 
 def tiles(df: DataFrame, buckets: int, order_by: Sequence[Column], name: str = "tile") -> DataFrame:
     """``ntile(buckets)`` over the whole table."""
-    placed = _placed(df, (), order_by)
-    size, extra = divmod(placed.count(), buckets)
+    numbered = _numbered(_placed(df, (), order_by), (), "_number", "_total")
+
+    def div(a: Column, b: Column) -> Column:
+        return F.call_function("div", a, b)
+
     at = F.col("_number") - 1
-    if size == 0:
-        bucket = at + 1
-    else:
-        # The first ``extra`` buckets hold one row more than the others.
-        wide = extra * (size + 1)
-        bucket = F.when(at < wide, F.call_function("div", at, F.lit(size + 1)) + 1).otherwise(
-            F.call_function("div", at - wide, F.lit(size)) + extra + 1
-        )
-    return (
-        _numbered(placed, (), "_number")
-        .withColumn(name, bucket.cast("int"))
-        .drop("_number")
+    size = div(F.col("_total"), F.lit(buckets))
+    extra = F.col("_total") % buckets
+    wide = extra * (size + 1)  # rows in the first ``extra`` buckets, which hold one more
+    bucket = F.when(at < wide, div(at, size + 1)).otherwise(
+        div(at - wide, F.greatest(size, F.lit(1))) + extra
     )
+    return numbered.withColumn(name, (bucket + 1).cast("int")).drop("_number", "_total")
 
 
 def assign_ids(

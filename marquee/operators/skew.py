@@ -10,7 +10,9 @@ are copied to those tasks. Rows without a key are dealt out as well.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,18 +50,36 @@ def worth_spreading(df: DataFrame) -> bool:
     return read >= int(df.sparkSession.conf.get(SPREAD_FLOOR_SETTING, str(SPREAD_FLOOR)))
 
 
-def hot_keys(rows: DataFrame, on: Sequence[str]) -> DataFrame:
-    """(``_key``, ``_tasks``) of the hot keys: a hash of ``on`` and a task count.
+def _any_null(on: Sequence[str]) -> Column:
+    missing = F.lit(False)
+    for name in on:
+        missing = missing | F.col(name).isNull()
+    return missing
+
+
+@dataclass(frozen=True)
+class HotKeys:
+    """Task counts of hot keys by key hash, and of rows without a key."""
+
+    tasks: dict[int, int]
+    missing: int = 1
+
+    def __bool__(self) -> bool:
+        return bool(self.tasks) or self.missing > 1
+
+
+def hot_keys(rows: DataFrame, on: Sequence[str]) -> HotKeys:
+    """The hot keys of ``rows``, found once so that both sides of a join agree on them.
 
-    Frequent-item sketches are built per task, merged in lanes and then once,
-    so the pass costs one scan of the key columns and no shuffle of rows.
-    A key missed or added by the sketch changes the spread, never the result.
+    Frequent-item sketches are built per task, merged in lanes and then once:
+    one scan of the key columns, no shuffle of rows, and fewer than
+    ``HOT_SHARE`` keys for the driver. A key the sketch misses or adds changes
+    the spread, never the result.
     """
     parts = shuffle_partitions(rows.sparkSession)
     lanes = (
-        rows.dropna(subset=list(on))
-        .select(
-            F.xxhash64(*on).alias("_key"),
+        rows.select(
+            F.when(~_any_null(on), F.xxhash64(*on)).alias("_key"),
             F.pmod(F.spark_partition_id(), F.lit(SKETCH_LANES)).alias("_lane"),
         )
         .groupBy("_lane")
@@ -74,21 +94,17 @@ def hot_keys(rows: DataFrame, on: Sequence[str]) -> DataFrame:
         F.expr(f"approx_top_k_combine(_sketch, {TRACKED_KEYS})").alias("_sketch"),
         F.sum("_rows").alias("_rows"),
     )
-    return (
+    found = (
         merged.select(
             "_rows", F.expr(f"inline(approx_top_k_estimate(_sketch, {HOT_SHARE}))").alias("_key", "_count")
         )
         .where(F.col("_count") * HOT_SHARE > F.col("_rows"))
         .select("_key", F.ceil(F.col("_count") * parts / F.col("_rows")).cast("int").alias("_tasks"))
         .where(F.col("_tasks") > 1)
+        .collect()
     )
-
-
-def _any_null(on: Sequence[str]) -> Column:
-    missing = F.lit(False)
-    for name in on:
-        missing = missing | F.col(name).isNull()
-    return missing
+    tasks = {row["_key"]: row["_tasks"] for row in found}
+    return HotKeys({key: n for key, n in tasks.items() if key is not None}, tasks.get(None, 1))
 
 
 def lookup_join(
@@ -110,15 +126,24 @@ def lookup_join(
     if is_small(lookup) or not worth_spreading(rows):
         return rows.join(lookup, on, how)
 
-    parts = shuffle_partitions(rows.sparkSession)
-    hot = F.broadcast(hot_keys(rows, on))
+    hot = hot_keys(rows, on)
+    if not hot:
+        return rows.join(lookup, on, how)
+
+    listed = pa.table(
+        {
+            "_key": pa.array(list(hot.tasks), pa.int64()),
+            "_tasks": pa.array(list(hot.tasks.values()), pa.int32()),
+        }
+    )
+    shares = F.broadcast(rows.sparkSession.createDataFrame(listed))  # fewer than HOT_SHARE rows
     dealt = F.xxhash64(*(spread_by or rows.columns))
     salted_rows = (
         rows.withColumn("_key", F.xxhash64(*on))
-        .join(hot, "_key", "left")
+        .join(shares, "_key", "left")
         .withColumn(
             "_salt",
-            F.when(_any_null(on), F.pmod(dealt, F.lit(parts)))
+            F.when(_any_null(on), F.pmod(dealt, F.lit(hot.missing)))
             .when(F.col("_tasks").isNotNull(), F.pmod(dealt, F.col("_tasks").cast("long")))
             .otherwise(F.lit(0))
             .cast("int"),
@@ -128,7 +153,7 @@ def lookup_join(
     salted_lookup = (
         lookup.dropna(subset=on)
         .withColumn("_key", F.xxhash64(*on))
-        .join(hot, "_key", "left")
+        .join(shares, "_key", "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_tasks"), F.lit(1)) - 1)))
         .drop("_key", "_tasks")
     )

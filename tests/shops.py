@@ -5,6 +5,10 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import pyarrow as pa
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
+
 from marquee.sources.shop import Shop
 
 COLUMNS = {
@@ -33,10 +37,21 @@ def at(text: str) -> datetime:
     return datetime.fromisoformat(text)
 
 
+def frame(spark, data: list, ddl: str):
+    """A DataFrame held in the plan itself, which keeps small tests quick."""
+    schema = _parse_datatype_string(ddl)
+    columns = list(zip(*data)) or [[] for _ in schema.names]
+    arrays = [
+        pa.array(list(values), type=to_arrow_type(field.dataType))
+        for values, field in zip(columns, schema.fields)
+    ]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=schema.names), schema)
+
+
 def shop(spark, **tables) -> Shop:
     """Tables not given are empty."""
     return Shop.from_frames(
-        spark, **{name: spark.createDataFrame(tables.get(name, []), schema) for name, schema in COLUMNS.items()}
+        spark, **{name: frame(spark, tables.get(name, []), ddl) for name, ddl in COLUMNS.items()}
     )
 
 

@@ -11,7 +11,7 @@ from marquee.plans.lifecycle import COLUMNS, Rules, customer_lifecycle
 from marquee.sources.versions import VersionedTable
 from marquee.streaming.state import collect_state, lifecycle_of, merge_state
 from tests.shops import COLUMNS as SHOP_COLUMNS
-from tests.shops import at, by, film, payment, rental, rows, shop
+from tests.shops import at, by, film, frame, payment, rental, rows, shop
 from tests.test_lifecycle import FILMS
 
 OLD = [
@@ -77,15 +77,15 @@ def lines(df):
 def test_increments_and_state_equal_full_recompute(spark, tmp_path, rules):
     rentals, payments = random_shop(5)
     batches = [rentals[0:50], rentals[50:70], rentals[70:72], rentals[72:120]]  # dates are not in batch order
-    frame = lambda data: spark.createDataFrame(data, SHOP_COLUMNS["rental"])
+    batch_frame = lambda data: frame(spark, data, SHOP_COLUMNS["rental"])
     table = VersionedTable(spark, str(tmp_path / "lifecycle"))
     state, so_far = None, []
     for number, batch in enumerate(batches):
         so_far += batch
         s = shop(spark, rental=so_far, payment=payments, **FILMS)
-        increment = inc.lifecycle_increment(s, frame(batch), rules)
+        increment = inc.lifecycle_increment(s, batch_frame(batch), rules)
         table.write(increment if number == 0 else inc.lifecycle_upsert(table.read(), increment, "all"))
-        fresh = collect_state(s, frame(batch), rules) if state is None else merge_state(state, s, frame(batch), rules)
+        fresh = collect_state(s, batch_frame(batch), rules) if state is None else merge_state(state, s, batch_frame(batch), rules)
         state = fresh.settled()
     full = lines(customer_lifecycle(shop(spark, rental=rentals, payment=payments, **FILMS), rules))
     assert lines(table.read()) == full

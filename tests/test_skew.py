@@ -36,13 +36,22 @@ def test_spread_join_with_several_matches_and_two_keys(spark, joins):
     assert ours.exceptAll(plain.select(*ours.columns)).count() == 0
 
 
-def test_hot_key_is_found_and_shared_out(spark):
+def test_hot_keys_and_missing_keys_are_found(spark):
     found = hot_keys(facts(spark), ["k"])
-    seven = spark.range(1).select(F.xxhash64(F.lit(7).cast("long")).alias("_key"))
-    tasks = found.join(seven, "_key").collect()
-    assert len(tasks) == 1 and tasks[0]["_tasks"] == 2  # 2,000 of 5,400 keyed rows, 4 partitions
-    assert hot_keys(facts(spark).where("k is null"), ["k"]).count() == 0
-    assert hot_keys(facts(spark).limit(0), ["k"]).count() == 0
+    seven = spark.range(1).select(F.xxhash64(F.lit(7).cast("long"))).first()[0]
+    assert found.tasks == {seven: 2} and found.missing == 1  # 2,000 and 400 of 6,000 rows, 4 partitions
+    none = hot_keys(facts(spark).where("k is null"), ["k"])
+    assert none.tasks == {} and none.missing == 4
+    assert not hot_keys(facts(spark).limit(0), ["k"])
+    assert not hot_keys(spark.range(5000), ["id"])
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_only_missing_keys_are_hot(spark, joins, how):
+    a = spark.range(3000).select(F.col("id").alias("n"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("k"))
+    plain = a.join(lookup(spark), "k", how)
+    ours = lookup_join(a, lookup(spark), "k", how, spread_by=["n"]).select(*plain.columns)
+    assert ours.exceptAll(plain).count() == 0 and plain.exceptAll(ours).count() == 0
 
 
 def test_spread_rows_of_a_hot_key_reach_several_tasks(spark):
