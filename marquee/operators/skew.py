@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.operators.settle import settle
+
 HOT_SHARE = 2000
 # Sketch size: its error, about 1 row in 4,600, stays below one in HOT_SHARE.
 TRACKED_KEYS = 8192
@@ -57,6 +59,11 @@ def _any_null(on: Sequence[str]) -> Column:
     return missing
 
 
+def costs_a_shuffle(df: DataFrame) -> bool:
+    """Whether computing ``df`` takes more than a scan."""
+    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
 @dataclass(frozen=True)
 class HotKeys:
     """Task counts of hot keys by key hash, and of rows without a key."""
@@ -114,19 +121,24 @@ def lookup_join(
     how: str = "left",
     *,
     spread_by: Sequence[str] | None = None,
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """``rows.join(lookup, on, how)`` that no hot or missing key can slow down.
 
     ``how`` is one of left, inner, left_semi, left_anti. ``spread_by`` names the
     columns that tell rows of one key apart (default: all columns of ``rows``).
-    When Spark estimates ``lookup`` below its broadcast threshold, or ``rows``
+    ``hot_from`` is a cheaper table with the same keys to look for hot ones in;
+    without it, ``rows`` that take more than a scan are settled first, so that
+    looking does not compute them twice. When Spark estimates ``lookup`` below its broadcast threshold, or ``rows``
     reads too little for a hot key to matter, the plain join is left to Spark.
     """
     on = [on] if isinstance(on, str) else list(on)
     if is_small(lookup) or not worth_spreading(rows):
         return rows.join(lookup, on, how)
 
-    hot = hot_keys(rows, on)
+    if hot_from is None and costs_a_shuffle(rows):
+        rows = settle(rows, "lookup-rows")
+    hot = hot_keys(rows if hot_from is None else hot_from, on)
     if not hot:
         return rows.join(lookup, on, how)
 

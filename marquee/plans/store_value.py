@@ -29,7 +29,9 @@ def mid_value_store_month(
         & (F.col("rental_date") < F.lit(f"{year + 1:04d}-01-01").cast("timestamp_ntz"))
     ).select("rental_id", "customer_id", "rental_date", "inventory_id")
     stores = shop.inventory.select("inventory_id", "store_id")
-    located = lookup_join(paid_rentals(shop, rentals), stores, "inventory_id", spread_by=["rental_id"])
+    located = lookup_join(
+        paid_rentals(shop, rentals), stores, "inventory_id", spread_by=["rental_id"], hot_from=rentals
+    )
     # A customer is at most one row per month and store from here on.
     monthly = settle(
         located.groupBy(
