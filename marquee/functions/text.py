@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marquee.sources.catalog import RATINGS
+
 
 def full_name(first: str, last: str) -> Column:
     """First and last name with a blank; null when either is missing."""
@@ -27,6 +29,12 @@ def group_concat(column: str, distinct: bool = False) -> Column:
     return F.expr(f"listagg({what}, ', ') WITHIN GROUP (ORDER BY {column})")
 
 
+def rating_rank(column: str) -> Column:
+    """Place of a rating in the ratings' own order, which is not alphabetical."""
+    place = F.array_position(F.array(*[F.lit(rating) for rating in RATINGS]), F.col(column))
+    return F.when(place > 0, place.cast("int"))
+
+
 def last_day(moment: str) -> Column:
     """Last date of the month a timestamp falls in."""
     return F.last_day(F.col(moment))

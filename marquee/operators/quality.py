@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.sources.catalog import FOREIGN_KEYS, TABLES, UNIQUE
+from marquee.sources.catalog import FOREIGN_KEYS, RATINGS, TABLES, UNIQUE, YEARS
 from marquee.sources.shop import Shop
 
 
@@ -78,8 +78,8 @@ def check_precision(df: DataFrame, column: str, precision: int, scale: int) -> D
 
 
 def check_shop(shop: Shop, tables: Sequence[str] | None = None) -> DataFrame:
-    """(table_name, rule, columns, violations) over every declared key, uniqueness,
-    reference and not-null rule of the given tables (all of the catalogue by default)."""
+    """(table_name, rule, columns, violations) for every declared rule of the given
+    tables (all of the catalogue by default)."""
     names = list(tables or TABLES)
     found = []
 
@@ -107,6 +107,9 @@ def check_shop(shop: Shop, tables: Sequence[str] | None = None) -> DataFrame:
         add(name, "not null", table.required, check_not_null(df, table.required), F.sum("num_nulls"))
         if table.lengths:
             add(name, "length", list(table.lengths), check_length(df, table.lengths), every)
+        if name == "film":
+            add(name, "allowed", ["rating"], check_allowed(df, "rating", RATINGS), every)
+            add(name, "range", ["release_year"], check_range(df, "release_year", *YEARS), every)
     result = found[0]
     for other in found[1:]:
         result = result.unionByName(other)

@@ -388,6 +388,9 @@ FROM events""",
   CAST(ntile(10) OVER (ORDER BY o_totalprice, o_orderkey) AS INTEGER) AS tile FROM orders""",
     "distributed_row_number": """SELECT event_type, value, event_id,
   row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS row_number FROM events""",
+    "film_index": model(rf"""SELECT term, film_id, count(*) AS tf FROM (
+  SELECT film_id, unnest(regexp_extract_all(lower(title || ' ' || description), '[\p{{L}}\p{{N}}]+')) AS term FROM film)
+WHERE term NOT IN ({_STOP}) GROUP BY ALL"""),
     "token_index": f"WITH {POSTINGS} SELECT * FROM postings",
     "match_all_terms": f"""WITH {POSTINGS} SELECT doc_id, CAST(sum(tf) AS BIGINT) AS tf FROM postings
 WHERE term IN ({_TERMS}) GROUP BY doc_id HAVING count(DISTINCT term) = {len(SEARCH)}""",

@@ -18,6 +18,7 @@ from marquee.plans import accounts, incremental, lifecycle, recommend, stock, vi
 from marquee.plans.lifecycle import Lifecycle, Rules, customer_lifecycle
 from marquee.plans.popularity import top_titles_by_category
 from marquee.plans.recommend import Recommendations, item_recommendations
+from marquee.plans.search import film_index
 from marquee.plans.store_value import mid_value_store_month
 from marquee.sources.catalog import define_table
 from marquee.sources.dump_text import copy_lines, read_copy_text
@@ -318,6 +319,7 @@ QUERIES: dict[str, Query] = {
     "distributed_ntile": _order_tiles,
     "distributed_row_number": _event_ranks,
     # text search
+    "film_index": _orders(film_index),
     "token_index": lambda spark, folder: token_index(read_table(spark, folder, "documents")),
     "match_all_terms": _search,
 }

@@ -8,10 +8,12 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import types as T
 
+from marquee.functions.text import rating_rank
 from marquee.operators import quality
 from marquee.operators.settle import scratch_dir, settle
 from marquee.sources.catalog import FOREIGN_KEYS, TABLES, define_table
 from marquee.sources.dump_text import copy_lines, read_copy_table, read_copy_text
+from marquee.sources.load import load_shop, with_table_defaults
 from marquee.sources.shop import Shop
 from marquee.sources.versions import VersionedTable, fit_schema
 
@@ -112,6 +114,27 @@ def test_settled_tables_live_in_the_shared_folder(spark):
     assert settle(spark.range(0), "empty").count() == 0
 
 
+def test_loaded_tables_and_defaults(spark, dump, tmp_path):
+    shop = load_shop(spark, dump, str(tmp_path / "shop"))
+    assert shop.staff.count() == 2 and shop.film.first().special_features[1] == "Trailers"
+    with pytest.raises(ValueError):
+        load_shop(spark, {"nothing": "x"}, str(tmp_path / "shop"))
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, None, None, None), (2, 7, Decimal("1.50"), "R")], "film_id int, rental_duration int, rental_rate decimal(4,2), rating string")
+    df = df.withColumn("replacement_cost", F.lit(None).cast("decimal(5,2)"))
+    out = with_table_defaults(df, "film", F.current_timestamp()).orderBy("film_id").collect()
+    assert tuple(out[0]) == (1, 3, Decimal("4.99"), "G", Decimal("19.99"))
+    assert tuple(out[1]) == (2, 7, Decimal("1.50"), "R", Decimal("19.99"))
+    assert with_table_defaults(df, "city", F.current_timestamp()) is df
+
+
+def test_ratings_have_their_own_order(spark):
+    df = spark.createDataFrame([("R",), ("G",), ("NC-17",), ("PG-13",), ("PG",), ("X",), (None,)], "r string")
+    ranked = {row.r: row.n for row in df.select("r", rating_rank("r").alias("n")).collect()}
+    assert ranked == {"G": 1, "PG": 2, "PG-13": 3, "R": 4, "NC-17": 5, "X": None, None: None}
+
+
 def test_rules(spark):
     df = spark.createDataFrame(
         [(1, "a", 5, 1.0), (1, "bb", 50, 99.994), (2, None, None, 99.996), (None, "a", 7, -100.0)],
