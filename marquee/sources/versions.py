@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marquee.operators.settle import delete_path
+
 PUBLISHED = T.StructType([T.StructField("version", T.LongType(), False)])
 
 
@@ -78,3 +80,10 @@ class VersionedTable:
     def delete_using(self, other: DataFrame, on: list[str]) -> int:
         """A new version without the rows that have a partner in ``other``."""
         return self.write(self.read().join(other, on, "left_anti"))
+
+    def keep_last(self, count: int) -> None:
+        """Delete the data of all but the newest ``count`` published versions."""
+        published = self.spark.read.schema(PUBLISHED).parquet(f"{self.path}/published")
+        numbers = sorted({row["version"] for row in published.collect()})  # one row per version
+        for number in numbers[: -max(count, 1)]:
+            delete_path(self.spark, f"{self.path}/data/version={number}")

@@ -242,7 +242,7 @@ QUERIES: dict[str, Query] = {
     "rental_history": _orders(lambda s: Recommendations(s).rental_history()),
     "favourite_category": _orders(lambda s: Recommendations(s).favourites),
     "movie_list": _orders(lambda s: Recommendations(s).movie_list()),
-    "unseen_titles": _orders(lambda s: Recommendations(s).unseen.drop("place")),
+    "unseen_titles": _orders(lambda s: Recommendations(s).unseen().drop("place")),
     "unseen_title_counts": _orders(lambda s: Recommendations(s).unseen_counts()),
     "movie_recommend": _orders(lambda s: Recommendations(s).ranked()),
     # parts of the lifecycle

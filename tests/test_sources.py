@@ -94,6 +94,9 @@ def test_versions_publish_and_retry(spark, tmp_path):
     assert table.delete_using(spark.range(2), ["id"]) == 2
     assert sorted(r.id for r in table.read().collect()) == [2, 10, 11]
     assert table.write(spark.range(1), version=2) == 2 and table.read().count() == 1
+    table.keep_last(2)
+    assert sorted(p.name for p in (tmp_path / "t/data").iterdir()) == ["version=1", "version=2"]
+    assert table.read().count() == 1 and table.read(1).count() == 5
 
 
 def test_schema_is_enforced(spark):
