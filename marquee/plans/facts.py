@@ -10,21 +10,27 @@ from marquee.operators.skew import lookup_join
 from marquee.sources.shop import Shop
 
 
-def payments_per_rental(shop: Shop) -> DataFrame:
-    """Paid amount and number of payments of every paid rental."""
-    return shop.payment_core.groupBy("rental_id").agg(
+def payments_per_rental(shop: Shop, of: DataFrame | None = None) -> DataFrame:
+    """Paid amount and number of payments of every paid rental, or of those in ``of``."""
+    payments = shop.payment_core
+    if of is not None:
+        payments = lookup_join(payments, of.select("rental_id"), "rental_id", "left_semi")
+    return payments.groupBy("rental_id").agg(
         F.sum(F.coalesce("amount", F.lit(0))).alias("paid"), F.count(F.lit(1)).alias("payments")
     )
 
 
-def paid_rentals(shop: Shop, rentals: DataFrame) -> DataFrame:
+def paid_rentals(shop: Shop, rentals: DataFrame, part: bool = False) -> DataFrame:
     """``rentals`` with ``paid`` (0 without payment) and ``joined_rows``.
 
     ``joined_rows`` is how many rows a rental has once joined to its payments,
     so sums, counts and averages over the joined rows need no fan-out. Both
-    sides hold a rental once, so no key of this join is hot.
+    sides hold a rental once, so no key of this join is hot. ``part`` says that
+    ``rentals`` are few of all: other payments are then dropped before they
+    are summed.
     """
-    joined = rentals.join(payments_per_rental(shop), "rental_id", "left")
+    sums = payments_per_rental(shop, rentals if part else None)
+    joined = rentals.join(sums, "rental_id", "left")
     return joined.select(
         *rentals.columns,
         F.coalesce("paid", F.lit(0)).cast("decimal(28,2)").alias("paid"),

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from marquee.operators.changes import upsert
 from marquee.operators.quality import check_unique
 from marquee.operators.ranking import tiles
+from marquee.operators.settle import settle
 from marquee.operators.skew import lookup_join
-from marquee.plans.lifecycle import COLUMNS, Rules, customer_lifecycle
+from marquee.plans.lifecycle import COLUMNS, Lifecycle, Rules
 from marquee.sources.shop import Shop
 from marquee.sources.versions import VersionedTable
 
@@ -90,7 +91,8 @@ def lifecycle_increment(shop: Shop, new: DataFrame, rules: Rules = Rules()) -> D
     ``shop.rental`` holds the rentals so far, the new ones included. Value
     tiers rank the customers of this increment among themselves.
     """
-    return customer_lifecycle(shop.replace(rental=with_history(shop.rental, new, shop.rental_core)), rules)
+    staging = settle(with_history(shop.rental, new, shop.rental_core), "staging")
+    return Lifecycle(shop.replace(rental=staging), rules, part=True).table()
 
 
 def retier(lifecycle: DataFrame, tiers: int = 10) -> DataFrame:

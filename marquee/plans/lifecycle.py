@@ -125,15 +125,17 @@ class Lifecycle:
     aggregation, and steps that go back to rentals use the skew-aware join.
     """
 
-    def __init__(self, shop: Shop, rules: Rules = Rules()):
+    def __init__(self, shop: Shop, rules: Rules = Rules(), part: bool = False):
+        """``part`` says that the shop's rentals are few of those its payments are for."""
         self.shop = shop
         self.rules = rules
+        self.part = part
 
     @cached_property
     def facts(self) -> DataFrame:
         """(rental_id, customer_id, rental_date, inventory_id, paid, joined_rows)."""
         rentals = self.shop.rental.select("rental_id", "customer_id", "rental_date", "inventory_id")
-        return settle(paid_rentals(self.shop, rentals), "paid-rentals")
+        return settle(paid_rentals(self.shop, rentals, self.part), "paid-rentals")
 
     @cached_property
     def spans(self) -> DataFrame:

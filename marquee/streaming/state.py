@@ -56,10 +56,15 @@ def _early(rentals: DataFrame, firsts: DataFrame, rules: Rules) -> DataFrame:
 
 def collect_state(shop: Shop, rentals: DataFrame, rules: Rules = Rules()) -> State:
     """The state of ``rentals`` alone."""
-    facts = settle(
-        paid_rentals(shop, rentals.select("rental_id", "customer_id", "rental_date", "inventory_id")),
-        "state-facts",
-    )
+    return _state_of(shop, _facts(shop, rentals), rules)
+
+
+def _facts(shop: Shop, rentals: DataFrame) -> DataFrame:
+    columns = ["rental_id", "customer_id", "rental_date", "inventory_id"]
+    return settle(paid_rentals(shop, rentals.select(*columns), part=True), "state-facts")
+
+
+def _state_of(shop: Shop, facts: DataFrame, rules: Rules) -> State:
     titled = lookup_join(facts, copy_titles(shop), "inventory_id", spread_by=["rental_id"])
     end = F.struct("rental_date", "rental_id", "title")
     totals = titled.groupBy("customer_id").agg(
@@ -77,16 +82,14 @@ def collect_state(shop: Shop, rentals: DataFrame, rules: Rules = Rules()) -> Sta
     return State(totals, watched_actors(shop, watched, rules))
 
 
-def merge_state(
-    state: State, shop: Shop, batch: DataFrame, rules: Rules = Rules()
-) -> State:
+def merge_state(state: State, shop: Shop, batch: DataFrame, rules: Rules = Rules()) -> State:
     """``state`` with the rentals of ``batch`` added.
 
     ``shop.rental`` holds the rentals so far, the batch included; it is read
     only for customers whose first rental date moved.
     """
-    fresh = collect_state(shop, batch, rules).settled()
-    facts = paid_rentals(shop, batch.select("rental_id", "customer_id", "rental_date", "inventory_id"))
+    facts = _facts(shop, batch)
+    fresh = _state_of(shop, facts, rules).settled()
 
     def both(old: Column, new: Column) -> Column:
         return F.coalesce(old, F.lit(0)) + F.coalesce(new, F.lit(0))
@@ -122,7 +125,7 @@ def merge_state(
         "left_semi",
         spread_by=["rental_id"],
     )
-    reread = _early(paid_rentals(shop, history), moved, rules)
+    reread = _early(paid_rentals(shop, history, part=True), moved, rules)
     early = (
         F.when(~known, F.col("_new_early"))
         .when(F.col("_new_first") < F.col("_old_first"), F.coalesce("reread", F.lit(0)))
