@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.operators.settle import settle
-from marquee.operators.skew import shuffle_partitions
+from marquee.operators.skew import shuffle_partitions, worth_spreading
 
 # monotonically_increasing_id() holds the partition above these bits and the
 # row's place in the partition below them.
@@ -24,8 +24,11 @@ PLACE_BITS = 33
 def _placed(df: DataFrame, within: Sequence[str], order_by: Sequence[Column]) -> DataFrame:
     """``df`` sorted across partitions, with ``_part`` and 0-based ``_place``."""
     order = [F.col(name).asc_nulls_first() for name in within] + list(order_by)
+    parts = shuffle_partitions(df.sparkSession)
+    if not worth_spreading(df):
+        parts = min(parts, df.sparkSession.sparkContext.defaultParallelism)
     ranged = (
-        df.repartitionByRange(shuffle_partitions(df.sparkSession), *order)
+        df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
         .withColumn("_at", F.monotonically_increasing_id())
     )

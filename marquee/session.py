@@ -23,6 +23,8 @@ def local_session(cpus: int | str = "*", app: str = "marquee", **extra: str) ->
         **SETTINGS,
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "12g",
+        # Small inputs still use every core where a join multiplies rows.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
         **extra,
     }.items():
         builder = builder.config(key, value)
