@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import lines, mixing, urls, warc
+from marquee.llm import bpe, lines, mixing, urls, warc
 from marquee.llm.common import table
 from marquee.operators.settle import scratch_path
 
@@ -28,6 +29,19 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encode, decode = bpe.encoder(spark, path, public_tokenizers.PATTERN), bpe.decoder(spark, path)
+    docs = table(spark, folder, "documents")
+    ids = docs.select("doc_id", encode("text").alias("ids"))
+    return ids.select("doc_id", "ids", decode("ids").alias("decoded")).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        bpe.ids_digest(F.col("ids")).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     return lines.drop_boilerplate(docs).select("doc_id", "text", "n_lines", "n_dropped")
@@ -49,5 +63,5 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op3_line_dedup, op6_warc, op8_url_filter)
+    f.__name__: f for f in (op1_mixing, op2_bpe, op3_line_dedup, op6_warc, op8_url_filter)
 }
