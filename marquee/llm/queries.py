@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe, lines, mixing, urls, warc
+from marquee.llm import bpe, jaccard, lines, mixing, urls, warc
 from marquee.llm.common import table
 from marquee.operators.settle import scratch_path
 
@@ -47,6 +47,10 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.drop_boilerplate(docs).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.groups(table(spark, folder, "documents"), jaccard.Similarity(4, 85, 100))
+
+
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, folder, "pages"), path)
@@ -63,5 +67,5 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_bpe, op3_line_dedup, op6_warc, op8_url_filter)
+    f.__name__: f for f in (op1_mixing, op2_bpe, op3_line_dedup, op4_jaccard, op6_warc, op8_url_filter)
 }
