@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm import shingles
@@ -40,7 +40,7 @@ MOST_MATCHES = 6
 ROWS = 4096  # rows in an output batch
 
 SET_SCHEMA = "id long, n long, node binary, part int, counts binary"
-PREFIX_SCHEMA = "shingle long, node binary, n long, matches int, typical double"
+PREFIX_SCHEMA = "shingle long, node binary, place int, n long, matches int, typical double"
 
 
 @dataclass(frozen=True)
@@ -147,10 +147,11 @@ def _prefix_batch(out: list[tuple]) -> pa.RecordBatch:
     sizes = [len(o[0]) for o in out]
     repeated = [np.repeat(np.array([o[i] for o in out]), sizes) for i in (2, 3, 4)]
     which = pa.array(np.repeat(np.arange(len(out)), sizes))
+    places = np.concatenate([np.arange(size, dtype=np.int32) for size in sizes])
     return pa.RecordBatch.from_arrays(
         [pa.array(np.concatenate([o[0] for o in out])), pa.array([o[1] for o in out], pa.binary()).take(which),
-         pa.array(repeated[0], pa.int64()), pa.array(repeated[1], pa.int32()), pa.array(repeated[2], pa.float64())],
-        ["shingle", "node", "n", "matches", "typical"],
+         pa.array(places), pa.array(repeated[0], pa.int64()), pa.array(repeated[1], pa.int32()), pa.array(repeated[2], pa.float64())],
+        ["shingle", "node", "place", "n", "matches", "typical"],
     )
 
 
@@ -176,9 +177,9 @@ def _shared_only(prefixes: DataFrame) -> DataFrame:
                     out.append(last)
             yield pa.RecordBatch.from_pylist([{k: v for k, v in o.items() if k not in ("waiting", "typical")} for o in out], schema=schema)
 
-    schema = pa.schema([("shingle", pa.int64()), ("node", pa.binary()), ("n", pa.int64()), ("matches", pa.int32()), ("head", pa.binary())])
+    schema = pa.schema([("shingle", pa.int64()), ("node", pa.binary()), ("place", pa.int32()), ("n", pa.int64()), ("matches", pa.int32()), ("head", pa.binary())])
     sorted_runs = prefixes.repartition("shingle").sortWithinPartitions("shingle", F.desc("typical"), "node")
-    return sorted_runs.mapInArrow(run, "shingle long, node binary, n long, matches int, head binary")
+    return sorted_runs.mapInArrow(run, "shingle long, node binary, place int, n long, matches int, head binary")
 
 
 def _bitmap(spark: SparkSession, ids: DataFrame) -> np.ndarray:
@@ -238,22 +239,38 @@ def _verified(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
 
 
 def _across(live: DataFrame, roots: DataFrame, like: Similarity) -> DataFrame:
-    """Pairs of nodes in different groups that share as many prefix shingles as the less demanding asks for."""
-    grouped = live.join(roots, "node", "left").select(
-        "shingle", "node", "n", "matches", F.coalesce("root", "node").alias("root")
+    """Pairs of nodes in different groups that share as many prefix shingles as the less demanding asks for.
+
+    What stands before a node's first shared prefix shingle is in no similar set: the two share a prefix shingle, so
+    anything rarer that they shared would be in both prefixes too. That lowers how many shingles a node can have in
+    common with anyone, its ``reach``, and likewise for the first shingle that a pair shares.
+    """
+    own = live.groupBy("node").agg((F.first("n") - F.min("place")).alias("reach"))
+    grouped = live.join(own, "node").join(roots, "node", "left").select(
+        "shingle", "node", "place", "n", "matches", "reach", F.coalesce("root", "node").alias("root")
     )
     grouped = settle(grouped, "prefix-groups")
     mixed = grouped.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     open_ = grouped.join(mixed.where(F.col("low") != F.col("high")).select("shingle"), "shingle")
-    one = open_.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "matches", "root")])
-    two = open_.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "matches", "root")])
+    fields = ("node", "place", "n", "matches", "reach", "root")
+    one = open_.select("shingle", *[F.col(c).alias(f"{c}_a") for c in fields])
+    two = open_.select("shingle", *[F.col(c).alias(f"{c}_b") for c in fields])
     sizes = (F.col("n_a") * like.under >= F.col("n_b") * like.over) & (F.col("n_b") * like.under >= F.col("n_a") * like.over)
-    met = one.join(two, "shingle").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & sizes)
-    return (
-        met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared"), F.least(F.first("matches_a"), F.first("matches_b")).alias("wanted"))
-        .where(F.col("shared") >= F.col("wanted"))
-        .select("a", "b")
+
+    def enough(common: Column) -> Column:
+        return common * (like.over + like.under) >= (F.col("n_a") + F.col("n_b")) * like.over
+
+    other = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
+    met = one.join(two, "shingle").where(other & sizes & enough(F.least("reach_a", "reach_b")))
+    pairs = met.groupBy("node_a", "node_b").agg(
+        F.count(F.lit(1)).alias("shared"),
+        F.least(F.first("matches_a"), F.first("matches_b")).alias("wanted"),
+        F.first("n_a").alias("n_a"),
+        F.first("n_b").alias("n_b"),
+        F.least(F.first("n_a") - F.min("place_a"), F.first("n_b") - F.min("place_b")).alias("room"),
+    )
+    return pairs.where((F.col("shared") >= F.col("wanted")) & enough(F.col("room"))).select(
+        F.col("node_a").alias("a"), F.col("node_b").alias("b")
     )
 
 
