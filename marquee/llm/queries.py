@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe, jaccard, lines, mixing, urls, warc
+from marquee.llm import bpe, graph, jaccard, lines, mixing, mtree, urls, warc
 from marquee.llm.common import table
 from marquee.operators.settle import scratch_path
 
@@ -51,12 +51,20 @@ def op4_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.groups(table(spark, folder, "documents"), jaccard.Similarity(4, 85, 100))
 
 
+def op5_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return mtree.exact_top_k(table(spark, folder, "embeddings"))
+
+
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, folder, "pages"), path)
     return warc.resolve(warc.read_archives(spark, path))
 
 
+def op7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.nearest(table(spark, folder, "embeddings"))
+
+
 def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Outcomes come from ``labels``: the page of a labelled document is good if of quality and not toxic."""
     labels = table(spark, folder, "labels")
@@ -67,5 +75,8 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_bpe, op3_line_dedup, op4_jaccard, op6_warc, op8_url_filter)
+    f.__name__: f
+    for f in (
+        op1_mixing, op2_bpe, op3_line_dedup, op4_jaccard, op5_top_k, op6_warc, op7_neighbours, op8_url_filter,
+    )
 }
