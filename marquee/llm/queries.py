@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe, graph, jaccard, lines, mixing, mtree, urls, warc
+from marquee.llm import bpe, graph, jaccard, langid, lines, mixing, mtree, urls, warc
 from marquee.llm.common import table
 from marquee.operators.settle import scratch_path
 
@@ -74,9 +74,17 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    field = langid.learn(docs)
+    asked = docs.select("doc_id", "text", langid.held_out(F.col("doc_id")).alias("held_out"))
+    return langid.label(asked, field).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing, op2_bpe, op3_line_dedup, op4_jaccard, op5_top_k, op6_warc, op7_neighbours, op8_url_filter,
+        op10_language,
     )
 }
