@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import codecs
 import itertools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,8 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 200_000, 300_000, 250_000
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 200_000, 300_000, 150_000
+NEVER = 1 << 60  # the rank of what is no token
 LONG_TEXT = 1 << 20  # characters; longer texts are cut up piece by piece
 DECODE_IDS = 1 << 16  # ids decoded at once
 
@@ -37,6 +39,64 @@ def read_ranks(lines: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines.splitlines() if line)}
 
 
+class Guess(dict):
+    """A state of the nondeterministic transducer: the last token, and the bytes read since.
+
+    By byte: the token that it completes, the guess behind that token, and the guess that reads on; None where there
+    is none. Looked up when first asked for.
+    """
+
+    __slots__ = ("last", "part", "transducer")
+    __hash__, __eq__ = object.__hash__, object.__eq__
+
+    def __init__(self, transducer: Transducer, last: int, part: bytes):
+        self.transducer, self.last, self.part = transducer, last, part
+
+    def __missing__(self, byte: int) -> tuple[int | None, Guess | None, Guess | None]:
+        part, machine = self.part + bytes((byte,)), self.transducer
+        token = machine.ranks.get(part)
+        ended = token is not None and machine.follows(-1, token) and machine.follows(self.last, token)
+        move = (
+            token if ended else None,
+            machine.guess(token, b"") if ended else None,
+            machine.guess(self.last, part) if part in machine.prefixes else None,
+        )
+        self[byte] = move
+        return move
+
+
+class State(dict):
+    """A determinised state: the live guesses, longest part first, each with what it would emit.
+
+    By byte: the next state, and what is emitted on the way there.
+    """
+
+    __slots__ = ("alive", "transducer")
+
+    def __init__(self, transducer: Transducer, alive: tuple):
+        self.transducer, self.alive = transducer, alive
+
+    def __missing__(self, byte: int) -> tuple[State, tuple[int, ...]]:
+        alive, ended = [], None
+        for guess, pending in self.alive:
+            token, behind, longer = guess[byte]
+            if longer is not None:
+                alive.append((longer, pending))
+            if behind is not None:  # of all ways to end here only one is the encoding
+                ended = (behind, (*pending, token))
+        if ended:
+            alive.append(ended)
+        agreed = 0
+        for column in zip(*[pending for _, pending in alive], strict=False):
+            if any(token != column[0] for token in column):
+                break
+            agreed += 1
+        emitted = alive[0][1][:agreed]
+        step = (self.transducer.state(tuple((guess, pending[agreed:]) for guess, pending in alive)), emitted)
+        self[byte] = step
+        return step
+
+
 class Transducer:
     """Encodes pieces of bytes."""
 
@@ -44,98 +104,83 @@ class Transducer:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.prefixes = {token[:n] for token in ranks for n in range(1, len(token))}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.own: dict[bytes, bool] = {}
+        self.pairs: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        """Forget all states but the first: nothing read, nothing pending."""
-        self.ids: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}  # state * 256 + byte -> state, emitted
-        self._intern(((-1, b"", ()),))
-
-    def _intern(self, state: tuple) -> int:
-        if state not in self.ids:
-            self.ids[state] = len(self.states)
-            self.states.append(state)
-        return self.ids[state]
+        """Forget all states but the first: nothing read, nothing pending. A state in use lives on."""
+        self.guesses: dict[tuple[int, bytes], Guess] = {}
+        self.states: dict[tuple, State] = {}
+        self.start = self.state(((self.guess(-1, b""), ()),))
+
+    def guess(self, last: int, part: bytes) -> Guess:
+        found = self.guesses.get((last, part))
+        if found is None:
+            found = self.guesses[last, part] = Guess(self, last, part)
+        return found
+
+    def state(self, alive: tuple) -> State:
+        found = self.states.get(alive)
+        if found is None:
+            if len(self.states) >= MAX_STATES:
+                self._reset()
+            found = self.states[alive] = State(self, alive)
+        return found
 
     def merged(self, piece: bytes) -> list[int]:
         """What the merges give, by rank; for pairs of tokens only."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            found = [self.ranks.get(a + b, 1 << 60) for a, b in itertools.pairwise(parts)]
-            least = min(found)
-            if least == 1 << 60:
-                break
-            at = found.index(least)
+        rank = self.ranks.get
+        costs = [rank(a + b, NEVER) for a, b in itertools.pairwise(parts)]
+        while costs and (least := min(costs)) < NEVER:
+            at = costs.index(least)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del costs[at]
+            if at:
+                costs[at - 1] = rank(parts[at - 1] + parts[at], NEVER)
+            if at < len(costs):
+                costs[at] = rank(parts[at] + parts[at + 1], NEVER)
         return [self.ranks[p] for p in parts]
 
-    def _follows(self, last: int, token: int) -> bool:
+    def follows(self, last: int, token: int) -> bool:
         """Whether ``token`` may stand after ``last`` (-1: at the start)."""
-        key = (last, token)
-        if key not in self.pairs:
+        key = (last + 1) << 32 | token
+        known = self.pairs.get(key)
+        if known is None:
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
             before = self.tokens.get(last, b"")
-            self.pairs[key] = self.merged(before + self.tokens[token]) == ([last, token] if last >= 0 else [token])
-        return self.pairs[key]
-
-    def _step(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        alive = []
-        for last, part, pending in self.states[at]:
-            part += bytes((byte,))
-            token = self.ranks.get(part)
-            if token is not None and self._follows(-1, token) and self._follows(last, token):
-                alive.append((token, b"", (*pending, token)))
-            if part in self.prefixes:
-                alive.append((last, part, pending))
-        agreed = 0
-        for column in zip(*[a[2] for a in alive], strict=False):
-            if len(set(column)) > 1:
-                break
-            agreed += 1
-        emitted = alive[0][2][:agreed]
-        state = tuple(sorted((last, part, pending[agreed:]) for last, part, pending in alive))
-        step = (self._intern(state), emitted)
-        self.steps[at << 8 | byte] = step
-        return step
+            known = self.merged(before + self.tokens[token]) == ([last, token] if last >= 0 else [token])
+            self.pairs[key] = known
+        return known
 
     def encode(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if len(self.states) >= MAX_STATES:
-            self._reset()
         out: list[int] = []
-        at, known = 0, self.steps.get
+        at = self.start
         for byte in piece:
-            step = known(at << 8 | byte)
-            if step is None:
-                if len(self.states) >= 2 * MAX_STATES:  # within one very long piece
-                    state = self.states[at]
-                    self._reset()
-                    at, known = self._intern(state), self.steps.get
-                step = self._step(at, byte)
-            at, emitted = step
+            at, emitted = at[byte]
             if emitted:
                 out += emitted
-        # Where a piece may end, one guess has a whole token behind it.
-        return out + list(next(pending for _, part, pending in self.states[at] if not part))
+        out += at.alive[-1][1]  # where a piece may end, the last guess has a whole token behind it
+        return out
 
 
 class Pieces(dict):
-    """Piece of text -> its ids as 32-bit numbers; computed when first met."""
+    """Piece of text -> its ids as 32-bit numbers; computed when first met. What was not used lately is forgotten."""
 
     def __init__(self, transducer: Transducer):
-        self.transducer = transducer
+        self.transducer, self.older = transducer, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MAX_PIECES:
-            self.clear()
-        ids = np.asarray(self.transducer.encode(piece.encode()), np.int32).tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("i", self.transducer.encode(piece.encode())).tobytes()
         if len(piece) <= 64:
+            if len(self) >= MAX_PIECES:
+                self.older = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
@@ -166,6 +211,13 @@ def _shared(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
+def _encoded(texts: pa.Array, pieces: Pieces, cut: regex.Pattern) -> pa.ListArray:
+    out = [encode_text(text, pieces, cut) if text else b"" for text in (value.as_py() for value in texts)]
+    ends = np.cumsum([0, *[len(ids) // 4 for ids in out]])
+    ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(out))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
+
+
 def encoder(spark: SparkSession, path: str, pattern: str):
     """A column function: text -> array of ids, by the ranks in the file ``path`` on the driver."""
     lines = _shared(spark, path)
@@ -173,12 +225,7 @@ def encoder(spark: SparkSession, path: str, pattern: str):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces, cut = _pieces(lines.value), regex.compile(pattern)
         for batch in batches:
-            texts = (value.as_py() for value in batch)
-            out = [encode_text(text, pieces, cut) if text else b"" for text in texts]
-            ends = np.cumsum([0, *[len(ids) // 4 for ids in out]])
-            values = pa.py_buffer(b"".join(out))
-            ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, values])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
+            yield _encoded(batch, pieces, cut)
 
     return F.arrow_udf(encode, "array<int>")
 
@@ -191,25 +238,49 @@ def decode_ids(ids: np.ndarray, tokens: list[bytes]) -> str:
     return "".join(out) + machine.decode(b"", final=True)
 
 
+def _decoded(batch: pa.ListArray, tokens: list[bytes]) -> pa.Array:
+    ends, values = batch.offsets.to_numpy(), batch.values
+    values = values.fill_null(-1).to_numpy(zero_copy_only=False)
+    out = []
+    for row in range(len(batch)):
+        ids = values[ends[row] : ends[row + 1]] if batch[row].is_valid else values[:0]
+        if len(ids) and ids.min() < 0:
+            raise ValueError("ids must be numbers of the vocabulary")
+        out.append(decode_ids(ids, tokens))
+    return pa.array(out, pa.string())
+
+
+def _token_list(ranks: dict[bytes, int]) -> list[bytes]:
+    by_id = {rank: token for token, rank in ranks.items()}
+    return [by_id.get(rank) for rank in range(max(by_id) + 1)]
+
+
 def decoder(spark: SparkSession, path: str):
     """A column function: array of ids -> text."""
     lines = _shared(spark, path)
 
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        by_id = {rank: token for token, rank in read_ranks(lines.value).items()}
-        tokens = [by_id.get(rank) for rank in range(max(by_id) + 1)]
+        tokens = _token_list(read_ranks(lines.value))
         for batch in batches:
-            values = batch.values.to_numpy(zero_copy_only=False) if batch.values.null_count == 0 else None
-            ends, out = batch.offsets.to_numpy(), []
-            if values is None or (len(values) and values.min() < 0):
-                raise ValueError("ids must be numbers of the vocabulary")
-            for row in range(len(batch)):
-                out.append(decode_ids(values[ends[row] : ends[row + 1]], tokens) if batch[row].is_valid else "")
-            yield pa.array(out, pa.string())
+            yield _decoded(batch, tokens)
 
     return F.arrow_udf(decode, "string")
 
 
+def round_trip(spark: SparkSession, path: str, pattern: str):
+    """A column function: text -> struct of its ``ids`` and of what they decode to, ``text``; one worker does both."""
+    lines = _shared(spark, path)
+
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces, cut = _pieces(lines.value), regex.compile(pattern)
+        tokens = _token_list(pieces.transducer.ranks)
+        for batch in batches:
+            ids = _encoded(batch, pieces, cut)
+            yield pa.StructArray.from_arrays([ids, _decoded(ids, tokens)], ["ids", "text"])
+
+    return F.arrow_udf(both, "struct<ids:array<int>,text:string>")
+
+
 def ids_digest(ids: Column) -> Column:
     """SHA-256 of the decimal ids, joined by spaces."""
     return F.sha2(F.array_join(ids, " "), 256)

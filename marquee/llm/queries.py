@@ -30,15 +30,13 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encode, decode = bpe.encoder(spark, path, public_tokenizers.PATTERN), bpe.decoder(spark, path)
-    docs = table(spark, folder, "documents")
-    ids = docs.select("doc_id", encode("text").alias("ids"))
-    return ids.select("doc_id", "ids", decode("ids").alias("decoded")).select(
+    there_and_back = bpe.round_trip(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    both = table(spark, folder, "documents").select("doc_id", there_and_back("text").alias("both"))
+    return both.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        bpe.ids_digest(F.col("ids")).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        F.size("both.ids").cast("long").alias("n_tokens"),
+        bpe.ids_digest(F.col("both.ids")).alias("ids_sha256"),
+        F.sha2(F.col("both.text"), 256).alias("decoded_sha256"),
     )
 
 
