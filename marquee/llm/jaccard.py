@@ -218,8 +218,8 @@ def _node_sets(spark: SparkSession, texts: DataFrame, wanted: DataFrame, ids: Da
     return sets.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
-    """Of ``pairs`` (a, b) those whose sets are similar."""
+def _verified(spark: SparkSession, texts: DataFrame, sets: DataFrame, pairs: DataFrame, like: Similarity) -> DataFrame:
+    """Of ``pairs`` (a, b) those whose sets are similar. Only sets of nodes in pairs are made and moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,21 +232,47 @@ def _verified(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
                 keep[row] = like.under * common >= like.over * (len(both) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
+    nodes = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair-nodes")
+    ids = sets.where(F.col("node").isNotNull()).join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+    found = settle(_node_sets(spark, texts, nodes, ids, like), "node-sets")
+    left = found.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+    right = found.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return met.mapInArrow(run, "a binary, b binary")
+    return settle(met.mapInArrow(run, "a binary, b binary"), "links")
 
 
-def _across(live: DataFrame, roots: DataFrame, like: Similarity) -> DataFrame:
-    """Pairs of nodes in different groups that share as many prefix shingles as the less demanding asks for.
+def _alike_in_size(like: Similarity) -> Column:
+    return (F.col("n_a") * like.under >= F.col("n_b") * like.over) & (F.col("n_b") * like.under >= F.col("n_a") * like.over)
+
+
+def _enough(common: Column, like: Similarity) -> Column:
+    """Whether two sets that have ``common`` in common can be similar."""
+    return common * (like.over + like.under) >= (F.col("n_a") + F.col("n_b")) * like.over
+
+
+def _reaches(live: DataFrame) -> DataFrame:
+    """Per node its size, and how many shingles it can have in common with any similar set: its ``reach``.
 
     What stands before a node's first shared prefix shingle is in no similar set: the two share a prefix shingle, so
-    anything rarer that they shared would be in both prefixes too. That lowers how many shingles a node can have in
-    common with anyone, its ``reach``, and likewise for the first shingle that a pair shares.
+    anything rarer that they shared would be in both prefixes too.
+    """
+    return live.groupBy("node").agg(F.first("n").alias("n"), (F.first("n") - F.min("place")).alias("reach"))
+
+
+def _with_heads(live: DataFrame, reaches: DataFrame, like: Similarity) -> DataFrame:
+    """Pairs of a prefix shingle's most typical node and another one that has it."""
+    pairs = live.where(F.col("head") != F.col("node")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(reaches.select(*[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "reach")]), F.col(side) == F.col(f"node_{side}"))
+    return pairs.where(_alike_in_size(like) & _enough(F.least("reach_a", "reach_b"), like)).select("a", "b")
+
+
+def _across(live: DataFrame, reaches: DataFrame, roots: DataFrame, like: Similarity) -> DataFrame:
+    """Pairs of nodes in different groups that share as many prefix shingles as the less demanding asks for.
+
+    The reach is used before pairs are counted, and then the same bound from the first shingle that a pair shares.
     """
-    own = live.groupBy("node").agg((F.first("n") - F.min("place")).alias("reach"))
-    grouped = live.join(own, "node").join(roots, "node", "left").select(
+    grouped = live.join(reaches.select("node", "reach"), "node").join(roots, "node", "left").select(
         "shingle", "node", "place", "n", "matches", "reach", F.coalesce("root", "node").alias("root")
     )
     grouped = settle(grouped, "prefix-groups")
@@ -255,13 +281,8 @@ def _across(live: DataFrame, roots: DataFrame, like: Similarity) -> DataFrame:
     fields = ("node", "place", "n", "matches", "reach", "root")
     one = open_.select("shingle", *[F.col(c).alias(f"{c}_a") for c in fields])
     two = open_.select("shingle", *[F.col(c).alias(f"{c}_b") for c in fields])
-    sizes = (F.col("n_a") * like.under >= F.col("n_b") * like.over) & (F.col("n_b") * like.under >= F.col("n_a") * like.over)
-
-    def enough(common: Column) -> Column:
-        return common * (like.over + like.under) >= (F.col("n_a") + F.col("n_b")) * like.over
-
     other = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
-    met = one.join(two, "shingle").where(other & sizes & enough(F.least("reach_a", "reach_b")))
+    met = one.join(two, "shingle").where(other & _alike_in_size(like) & _enough(F.least("reach_a", "reach_b"), like))
     pairs = met.groupBy("node_a", "node_b").agg(
         F.count(F.lit(1)).alias("shared"),
         F.least(F.first("matches_a"), F.first("matches_b")).alias("wanted"),
@@ -269,7 +290,7 @@ def _across(live: DataFrame, roots: DataFrame, like: Similarity) -> DataFrame:
         F.first("n_b").alias("n_b"),
         F.least(F.first("n_a") - F.min("place_a"), F.first("n_b") - F.min("place_b")).alias("room"),
     )
-    return pairs.where((F.col("shared") >= F.col("wanted")) & enough(F.col("room"))).select(
+    return pairs.where((F.col("shared") >= F.col("wanted")) & _enough(F.col("room"), like)).select(
         F.col("node_a").alias("a"), F.col("node_b").alias("b")
     )
 
@@ -282,15 +303,11 @@ def groups(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:  # no
     sets = rows.where(F.col("part").isNull()).select("id", "n", "node")
 
     live = settle(_shared_only(_prefixes(spark, texts, _sketch(rows), like)), "prefixes")
-    nodes = live.select("node").distinct()
-    ids = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id")).join(nodes, "node", "left_semi")
-    node_sets = settle(_node_sets(spark, texts, nodes, ids, like), "node-sets")
-
-    sized = live.select(F.col("head").alias("a"), F.col("node").alias("b")).where("a != b").distinct()
-    links = settle(_verified(sized, node_sets, like), "links")
-    roots = components(links)
-    more = settle(_verified(_across(live, roots, like), node_sets, like), "links")
-    roots = components(links.union(more))
+    reaches = settle(_reaches(live), "reaches")
+    pairs = settle(_with_heads(live, reaches, like), "head-pairs")
+    links = _verified(spark, texts, sets, pairs, like)
+    pairs = settle(_across(live, reaches, components(links), like), "pairs")
+    roots = components(links.union(_verified(spark, texts, sets, pairs, like)))
 
     rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = settle(rooted.select("id", "n", "root"), "rooted")
