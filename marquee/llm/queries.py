@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe, graph, jaccard, langid, lines, mixing, mtree, urls, warc
+from marquee.llm import bpe, graph, jaccard, langid, lines, mixing, mtree, pii, urls, warc
 from marquee.llm.common import table
 from marquee.operators.settle import scratch_path
 
@@ -72,6 +72,20 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.learn(docs))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans")
+    )
+
+
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     field = langid.learn(docs)
@@ -82,7 +96,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_mixing, op2_bpe, op3_line_dedup, op4_jaccard, op5_top_k, op6_warc, op7_neighbours, op8_url_filter,
+        op1_mixing, op2_bpe, op3_line_dedup, op4_jaccard, op5_top_k, op6_warc, op7_neighbours, op8_url_filter, op9_pii,
         op10_language,
     )
 }
