@@ -28,7 +28,8 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 200_000, 300_000, 150_000
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 320_000, 500_000, 200_000
+ROWS = 256  # texts that are encoded before they are handed on
 NEVER = 1 << 60  # the rank of what is no token
 LONG_TEXT = 1 << 20  # characters; longer texts are cut up piece by piece
 DECODE_IDS = 1 << 16  # ids decoded at once
@@ -39,60 +40,38 @@ def read_ranks(lines: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines.splitlines() if line)}
 
 
-class Guess(dict):
-    """A state of the nondeterministic transducer: the last token, and the bytes read since.
-
-    By byte: the token that it completes, the guess behind that token, and the guess that reads on; None where there
-    is none. Looked up when first asked for.
-    """
-
-    __slots__ = ("last", "part", "transducer")
-    __hash__, __eq__ = object.__hash__, object.__eq__
-
-    def __init__(self, transducer: Transducer, last: int, part: bytes):
-        self.transducer, self.last, self.part = transducer, last, part
-
-    def __missing__(self, byte: int) -> tuple[int | None, Guess | None, Guess | None]:
-        part, machine = self.part + bytes((byte,)), self.transducer
-        token = machine.ranks.get(part)
-        ended = token is not None and machine.follows(-1, token) and machine.follows(self.last, token)
-        move = (
-            token if ended else None,
-            machine.guess(token, b"") if ended else None,
-            machine.guess(self.last, part) if part in machine.prefixes else None,
-        )
-        self[byte] = move
-        return move
-
-
 class State(dict):
-    """A determinised state: the live guesses, longest part first, each with what it would emit.
+    """A determinised state. ``part`` is what the longest guess has read since its last token; every other guess has
+    read an end of it. ``alive`` has the guesses, longest first, as three entries each: how much of ``part`` is its own,
+    its last token, and what it would emit.
 
-    By byte: the next state, and what is emitted on the way there.
+    As a table, by byte: the next state, and what is emitted on the way there. Steps are made when first asked for.
     """
 
-    __slots__ = ("alive", "transducer")
+    __slots__ = ("alive", "part", "transducer")
 
-    def __init__(self, transducer: Transducer, alive: tuple):
-        self.transducer, self.alive = transducer, alive
+    def __init__(self, transducer: Transducer, part: bytes, alive: tuple):
+        self.transducer, self.part, self.alive = transducer, part, alive
 
     def __missing__(self, byte: int) -> tuple[State, tuple[int, ...]]:
-        alive, ended = [], None
-        for guess, pending in self.alive:
-            token, behind, longer = guess[byte]
-            if longer is not None:
-                alive.append((longer, pending))
-            if behind is not None:  # of all ways to end here only one is the encoding
-                ended = (behind, (*pending, token))
+        machine, part, known = self.transducer, self.part + bytes((byte,)), self.alive
+        live, ended, size = [], None, len(part)
+        for i in range(0, len(known), 3):
+            own, last, pending = known[i] + 1, known[i + 1], known[i + 2]
+            read = part[size - own :]
+            if read in machine.prefixes:
+                live.append((own, last, pending))
+            token = machine.ranks.get(read)
+            if token is not None and machine.follows(last, token) and machine.follows(-1, token):
+                ended = (0, token, (*pending, token))  # of all ways to end here only one is the encoding
         if ended:
-            alive.append(ended)
+            live.append(ended)
+        first = live[0][2]
         agreed = 0
-        for column in zip(*[pending for _, pending in alive], strict=False):
-            if any(token != column[0] for token in column):
-                break
+        while agreed < len(first) and all(len(g[2]) > agreed and g[2][agreed] == first[agreed] for g in live):
             agreed += 1
-        emitted = alive[0][1][:agreed]
-        step = (self.transducer.state(tuple((guess, pending[agreed:]) for guess, pending in alive)), emitted)
+        alive = tuple([entry for own, last, pending in live for entry in (own, last, pending[agreed:])])
+        step = (machine.state(part[size - live[0][0] :], alive), first[:agreed])
         self[byte] = step
         return step
 
@@ -109,22 +88,15 @@ class Transducer:
 
     def _reset(self) -> None:
         """Forget all states but the first: nothing read, nothing pending. A state in use lives on."""
-        self.guesses: dict[tuple[int, bytes], Guess] = {}
         self.states: dict[tuple, State] = {}
-        self.start = self.state(((self.guess(-1, b""), ()),))
-
-    def guess(self, last: int, part: bytes) -> Guess:
-        found = self.guesses.get((last, part))
-        if found is None:
-            found = self.guesses[last, part] = Guess(self, last, part)
-        return found
+        self.start = self.state(b"", (0, -1, ()))
 
-    def state(self, alive: tuple) -> State:
-        found = self.states.get(alive)
+    def state(self, part: bytes, alive: tuple) -> State:
+        found = self.states.get((part, alive))
         if found is None:
             if len(self.states) >= MAX_STATES:
                 self._reset()
-            found = self.states[alive] = State(self, alive)
+            found = self.states[part, alive] = State(self, part, alive)
         return found
 
     def merged(self, piece: bytes) -> list[int]:
@@ -163,7 +135,7 @@ class Transducer:
             at, emitted = at[byte]
             if emitted:
                 out += emitted
-        out += at.alive[-1][1]  # where a piece may end, the last guess has a whole token behind it
+        out += at.alive[-1]  # where a piece may end, the last guess has a whole token behind it
         return out
 
 
@@ -211,6 +183,13 @@ def _shared(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
+def _slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The rows of batches, a few at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _encoded(texts: pa.Array, pieces: Pieces, cut: regex.Pattern) -> pa.ListArray:
     out = [encode_text(text, pieces, cut) if text else b"" for text in (value.as_py() for value in texts)]
     ends = np.cumsum([0, *[len(ids) // 4 for ids in out]])
@@ -224,7 +203,7 @@ def encoder(spark: SparkSession, path: str, pattern: str):
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces, cut = _pieces(lines.value), regex.compile(pattern)
-        for batch in batches:
+        for batch in _slices(batches):
             yield _encoded(batch, pieces, cut)
 
     return F.arrow_udf(encode, "array<int>")
@@ -261,7 +240,7 @@ def decoder(spark: SparkSession, path: str):
 
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = _token_list(read_ranks(lines.value))
-        for batch in batches:
+        for batch in _slices(batches):
             yield _decoded(batch, tokens)
 
     return F.arrow_udf(decode, "string")
@@ -274,7 +253,7 @@ def round_trip(spark: SparkSession, path: str, pattern: str):
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces, cut = _pieces(lines.value), regex.compile(pattern)
         tokens = _token_list(pieces.transducer.ranks)
-        for batch in batches:
+        for batch in _slices(batches):
             ids = _encoded(batch, pieces, cut)
             yield pa.StructArray.from_arrays([ids, _decoded(ids, tokens)], ["ids", "text"])
 
