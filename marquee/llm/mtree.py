@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from marquee.llm.vectors import KEY, search, shards, stacked, usable
 from marquee.operators.settle import settle
 
-PAGE = 64  # entries of a page
+PAGE = 512  # entries of a page
 SHARD_ROWS = 16384
 BLOCK_ROWS = 1024
 PAGE_SCHEMA = "dims int, shard int, page int, leaf boolean, least long, longest double, entries binary, radii binary, apart binary, below binary, counts binary"
@@ -57,7 +57,7 @@ class Builder:
             below, counts = np.concatenate([self.ids[r] for r in rows]), [len(self.ids[r]) for r in rows]
             entries, radii, leaf = rows, np.zeros(len(rows)), True
         else:
-            entries = self.rnd.choice(rows, min(PAGE, -(-len(rows) // 16)), replace=False)
+            entries = self.rnd.choice(rows, min(PAGE, -(-2 * len(rows) // PAGE)), replace=False)
             far = _distances(self.x[rows], self.x[entries], self.longest)
             nearest = far.argmin(1)
             if len(np.unique(nearest)) == 1:  # rounding makes them all alike
@@ -83,6 +83,11 @@ def build(shard: pd.DataFrame) -> pd.DataFrame:
     return pages.assign(dims=shard["dims"].iloc[0], shard=shard["shard"].iloc[0])[[c.split()[0] for c in PAGE_SCHEMA.split(", ")]]
 
 
+def _products(vectors: np.ndarray, some: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Products of some vectors with ``x``; of most it is cheaper to take all than to copy them."""
+    return (vectors @ x)[some] if 2 * len(some) > len(vectors) else vectors[some] @ x
+
+
 class Tree:
     """A shard's pages, ready to be searched."""
 
@@ -94,11 +99,13 @@ class Tree:
             x = entries.astype(np.float64)
             numbers = [np.frombuffer(a, t) for a, t in ((p.radii, "f8"), (p.apart, "f8"), (p.below, "i8"), (p.counts, "i8"))]
             self.pages[p.page] = (bool(p.leaf), entries, x, *numbers)
+        self.exact = self.longest < 2.0**52  # products in double precision are then exact integers
 
     def top(self, query_id: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
         """The best ``k`` as (score, id)."""
         x = q.astype(np.float64)
         square = float(x @ x)
+        exact = self.exact and square < 2.0**52 and self.longest * square < 2.0**104
         length, margin = np.sqrt(square), 1e-9 * (square + self.longest) + 1e-6
         best: list[tuple[int, int]] = []  # a heap of (score, -id): its first is the worst
         heap = [(-np.inf, 0, 0, float(np.sqrt(square + self.longest)))]
@@ -115,7 +122,7 @@ class Tree:
             if not len(near):
                 continue
             if leaf:
-                scores = entries[near] @ q
+                scores = _products(vectors, near, x) if exact else entries[near] @ q
                 starts = np.cumsum(counts) - counts
                 for at in np.flatnonzero(scores >= worst):
                     start = starts[near[at]]
@@ -130,7 +137,7 @@ class Tree:
                         else:
                             break
                 continue
-            products = vectors[near] @ x
+            products = _products(vectors, near, x)
             far = np.sqrt(np.maximum(square + self.longest - 2 * products, 0))
             closest = np.maximum(far - radii[near], 0)
             bounds = np.minimum(products + length * radii[near], (square + self.longest - closest * closest) / 2)
