@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.operators.settle import settle
-from marquee.operators.skew import shuffle_partitions, worth_spreading
 
 # monotonically_increasing_id() holds the partition above these bits and the
 # row's place in the partition below them.
@@ -24,11 +23,8 @@ PLACE_BITS = 33
 def _placed(df: DataFrame, within: Sequence[str], order_by: Sequence[Column]) -> DataFrame:
     """``df`` sorted across partitions, with ``_part`` and 0-based ``_place``."""
     order = [F.col(name).asc_nulls_first() for name in within] + list(order_by)
-    parts = shuffle_partitions(df.sparkSession)
-    if not worth_spreading(df):
-        parts = min(parts, df.sparkSession.sparkContext.defaultParallelism)
     ranged = (
-        df.repartitionByRange(parts, *order)
+        df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_at", F.monotonically_increasing_id())
     )
@@ -53,8 +49,6 @@ def _numbered(placed: DataFrame, within: Sequence[str], name: str, total: str |
         (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_offset"),
         F.sum("_rows").over(group).alias("_total"),
     )
-    if not within:
-        runs = F.broadcast(runs)  # one row per shuffle partition
     same_run = F.col("_part") == F.col("_run_part")
     for key in within:
         same_run = same_run & F.col(key).eqNullSafe(F.col(f"_run_{key}"))

@@ -6,28 +6,15 @@ recomputing its inputs, and keeps column pruning and size statistics.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, else one of our own.
-
-    A folder of our own is made only on a local master: a machine-local path
-    cannot be shared by the executors of a cluster.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir()
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="marquee-"))
-    return context.getCheckpointDir()
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which is shared too."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -1,172 +1,58 @@
 """Joins from a large table to a lookup when single keys may be very hot.
 
-A hot key is one that holds more than one in ``HOT_SHARE`` rows, so there are
-fewer than ``HOT_SHARE`` of them whatever the data size; that is the bound
-under which their list is broadcast. Rows of a hot key are dealt to as many
-tasks as their share of all shuffle partitions, and the matching lookup rows
-are copied to those tasks. Rows without a key are dealt out as well.
+Adaptive execution reads the sizes of the shuffled partitions and splits what a hot key, or the rows without a key,
+have filled; the matching lookup rows are read by every split. It does so at run time, at any scale, without looking
+for hot keys first. ``marquee.session.SETTINGS`` allows it to split also where the join's partitioning is used again.
+What is left for the join itself is that both sides hash a key alike, so keys are brought to their common type.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from marquee.operators.settle import settle
-
-HOT_SHARE = 2000
-# Sketch size: its error, about 1 row in 4,600, stays below one in HOT_SHARE.
-TRACKED_KEYS = 8192
-SKETCH_LANES = 64
-# Tables read from less than this many bytes are joined plainly: even all their
-# rows under one key are a short task. The setting overrides it.
-SPREAD_FLOOR = 32 << 20
-SPREAD_FLOOR_SETTING = "marquee.spread.floorBytes"
+from pyspark.sql import types as T
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def broadcast_limit(spark: SparkSession) -> int:
-    """``spark.sql.autoBroadcastJoinThreshold`` in bytes (-1 when switched off)."""
-    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower().removesuffix("b")
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether Spark's own size estimate allows it to broadcast ``df``."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size <= broadcast_limit(df.sparkSession)
-
-
-def worth_spreading(df: DataFrame) -> bool:
-    """Whether ``df`` reads enough data for a hot key to matter."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    read = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    return read >= int(df.sparkSession.conf.get(SPREAD_FLOOR_SETTING, str(SPREAD_FLOOR)))
-
-
-def _any_null(on: Sequence[str]) -> Column:
-    missing = F.lit(False)
-    for name in on:
-        missing = missing | F.col(name).isNull()
-    return missing
-
-
-def costs_a_shuffle(df: DataFrame) -> bool:
-    """Whether computing ``df`` takes more than a scan."""
-    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
-
-
-@dataclass(frozen=True)
-class HotKeys:
-    """Task counts of hot keys by key hash, and of rows without a key."""
-
-    tasks: dict[int, int]
-    missing: int = 1
-
-    def __bool__(self) -> bool:
-        return bool(self.tasks) or self.missing > 1
+WHOLE = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 20}  # type -> digits
 
 
-def hot_keys(rows: DataFrame, on: Sequence[str]) -> HotKeys:
-    """The hot keys of ``rows``, found once so that both sides of a join agree on them.
-
-    Frequent-item sketches are built per task, merged in lanes and then once:
-    one scan of the key columns, no shuffle of rows, and fewer than
-    ``HOT_SHARE`` keys for the driver. A key the sketch misses or adds changes
-    the spread, never the result.
-    """
-    parts = shuffle_partitions(rows.sparkSession)
-    lanes = (
-        rows.select(
-            F.when(~_any_null(on), F.xxhash64(*on)).alias("_key"),
-            F.pmod(F.spark_partition_id(), F.lit(SKETCH_LANES)).alias("_lane"),
-        )
-        .groupBy("_lane")
-        .agg(
-            F.expr(f"approx_top_k_accumulate(_key, {TRACKED_KEYS})").alias("_sketch"),
-            F.count(F.lit(1)).alias("_rows"),
-        )
-    )
-    # A grouping column that is always true: the combining aggregate cannot
-    # serialise the empty buffer a global aggregate makes for an empty task.
-    merged = lanes.groupBy((F.col("_lane") >= 0).alias("_all")).agg(
-        F.expr(f"approx_top_k_combine(_sketch, {TRACKED_KEYS})").alias("_sketch"),
-        F.sum("_rows").alias("_rows"),
-    )
-    found = (
-        merged.select(
-            "_rows", F.expr(f"inline(approx_top_k_estimate(_sketch, {HOT_SHARE}))").alias("_key", "_count")
-        )
-        .where(F.col("_count") * HOT_SHARE > F.col("_rows"))
-        .select("_key", F.ceil(F.col("_count") * parts / F.col("_rows")).cast("int").alias("_tasks"))
-        .where(F.col("_tasks") > 1)
-        .collect()
-    )
-    tasks = {row["_key"]: row["_tasks"] for row in found}
-    return HotKeys({key: n for key, n in tasks.items() if key is not None}, tasks.get(None, 1))
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type in which keys of both types compare exactly; raises where there is none."""
+    if a == b:
+        return a
+    if type(a) in WHOLE and type(b) in WHOLE:
+        return max(a, b, key=lambda t: WHOLE[type(t)])
+    if isinstance(a, T.DecimalType) or isinstance(b, T.DecimalType):
+        sizes = []
+        for kind in (a, b):
+            if isinstance(kind, T.DecimalType):
+                sizes.append((kind.precision - kind.scale, kind.scale))
+            elif type(kind) in WHOLE:
+                sizes.append((WHOLE[type(kind)], 0))
+        whole, scale = (max(s) for s in zip(*sizes, strict=True))
+        if len(sizes) == 2 and whole + scale <= 38:
+            return T.DecimalType(whole + scale, scale)
+    strings = (T.StringType, T.VarcharType, T.CharType)
+    if isinstance(a, strings) and isinstance(b, strings):
+        return T.StringType()
+    raise TypeError(f"keys of types {a.simpleString()} and {b.simpleString()} do not compare exactly")
 
 
-def lookup_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    on: str | Sequence[str],
-    how: str = "left",
-    *,
-    spread_by: Sequence[str] | None = None,
-    hot_from: DataFrame | None = None,
-) -> DataFrame:
-    """``rows.join(lookup, on, how)`` that no hot or missing key can slow down.
+def lookup_join(rows: DataFrame, lookup: DataFrame, on: str | Sequence[str], how: str = "left") -> DataFrame:
+    """``rows.join(lookup, on, how)``; ``how`` is one of left, inner, left_semi, left_anti.
 
-    ``how`` is one of left, inner, left_semi, left_anti. ``spread_by`` names the
-    columns that tell rows of one key apart (default: all columns of ``rows``).
-    ``hot_from`` is a cheaper table with the same keys to look for hot ones in;
-    without it, ``rows`` that take more than a scan are settled first, so that
-    looking does not compute them twice. When Spark estimates ``lookup`` below its broadcast threshold, or ``rows``
-    reads too little for a hot key to matter, the plain join is left to Spark.
+    Key columns get the common type of both sides. Rows without a key find no partner.
     """
     on = [on] if isinstance(on, str) else list(on)
-    if is_small(lookup) or not worth_spreading(rows):
-        return rows.join(lookup, on, how)
-
-    if hot_from is None and costs_a_shuffle(rows):
-        rows = settle(rows, "lookup-rows")
-    hot = hot_keys(rows if hot_from is None else hot_from, on)
-    if not hot:
-        return rows.join(lookup, on, how)
-
-    listed = pa.table(
-        {
-            "_key": pa.array(list(hot.tasks), pa.int64()),
-            "_tasks": pa.array(list(hot.tasks.values()), pa.int32()),
-        }
-    )
-    shares = F.broadcast(rows.sparkSession.createDataFrame(listed))  # fewer than HOT_SHARE rows
-    dealt = F.xxhash64(*(spread_by or rows.columns))
-    salted_rows = (
-        rows.withColumn("_key", F.xxhash64(*on))
-        .join(shares, "_key", "left")
-        .withColumn(
-            "_salt",
-            F.when(_any_null(on), F.pmod(dealt, F.lit(hot.missing)))
-            .when(F.col("_tasks").isNotNull(), F.pmod(dealt, F.col("_tasks").cast("long")))
-            .otherwise(F.lit(0))
-            .cast("int"),
-        )
-        .drop("_key", "_tasks")
-    )
-    salted_lookup = (
-        lookup.dropna(subset=on)
-        .withColumn("_key", F.xxhash64(*on))
-        .join(shares, "_key", "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_tasks"), F.lit(1)) - 1)))
-        .drop("_key", "_tasks")
-    )
-    return salted_rows.join(salted_lookup, [*on, "_salt"], how).drop("_salt")
+    for name in on:
+        ours, theirs = rows.schema[name].dataType, lookup.schema[name].dataType
+        kind = common_type(ours, theirs)
+        rows = rows if ours == kind else rows.withColumn(name, F.col(name).cast(kind))
+        lookup = lookup if theirs == kind else lookup.withColumn(name, F.col(name).cast(kind))
+    return rows.join(lookup, on, how)

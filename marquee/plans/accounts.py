@@ -22,7 +22,7 @@ def customer_balance(shop: Shop, as_of: str, replacement: bool = False) -> DataF
     until = F.lit(as_of).cast("timestamp_ntz")
     films = shop.film.select("film_id", "rental_rate", "rental_duration", "replacement_cost")
     copies = lookup_join(
-        shop.inventory_core, films, "film_id", "inner", spread_by=["inventory_id"]
+        shop.inventory_core, films, "film_id", "inner"
     )
     rented = shop.rental.where(F.col("rental_date") <= until).select(
         "rental_id", "customer_id", "inventory_id", "rental_date", "return_date"
@@ -34,7 +34,7 @@ def customer_balance(shop: Shop, as_of: str, replacement: bool = False) -> DataF
     fee = F.when(late > 0, F.call_function("div", late, F.lit(MICROS_PER_DAY))).otherwise(0)
     kept = F.when(late > F.col("rental_duration").cast("long") * 2 * MICROS_PER_DAY, F.col("replacement_cost"))
     charges = (
-        lookup_join(rented, copies, "inventory_id", "inner", spread_by=["rental_id"])
+        lookup_join(rented, copies, "inventory_id", "inner")
         .groupBy("customer_id")
         .agg(
             F.sum("rental_rate").alias("fees"),

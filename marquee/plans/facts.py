@@ -54,7 +54,6 @@ def copy_titles(shop: Shop) -> DataFrame:
         shop.inventory_core,
         shop.film.select("film_id", "title"),
         "film_id",
-        spread_by=["inventory_id"],
     )
 
 

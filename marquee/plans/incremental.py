@@ -75,8 +75,6 @@ def with_history(rentals: DataFrame, new: DataFrame, customers: DataFrame | None
         touched_customers(new),
         "customer_id",
         "left_semi",
-        spread_by=["rental_id"],
-        hot_from=customers,
     )
 
 

@@ -99,7 +99,7 @@ def watched_actors(shop: Shop, watched: DataFrame, rules: Rules) -> DataFrame:
     """
     cast = cast_names(shop, rules.actors_by)
     return (
-        lookup_join(watched, cast, "film_id", spread_by=["customer_id", "film_id"])
+        lookup_join(watched, cast, "film_id")
         .groupBy("customer_id", "actor_id", "actor_name")
         .agg(F.sum(F.col("times") * F.coalesce("appearances", F.lit(1))).alias("seen"))
     )
@@ -169,7 +169,7 @@ class Lifecycle:
         """Revenue of the opening period and the value tier it gives."""
         periods = self.spans.select("customer_id", period_end(self.rules).alias("thirty_days_date"))
         rentals = self.facts.select("rental_id", "customer_id", "rental_date", "paid")
-        early = lookup_join(rentals, periods, "customer_id", "inner", spread_by=["rental_id"]).where(
+        early = lookup_join(rentals, periods, "customer_id", "inner").where(
             F.col("rental_date") < F.col("thirty_days_date")
         )
         revenue = early.groupBy("customer_id").agg(
@@ -184,7 +184,7 @@ class Lifecycle:
         rentals = self.facts.select("rental_id", "customer_id", "inventory_id")
         copies = self.copies.select("inventory_id", "film_id")
         watched = (
-            lookup_join(rentals, copies, "inventory_id", spread_by=["rental_id"])
+            lookup_join(rentals, copies, "inventory_id")
             .groupBy("customer_id", "film_id")
             .agg(F.count("rental_id").alias("times"))
         )
@@ -197,7 +197,7 @@ class Lifecycle:
             return self.facts.groupBy("customer_id").agg(F.min(rental).alias("a"), F.max(rental).alias("b"))
         dates = self.spans.select("customer_id", "first_rent_date", "last_rent_date")
         rentals = self.facts.select("rental_id", "customer_id", "rental_date", "inventory_id")
-        at_ends = lookup_join(rentals, dates, "customer_id", "inner", spread_by=["rental_id"]).where(
+        at_ends = lookup_join(rentals, dates, "customer_id", "inner").where(
             (F.col("rental_date") == F.col("first_rent_date"))
             | (F.col("rental_date") == F.col("last_rent_date"))
         )
@@ -228,7 +228,7 @@ class Lifecycle:
                 )
             ),
         ).select("customer_id", "is_first", "end.rental_date", "end.inventory_id")
-        titled = lookup_join(marked, titles, "inventory_id", spread_by=["customer_id", "is_first"])
+        titled = lookup_join(marked, titles, "inventory_id")
 
         def pick(first: bool, column: str) -> Column:
             chosen = F.col("is_first") if first else ~F.col("is_first")

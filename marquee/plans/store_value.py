@@ -30,7 +30,7 @@ def mid_value_store_month(
     ).select("rental_id", "customer_id", "rental_date", "inventory_id")
     stores = shop.inventory.select("inventory_id", "store_id")
     located = lookup_join(
-        paid_rentals(shop, rentals), stores, "inventory_id", spread_by=["rental_id"], hot_from=rentals
+        paid_rentals(shop, rentals), stores, "inventory_id"
     )
     # A customer is at most one row per month and store from here on.
     monthly = settle(
@@ -43,7 +43,7 @@ def mid_value_store_month(
     tiled = tiles(yearly, buckets, [F.asc("paid"), F.asc("customer_id")])
     middle = tiled.where(F.col("tile").between(low, high)).select("customer_id")
     kept = lookup_join(
-        monthly, middle, "customer_id", "left_semi", spread_by=["customer_id", "month", "store_id"]
+        monthly, middle, "customer_id", "left_semi"
     )
     weight = F.sum("joined_rows") if grain == "row" else F.count(F.lit(1))
     return (

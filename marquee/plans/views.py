@@ -140,9 +140,9 @@ def sales_by_store(shop: Shop) -> DataFrame:
         "inner",
     )
     managers = shop.staff.select("staff_id", full_name("first_name", "last_name").alias("manager"))
-    managed = lookup_join(stores, managers, "staff_id", "inner", spread_by=["store_id"])
+    managed = lookup_join(stores, managers, "staff_id", "inner")
     return (
-        lookup_join(managed, places(shop), "address_id", "inner", spread_by=["store_id"])
+        lookup_join(managed, places(shop), "address_id", "inner")
         .orderBy("country", "city", "store_id")
         .select(F.concat("city", F.lit(","), "country").alias("store"), "manager", "total_sales")
     )

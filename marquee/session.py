@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
-# Adaptive execution coalesces small shuffle partitions and splits skewed
-# ones; the jobs salt hot keys themselves, so this is the second line.
+# Adaptive execution coalesces small shuffle partitions and splits those that
+# a hot key fills, also where a later step could have used the partitioning.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -23,6 +26,7 @@ def local_session(cpus: int | str = "*", app: str = "marquee", **extra: str) ->
         **SETTINGS,
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "12g",
+        "spark.checkpoint.dir": f"{os.getcwd()}/spark-warehouse/checkpoints",
         # Small inputs still use every core where a join multiplies rows.
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
         **extra,

@@ -65,7 +65,7 @@ class OrderProjection:
         supplier = self._read("supplier").select(
             F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("store_id")
         )
-        return lookup_join(self.lead_lines(), supplier, "l_suppkey", spread_by=["l_orderkey"]).select(
+        return lookup_join(self.lead_lines(), supplier, "l_suppkey").select(
             F.col("l_orderkey").alias("inventory_id"), F.col("l_partkey").alias("film_id"), "store_id"
         )
 

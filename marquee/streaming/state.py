@@ -46,7 +46,6 @@ def _early(rentals: DataFrame, firsts: DataFrame, rules: Rules) -> DataFrame:
             firsts.select("customer_id", "first_rent_date"),
             "customer_id",
             "inner",
-            spread_by=["rental_id"],
         )
         .where(F.col("rental_date") < period_end(rules))
         .groupBy("customer_id")
@@ -65,7 +64,7 @@ def _facts(shop: Shop, rentals: DataFrame) -> DataFrame:
 
 
 def _state_of(shop: Shop, facts: DataFrame, rules: Rules) -> State:
-    titled = lookup_join(facts, copy_titles(shop), "inventory_id", spread_by=["rental_id"])
+    titled = lookup_join(facts, copy_titles(shop), "inventory_id")
     end = F.struct("rental_date", "rental_id", "title")
     totals = titled.groupBy("customer_id").agg(
         F.min(end).alias("first"),
@@ -123,7 +122,6 @@ def merge_state(state: State, shop: Shop, batch: DataFrame, rules: Rules = Rules
         moved.select("customer_id"),
         "customer_id",
         "left_semi",
-        spread_by=["rental_id"],
     )
     reread = _early(paid_rentals(shop, history, part=True), moved, rules)
     early = (

@@ -7,7 +7,8 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from marquee.operators import skew  # noqa: E402
+from check import SPLIT_ALL  # noqa: E402
+from marquee.operators.settle import drop_settled  # noqa: E402
 from marquee.session import local_session  # noqa: E402
 
 
@@ -15,18 +16,17 @@ from marquee.session import local_session  # noqa: E402
 def spark():
     session = local_session(8, app="tests", **{"spark.sql.shuffle.partitions": "4"})
     yield session
+    drop_settled(session)
     session.stop()
 
 
 @pytest.fixture(params=["plain", "spread"])
 def joins(request, spark):
-    """Run a test with plain lookups and with every lookup spread."""
+    """Run a test with joins as Spark plans them, and with all of them shuffled and split."""
+    before = {key: spark.conf.get(key, None) for key in SPLIT_ALL}
     if request.param == "spread":
-        threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        spark.conf.set(skew.SPREAD_FLOOR_SETTING, "0")
-        yield request.param
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-        spark.conf.unset(skew.SPREAD_FLOOR_SETTING)
-    else:
-        yield request.param
+        for key, value in SPLIT_ALL.items():
+            spark.conf.set(key, value)
+    yield request.param
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -2,77 +2,75 @@ from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marquee.operators import skew
-from marquee.operators.skew import broadcast_limit, hot_keys, is_small, lookup_join, worth_spreading
+from marquee.operators.skew import common_type, lookup_join
 
+HOW = ["left", "inner", "left_semi", "left_anti"]
 
-def facts(spark, n=6000):
+
+def facts(spark, n=6000, kind="long"):
     """A third of the rows under key 7, a tenth without a key."""
     key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 10 != 1, F.col("id") % 997)
-    return spark.range(0, n, 1, 8).select(F.col("id").alias("n"), key.alias("k"), (F.col("id") % 5).alias("j"))
+    return spark.range(0, n, 1, 8).select(F.col("id").alias("n"), key.cast(kind).alias("k"), (F.col("id") % 5).alias("j"))
+
+
+def lookup(spark, kind="long"):
+    return spark.range(0, 900).select(F.col("id").cast(kind).alias("k"), (F.col("id") * 2).alias("v"))
+
+
+def same(a, b):
+    assert sorted(a.columns) == sorted(b.columns)
+    a = a.select(*b.columns)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
 
+@pytest.mark.parametrize("how", HOW)
+def test_join_equals_plain_join(spark, joins, how):
+    same(lookup_join(facts(spark), lookup(spark), "k", how), facts(spark).join(lookup(spark), "k", how))
 
-def lookup(spark):
-    return spark.range(0, 900).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
 
+@pytest.mark.parametrize("how", HOW)
+@pytest.mark.parametrize("ours,theirs", [("int", "long"), ("long", "int"), ("short", "decimal(12,3)"), ("decimal(9,1)", "decimal(12,3)")])
+def test_keys_of_different_types_meet(spark, joins, how, ours, theirs):
+    found = lookup_join(facts(spark, kind=ours), lookup(spark, kind=theirs), "k", how)
+    plain = lookup_join(facts(spark), lookup(spark), "k", how)
+    assert found.count() == plain.count()
+    same(found.drop("k"), plain.drop("k"))
 
-@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_spread_join_equals_plain_join(spark, joins, how):
-    a, b = facts(spark), lookup(spark)
-    ours = lookup_join(a, b, "k", how, spread_by=["n"])
-    plain = a.join(b, "k", how)
-    assert sorted(ours.columns) == sorted(plain.columns)
-    ours = ours.select(*plain.columns)
-    assert ours.exceptAll(plain).count() == 0 and plain.exceptAll(ours).count() == 0
 
+def test_types_without_a_common_one_are_refused():
+    assert common_type(T.DecimalType(10, 2), T.LongType()) == T.DecimalType(22, 2)
+    for other in (T.DoubleType(), T.StringType(), T.DecimalType(38, 30)):
+        with pytest.raises(TypeError):
+            common_type(T.LongType(), other)
 
-def test_spread_join_with_several_matches_and_two_keys(spark, joins):
+
+def test_join_with_several_matches_and_two_keys(spark, joins):
     a = facts(spark, 1500)
     b = spark.range(0, 60).select((F.col("id") % 20).alias("k"), (F.col("id") % 5).alias("j"), F.col("id").alias("v"))
-    ours = lookup_join(a, b, ["k", "j"], "inner")
-    plain = a.join(b, ["k", "j"], "inner")
+    ours, plain = lookup_join(a, b, ["k", "j"], "inner"), a.join(b, ["k", "j"], "inner")
     assert ours.count() == plain.count() > 0
-    assert ours.exceptAll(plain.select(*ours.columns)).count() == 0
-
-
-def test_hot_keys_and_missing_keys_are_found(spark):
-    found = hot_keys(facts(spark), ["k"])
-    seven = spark.range(1).select(F.xxhash64(F.lit(7).cast("long"))).first()[0]
-    assert found.tasks == {seven: 2} and found.missing == 1  # 2,000 and 400 of 6,000 rows, 4 partitions
-    none = hot_keys(facts(spark).where("k is null"), ["k"])
-    assert none.tasks == {} and none.missing == 4
-    assert not hot_keys(facts(spark).limit(0), ["k"])
-    assert not hot_keys(spark.range(5000), ["id"])
+    same(ours, plain)
 
 
-@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+@pytest.mark.parametrize("how", HOW)
 def test_only_missing_keys_are_hot(spark, joins, how):
     a = spark.range(3000).select(F.col("id").alias("n"), F.when(F.col("id") % 3 == 0, F.col("id")).alias("k"))
-    plain = a.join(lookup(spark), "k", how)
-    ours = lookup_join(a, lookup(spark), "k", how, spread_by=["n"]).select(*plain.columns)
-    assert ours.exceptAll(plain).count() == 0 and plain.exceptAll(ours).count() == 0
+    same(lookup_join(a, lookup(spark), "k", how), a.join(lookup(spark), "k", how))
 
 
-def test_spread_rows_of_a_hot_key_reach_several_tasks(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    spark.conf.set(skew.SPREAD_FLOOR_SETTING, "0")
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
+def test_a_hot_key_is_split_also_before_a_grouping_by_it(spark):
+    from check import SPLIT_ALL
+
+    before = {key: spark.conf.get(key, None) for key in SPLIT_ALL}
+    for key, value in SPLIT_ALL.items():
+        spark.conf.set(key, value)
     try:
-        joined = lookup_join(facts(spark, 60000), lookup(spark), "k", spread_by=["n"])
-        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
-        assert sum(sizes) == 60000
-        # plain hashing would put a third and more of all rows into one of 16 tasks
-        assert max(sizes) < 60000 / 5
+        joined = lookup_join(facts(spark, 200_000), lookup(spark), "k", "inner").groupBy("k").agg(F.sum("v").alias("v"))
+        assert joined.where("k = 7").first()["v"] > 0
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-        spark.conf.unset(skew.SPREAD_FLOOR_SETTING)
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-
-
-def test_size_checks(spark):
-    assert broadcast_limit(spark) == 10 << 20
-    assert is_small(spark.range(10)) and not is_small(spark.range(10**9))
-    assert not worth_spreading(spark.range(10)) and worth_spreading(spark.range(10**9))
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
