@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marquee.operators.skew import lookup_join
+
 
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], newest_by: str | None = None) -> DataFrame:
     """Rows of ``new`` in place of those of ``old`` with the same key.
@@ -17,13 +19,15 @@ def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], newest_by: str |
     key = list(key)
     if newest_by is None:
         return old.join(new, key, "left_anti").unionByName(new)
-    columns = old.columns
-    both = old.select(*key, F.struct(*columns).alias("_old")).join(
-        new.select(*key, F.struct(*columns).alias("_new")), key, "full"
+    # Old rows without a replacement pass by; of those with one, only keys and dates meet the new rows.
+    dates = new.select(*key, F.col(newest_by).alias("_new"))
+    stay = (
+        old.join(dates, key)
+        .where(F.col("_new") < F.col(newest_by))
+        .select(*old.columns)
     )
-    older = F.col(f"_new.{newest_by}") < F.col(f"_old.{newest_by}")
-    stale = F.col("_new").isNull() | F.coalesce(older, F.lit(False))
-    return both.select(F.when(stale, F.col("_old")).otherwise(F.col("_new")).alias("_row")).select("_row.*")
+    passed = old.join(new.select(*key), key, "left_anti")
+    return passed.unionByName(stay).unionByName(new.join(stay.select(*key), key, "left_anti").select(*old.columns))
 
 
 def stamp_changes(
@@ -51,4 +55,4 @@ def fill_defaults(df: DataFrame, defaults: Mapping[str, Column]) -> DataFrame:
 
 def delete_using(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows without a partner in ``other``."""
-    return df.join(other, list(on), "left_anti")
+    return lookup_join(df, other.select(*on).distinct(), list(on), "left_anti")

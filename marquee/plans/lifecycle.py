@@ -139,14 +139,18 @@ class Lifecycle:
 
     @cached_property
     def spans(self) -> DataFrame:
-        """Dates, revenue and counts of every customer."""
-        return self.facts.groupBy("customer_id").agg(
+        """Dates, revenue, counts, and the first and last rental of every customer; one pass over the rentals."""
+        rental = F.struct("rental_date", "rental_id", "inventory_id")
+        spans = self.facts.groupBy("customer_id").agg(
+            F.min(rental).alias("a"),
+            F.max(rental).alias("b"),
             F.min("rental_date").alias("first_rent_date"),
             F.max("rental_date").alias("last_rent_date"),
             F.sum("paid").cast("decimal(28,2)").alias("total_revenue"),
             F.sum("joined_rows").alias("num_of_rentals"),
             F.count(F.lit(1)).alias("num_distinct_rentals"),
         )
+        return settle(spans, "spans")
 
     @cached_property
     def copies(self) -> DataFrame:
@@ -193,8 +197,7 @@ class Lifecycle:
     def _ends(self) -> DataFrame:
         """First and last rental of every customer as structs ``a`` and ``b``."""
         if self.rules.extremes == "chronological":
-            rental = F.struct("rental_date", "rental_id", "inventory_id")
-            return self.facts.groupBy("customer_id").agg(F.min(rental).alias("a"), F.max(rental).alias("b"))
+            return self.spans.select("customer_id", "a", "b")
         dates = self.spans.select("customer_id", "first_rent_date", "last_rent_date")
         rentals = self.facts.select("rental_id", "customer_id", "rental_date", "inventory_id")
         at_ends = lookup_join(rentals, dates, "customer_id", "inner").where(
@@ -256,7 +259,7 @@ class Lifecycle:
 
     def _assembled(self) -> DataFrame:
         return (
-            self.spans.withColumn("thirty_days_date", period_end(self.rules))
+            self.spans.drop("a", "b").withColumn("thirty_days_date", period_end(self.rules))
             .join(self.period_revenue, "customer_id", "left")
             .join(self.first_latest_film, "customer_id", "left")
         )

@@ -30,7 +30,7 @@ def mid_value_store_month(
     ).select("rental_id", "customer_id", "rental_date", "inventory_id")
     stores = shop.inventory.select("inventory_id", "store_id")
     located = lookup_join(
-        paid_rentals(shop, rentals), stores, "inventory_id"
+        paid_rentals(shop, rentals, part=True), stores, "inventory_id"
     )
     # A customer is at most one row per month and store from here on.
     monthly = settle(

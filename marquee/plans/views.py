@@ -25,10 +25,25 @@ def actor_info(shop: Shop) -> DataFrame:
     per_category = played.groupBy("actor_id", "category_id", "name").agg(
         F.concat(F.col("name"), F.lit(": "), group_concat("title")).alias("entry")
     )
-    lists = per_category.groupBy("actor_id").agg(group_concat("entry", distinct=True).alias("film_info"))
+    lists = per_category.groupBy("actor_id").agg(group_concat("entry").alias("film_info"))
     return shop.actor.select("actor_id", "first_name", "last_name").join(lists, "actor_id", "left")
 
 
+def actor_titles(shop: Shop) -> DataFrame:
+    """What ``actor_info`` lists, as rows of actor, category and title; for catalogues whose lists outgrow a cell."""
+    titles, names = shop.film.select("film_id", "title"), shop.category.select("category_id", F.col("name").alias("category"))
+    filed = lookup_join(shop.film_category.select("film_id", "category_id"), titles, "film_id", "inner")
+    filed = lookup_join(filed, names, "category_id", "inner")
+    played = lookup_join(shop.film_actor.select("actor_id", "film_id"), filed, "film_id", "inner")
+    return played.select("actor_id", "category", "title")
+
+
+def film_actors(shop: Shop) -> DataFrame:
+    """What ``film_list`` lists, as rows of film and actor."""
+    actors = shop.actor.select("actor_id", full_name("first_name", "last_name").alias("actor_name"))
+    return lookup_join(shop.film_actor.select("film_id", "actor_id"), actors, "actor_id", "inner").select("film_id", "actor_name")
+
+
 def _address_list(shop: Shop, people: DataFrame) -> DataFrame:
     return lookup_join(people, places(shop), "address_id", "inner")
 

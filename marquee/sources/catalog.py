@@ -155,9 +155,12 @@ FOREIGN_KEYS = [
 RATINGS = ["G", "PG", "PG-13", "R", "NC-17"]
 YEARS = (1901, 2155)
 
-# Column defaults ("now" is the load time).
+# Column defaults ("now" is the load time); every table that keeps its last update has one for it.
 DEFAULTS = {
-    "customer": {"activebool": True, "create_date": "now", "last_update": "now"},
+    "customer": {"activebool": True, "create_date": "now"},
     "film": {"rental_duration": 3, "rental_rate": "4.99", "replacement_cost": "19.99", "rating": "G"},
     "staff": {"active": True},
 }
+for _name, _table in TABLES.items():
+    if any(column.name == "last_update" for column in _table.columns):
+        DEFAULTS.setdefault(_name, {})["last_update"] = "now"

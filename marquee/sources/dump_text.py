@@ -85,13 +85,40 @@ def read_copy_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return read_copy_text(spark, path, TABLES[name])
 
 
-def copy_lines(df: DataFrame) -> DataFrame:
-    """Rows as dump lines (one ``value`` column), the inverse of reading them."""
+def _quoted(item: Column) -> Column:
+    """An item of an array: in quotes, or NULL."""
+    inner = F.replace(F.replace(item, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.coalesce(F.concat(F.lit('"'), inner, F.lit('"')), F.lit("NULL"))
+
+
+def _as_text(name: str, kind: T.DataType, lexemes: bool) -> Column:
+    """A field as a dump shows it, before escaping; the inverse of ``_typed``."""
+    value = F.col(f"`{name}`")
+    if isinstance(kind, T.BooleanType):
+        return F.when(value, "t").when(~value, "f")
+    if isinstance(kind, T.BinaryType):
+        return F.concat(F.lit("\\x"), F.lower(F.hex(value)))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        if lexemes:
+            words = F.transform(value, lambda word: F.concat(F.lit("'"), F.replace(word, F.lit("'"), F.lit("''")), F.lit("'")))
+            return F.array_join(words, " ")
+        return F.concat(F.lit("{"), F.array_join(F.transform(value, _quoted), ","), F.lit("}"))
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        raise TypeError(f"{name}: a dump cannot hold {kind.simpleString()}")
+    return value.cast("string")
+
+
+def copy_lines(df: DataFrame, table: Table | None = None) -> DataFrame:
+    """Rows as dump lines (one ``value`` column), the inverse of reading them.
+
+    ``table`` is needed where an array holds lexemes. Nested types raise.
+    """
+    lexemes = {c.name for c in table.columns if c.kind == "tokens"} if table else set()
 
-    def escaped(name: str) -> Column:
-        text = F.replace(F.col(name).cast("string"), F.lit("\\"), F.lit("\\\\"))
+    def escaped(field: T.StructField) -> Column:
+        text = F.replace(_as_text(field.name, field.dataType, field.name in lexemes), F.lit("\\"), F.lit("\\\\"))
         for letter, character in ESCAPES.items():
             text = F.replace(text, F.lit(character), F.lit("\\" + letter))
         return F.coalesce(text, F.lit("\\N"))
 
-    return df.select(F.concat_ws("\t", *[escaped(name) for name in df.columns]).alias("value"))
+    return df.select(F.concat_ws("\t", *[escaped(field) for field in df.schema.fields]).alias("value"))

@@ -16,7 +16,9 @@ from marquee.sources.shop import Shop
 def with_table_defaults(df: DataFrame, table: str, now: Column) -> DataFrame:
     """Nulls of a shop table replaced by its declared defaults; ``now`` stands for the load time."""
     defaults = {
-        name: now if value == "now" else F.lit(value) for name, value in DEFAULTS.get(table, {}).items()
+        name: now if value == "now" else F.lit(value)
+        for name, value in DEFAULTS.get(table, {}).items()
+        if name in df.columns
     }
     return fill_defaults(df, defaults) if defaults else df
 

@@ -20,6 +20,9 @@ from marquee.sources.versions import VersionedTable
 from marquee.streaming.state import State, collect_state, lifecycle_of, merge_state
 
 
+VERSIONS = 3  # of each table that are kept; a batch that is repeated needs the one before it
+
+
 def rental_files(
     spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int | None = None
 ) -> DataFrame:
@@ -60,6 +63,7 @@ class LifecycleStream:
         self.lifecycle = VersionedTable(self.spark, f"{path}/lifecycle")
         self.totals = VersionedTable(self.spark, f"{path}/state/totals")
         self.actors = VersionedTable(self.spark, f"{path}/state/actors")
+        self.marks = VersionedTable(self.spark, f"{path}/marks")
 
     def _rentals(self, schema: T.StructType, before: int) -> DataFrame:
         """Rentals of the batches before ``before``."""
@@ -72,12 +76,9 @@ class LifecycleStream:
         schema = batch.schema
         first = batch_id == 0
         if self.drop_late and not first:
-            newest = self._rentals(schema, batch_id).agg(F.max("rental_date").alias("_newest"))
-            batch = (
-                batch.crossJoin(F.broadcast(newest))  # one row
-                .where(F.col("_newest").isNull() | (F.col("rental_date") > F.col("_newest")))
-                .drop("_newest")
-            )
+            newest = self.marks.read(batch_id - 1).first()["newest"]  # one row
+            if newest is not None:
+                batch = batch.where(F.col("rental_date") > F.lit(newest).cast("timestamp_ntz"))
         stored = f"{self.path}/rentals/batch_id={batch_id}"
         batch.write.mode("overwrite").parquet(stored)
         new = self.spark.read.schema(schema).parquet(stored)
@@ -87,6 +88,12 @@ class LifecycleStream:
         else:
             table = self._recompute(so_far, new, batch_id)
         self.lifecycle.write(table, version=batch_id)
+        mark = new.agg(F.max("rental_date").alias("newest"))
+        if not first:
+            mark = mark.unionByName(self.marks.read(batch_id - 1)).agg(F.max("newest").alias("newest"))
+        self.marks.write(mark, version=batch_id)
+        for kept in (self.lifecycle, self.marks, self.totals, self.actors):
+            kept.keep_last(VERSIONS)
 
     def _recompute(self, so_far: Shop, new: DataFrame, batch_id: int) -> DataFrame:
         increment = lifecycle_increment(so_far, new, self.rules)

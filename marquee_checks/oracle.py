@@ -249,6 +249,12 @@ POSTINGS = rf"""postings AS (
   SELECT term, doc_id, count(*) AS tf
   FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM documents)
   WHERE term NOT IN ({_STOP}) GROUP BY ALL)"""
+def _cut(at: int) -> str:
+    """Where part ``at`` of the events' time begins."""
+    low, high = "epoch_us(min(ts))", "epoch_us(max(ts))"
+    return f"(SELECT make_timestamp({low} + ({high} - {low}) * {at} // {PERIODS}) FROM events)"
+
+
 _TERMS = ", ".join(f"'{word}'" for word in SEARCH)
 
 ORACLE: dict[str, str] = {
@@ -277,7 +283,10 @@ LEFT JOIN renter ON id = w.customer_id"""),
     "movie_list": model(
         "SELECT film_id, category, title, CAST(rate AS DOUBLE) AS rental_rate, rental_duration FROM film"
     ),
-    "unseen_titles": model(f"""{WATCHED}
+    "unseen_titles_of": model(f"""{WATCHED}
+SELECT customer_id, category, title, film_id FROM unseen
+WHERE customer_id IN (SELECT id FROM renter WHERE NOT active)"""),
+    "best_unseen_titles": model(f"""{WATCHED}
 SELECT customer_id, category, title, film_id, CAST(rate AS DOUBLE) AS rental_rate, rental_duration FROM unseen
 QUALIFY row_number() OVER (PARTITION BY customer_id, category ORDER BY rate DESC, rental_duration, film_id) <= 10"""),
     "unseen_title_counts": model(
@@ -313,9 +322,11 @@ GROUP BY ALL HAVING count(*) > 1"""),
     "lifecycle_stream": event_life(),
     "lifecycle_stream_late": event_life(),
     "lifecycle_stream_drop_late": event_life(
-        f"NOT (ts >= TIMESTAMP '{PERIODS[1][0]}' AND ts < TIMESTAMP '{PERIODS[1][1]}')"
+        f"NOT (ts >= {_cut(1)} AND ts < {_cut(2)})"
     ),
     "lifecycle_stream_stateful": event_life(),
+    "actor_titles": model("SELECT actor_id, category, title FROM playing JOIN film USING (film_id)"),
+    "film_actors": model("SELECT film_id, actor_name FROM playing WHERE actor_id IN (SELECT id FROM person)"),
     "actor_info": model("""
 entries AS (
   SELECT actor_id, category || ': ' || string_agg(title, ', ' ORDER BY title) AS entry
@@ -384,6 +395,26 @@ FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
 FROM events""",
     "fill_defaults": model("""SELECT rental_id, coalesce(inventory_id, -1) AS inventory_id,
   coalesce(return_date, TIMESTAMP '2002-01-01') AS return_date FROM rental"""),
+    "table_defaults": model("""SELECT film_id,
+  CASE WHEN film_id % 3 <> 0 THEN rental_duration ELSE 3 END AS rental_duration,
+  CAST(CASE WHEN film_id % 4 <> 0 THEN rate ELSE 4.99 END AS DOUBLE) AS rental_rate,
+  CAST(CASE WHEN film_id % 5 <> 0 THEN rate ELSE 19.99 END AS DOUBLE) AS replacement_cost,
+  CASE WHEN film_id % 7 <> 0 THEN description ELSE 'G' END AS rating,
+  CASE WHEN film_id % 2 <> 0 THEN TIMESTAMP '2006-02-15' ELSE TIMESTAMP '2007-01-01' END AS last_update FROM film"""),
+    "read_copy_text_typed": """SELECT CAST(o_orderkey AS BIGINT) AS id, o_orderstatus = 'F' AS done,
+  CAST(o_orderdate AS DATE) AS day, CAST(o_orderdate AS TIMESTAMP) AS at,
+  CAST(CAST(o_orderkey % 1000 AS DECIMAL(9,2)) / 100 AS DOUBLE) AS fee, o_orderstatus AS status,
+  hex(encode(o_orderpriority)) AS raw, o_orderpriority || '|NULL|a "b", \\c' || o_orderstatus AS notes,
+  o_orderstatus || '|' || o_orderpriority || chr(39) || 's' AS words,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority || chr(9) || 'x\\y' || chr(10) || 'z' END AS remark FROM orders""",
+    "load_and_check_shop": """WITH k AS (SELECT r_regionkey AS id FROM region WHERE r_regionkey <> 1)
+SELECT * FROM (VALUES ('country', 'primary key', 'country_id', 0::BIGINT),
+  ('country', 'not null', 'country_id, country, last_update', 0), ('country', 'length', 'country', 0),
+  ('city', 'primary key', 'city_id', 0),
+  ('city', 'foreign key', 'country_id', (SELECT count(*) FROM nation WHERE n_regionkey NOT IN (SELECT id FROM k))),
+  ('city', 'not null', 'city_id, city, country_id, last_update',
+   (SELECT count(*) FROM nation WHERE n_nationkey % 5 = 0)), ('city', 'length', 'city', 0))
+  AS t(table_name, rule, columns, violations)""",
     "distributed_ntile": """SELECT o_orderkey,
   CAST(ntile(10) OVER (ORDER BY o_totalprice, o_orderkey) AS INTEGER) AS tile FROM orders""",
     "distributed_row_number": """SELECT event_type, value, event_id,

@@ -22,6 +22,7 @@ from marquee.plans.search import film_index
 from marquee.plans.store_value import mid_value_store_month
 from marquee.sources.catalog import define_table
 from marquee.sources.dump_text import copy_lines, read_copy_text
+from marquee.sources.load import load_shop, with_table_defaults
 from marquee.sources.projection import (
     EventProjection,
     read_table,
@@ -37,8 +38,8 @@ START, END, YEAR = "1998-01-01", "1998-06-30", 1998
 MARK = "2001-06-01 00:00:00"
 BALANCE_DATE = "1998-12-31 00:00:00"
 REWARDS_DATE, REWARDS_PURCHASES, REWARDS_AMOUNT = "1998-08-15", 3, 50000
-SEARCH = ["ing", "ent"]
-PERIODS = [("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-02-01")]
+SEARCH = ["ed", "er"]
+PERIODS = 3  # equal parts of the events' time
 EVENT_RULES = Rules(first_days=7)
 OTHER_RULES = Rules(single_rental="same", denominator="gaps", actors_by="actor_id")
 
@@ -46,6 +47,12 @@ DOCUMENTS = define_table(
     "doc_id", "doc_id long!, text text!, lang text!, source text!, n_chars long!"
 )
 
+TYPED = define_table(
+    "id",
+    "id long!, done bool, day date, at time, fee money, status char(4), raw bytes, notes texts, words tokens, remark text",
+)
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Exact decimals as doubles, the last step before comparison."""
     return df.select(
@@ -111,9 +118,13 @@ def _stream(order: tuple[int, ...], **options) -> Query:
         path = scratch_path(spark, "stream")
         rentals = EventProjection(spark, folder).rental()
         stream = LifecycleStream(shop_from_events(spark, folder), path, EVENT_RULES, **options)
+        first, last = read_table(spark, folder, "events").agg(F.min("ts"), F.max("ts")).first()
+        cuts = [first + (last - first) * at // PERIODS for at in range(1, PERIODS)]
+        period = F.lit(0)
+        for cut in cuts:
+            period = period + (F.col("rental_date") >= F.lit(cut).cast("timestamp_ntz")).cast("int")
         for at in order:
-            low, high = (F.lit(day).cast("timestamp_ntz") for day in PERIODS[at])
-            arrived = rentals.where((F.col("rental_date") >= low) & (F.col("rental_date") < high))
+            arrived = rentals.where(F.coalesce(period, F.lit(0)) == at)
             arrived.write.mode("append").parquet(f"{path}/inbox")
             stream.run(rental_files(spark, f"{path}/inbox", rentals.schema))
         return plain(stream.lifecycle.read())
@@ -204,6 +215,57 @@ def _defaulted(shop) -> DataFrame:
     return fill_defaults(rentals, {"inventory_id": F.lit(-1), "return_date": F.lit("2002-01-01")})
 
 
+def _table_defaults(shop) -> DataFrame:
+    """Films whose short terms are missing, filled by the table's declared defaults."""
+    at = F.lit("2006-02-15 00:00:00").cast("timestamp_ntz")
+    films = shop.film.select(
+        "film_id",
+        F.when(F.col("film_id") % 3 != 0, F.col("rental_duration")).alias("rental_duration"),
+        F.when(F.col("film_id") % 4 != 0, F.col("rental_rate")).alias("rental_rate"),
+        F.when(F.col("film_id") % 5 != 0, F.col("replacement_cost")).alias("replacement_cost"),
+        F.when(F.col("film_id") % 7 != 0, F.col("rating")).alias("rating"),
+        F.when(F.col("film_id") % 2 != 0, at).alias("last_update"),
+    )
+    return with_table_defaults(films, "film", F.lit("2007-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def _typed_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as a dump with every kind of field, read back; what does not compare is shown as text."""
+    path = scratch_path(spark, "dump")
+    orders = read_table(spark, folder, "orders")
+    priority = F.col("o_orderpriority")
+    typed = orders.select(
+        F.col("o_orderkey").cast("long").alias("id"),
+        (F.col("o_orderstatus") == "F").alias("done"),
+        F.to_date("o_orderdate").alias("day"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("at"),
+        (F.col("o_orderkey") % 1000 / 100).cast("decimal(5,2)").alias("fee"),
+        F.rpad(F.col("o_orderstatus"), 4, " ").alias("status"),
+        F.to_binary(priority, F.lit("utf-8")).alias("raw"),
+        F.array(priority, F.lit(None).cast("string"), F.concat(F.lit('a "b", \\c'), F.col("o_orderstatus"))).alias("notes"),
+        F.array(F.col("o_orderstatus"), F.concat(priority, F.lit("'s"))).alias("words"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.concat(priority, F.lit("\tx\\y\nz"))).alias("remark"),
+    )
+    copy_lines(typed, TYPED).write.text(path)
+    back = read_copy_text(spark, path, TYPED)
+    return back.select(
+        "id", "done", "day", "at", F.col("fee").cast("double").alias("fee"), "status",
+        F.hex("raw").alias("raw"), F.array_join("notes", "|", "NULL").alias("notes"), F.array_join("words", "|").alias("words"), "remark",
+    )
+
+
+def _loaded_shop(spark: SparkSession, folder: str) -> DataFrame:
+    """Two tables dumped, loaded as a shop, and checked against the declared rules of one."""
+    path, shop = scratch_path(spark, "load"), shop_from_orders(spark, folder)
+    at = F.lit("2006-02-15 00:00:00").cast("timestamp_ntz").alias("last_update")
+    country = shop.country.select(F.col("country_id").cast("int"), F.col("country"), at)
+    city = shop.city.select(F.col("city_id").cast("int"), F.when(F.col("city_id") % 5 != 0, F.col("city")).alias("city"), F.col("country_id").cast("short"), at)
+    copy_lines(country.where("country_id <> 1")).write.text(f"{path}/country.dat")
+    copy_lines(city).write.text(f"{path}/city.dat")
+    loaded = load_shop(spark, {"country": f"{path}/country.dat", "city": f"{path}/city.dat"}, f"{path}/shop")
+    return quality.check_shop(loaded, ["country", "city"])
+
+
 def _search(spark: SparkSession, folder: str) -> DataFrame:
     return match_all_terms(token_index(read_table(spark, folder, "documents")), SEARCH)
 
@@ -242,7 +304,11 @@ QUERIES: dict[str, Query] = {
     "rental_history": _orders(lambda s: Recommendations(s).rental_history()),
     "favourite_category": _orders(lambda s: Recommendations(s).favourites),
     "movie_list": _orders(lambda s: Recommendations(s).movie_list()),
-    "unseen_titles": _orders(lambda s: Recommendations(s).unseen().drop("place")),
+    "best_unseen_titles": _orders(lambda s: Recommendations(s).unseen().drop("place")),
+    "unseen_titles_of": _orders(
+        lambda s: Recommendations(s).unseen_of(s.customer.where(~F.col("activebool")))
+        .select("customer_id", "category", "title", "film_id")
+    ),
     "unseen_title_counts": _orders(lambda s: Recommendations(s).unseen_counts()),
     "movie_recommend": _orders(lambda s: Recommendations(s).ranked()),
     # parts of the lifecycle
@@ -272,6 +338,8 @@ QUERIES: dict[str, Query] = {
     "lifecycle_stream_stateful": _stream((1, 0, 2), stateful=True),
     # views
     "actor_info": _orders(views.actor_info),
+    "actor_titles": _orders(views.actor_titles),
+    "film_actors": _orders(views.film_actors),
     "customer_list": _orders(views.customer_list),
     "film_list": _orders(views.film_list),
     "nicer_film_list": _orders(views.nicer_film_list),
@@ -296,6 +364,8 @@ QUERIES: dict[str, Query] = {
     "stamp_last_update": _orders(_stamped),
     # sources and sinks
     "read_copy_text": _dump_round_trip,
+    "read_copy_text_typed": _typed_round_trip,
+    "load_and_check_shop": _loaded_shop,
     "write_table": _orders(_written),
     "append_table": _appended,
     "delete_using": _deleted,
@@ -316,6 +386,7 @@ QUERIES: dict[str, Query] = {
     "check_precision": _orders(lambda s: quality.check_precision(s.payment_core, "amount", 7, 2)),
     "assign_ids": _event_ids,
     "fill_defaults": _orders(_defaulted),
+    "table_defaults": _orders(lambda s: plain(_table_defaults(s))),
     "distributed_ntile": _order_tiles,
     "distributed_row_number": _event_ranks,
     # text search

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from marquee.functions.text import rating_rank
 from marquee.operators import quality
 from marquee.operators.settle import scratch_dir, settle
-from marquee.sources.catalog import FOREIGN_KEYS, TABLES, define_table
+from marquee.sources.catalog import DEFAULTS, FOREIGN_KEYS, TABLES, define_table
 from marquee.sources.dump_text import copy_lines, read_copy_table, read_copy_text
 from marquee.sources.load import load_shop, with_table_defaults
 from marquee.sources.shop import Shop
@@ -80,6 +80,26 @@ def test_dump_round_trip_of_odd_texts(spark, tmp_path):
     assert [r.t for r in back] == texts
 
 
+def test_dump_round_trip_of_types(spark, tmp_path):
+    table = define_table("i", "i int!, ok bool, raw bytes, many texts, words tokens, fee money")
+    rows = [
+        (1, True, b"\x89PNG\\\n", ["x", 'b "q"', "c\\d, {e}", None, "NULL", ""], ["it's", "a"], Decimal("1.50")),
+        (2, False, b"", [], ["z"], Decimal("-0.05")),
+        (3, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, table.schema)
+    copy_lines(df, table).write.text(str(tmp_path / "t"))
+    back = read_copy_text(spark, str(tmp_path / "t"), table).orderBy("i").collect()
+    assert [tuple(r) for r in back] == [(r[0], r[1], None if r[2] is None else bytearray(r[2]), *r[3:]) for r in rows]
+    with pytest.raises(TypeError):
+        copy_lines(spark.range(1).selectExpr("struct(id) s"))
+
+
+def test_every_table_with_an_update_time_has_its_default():
+    have = {name for name, table in TABLES.items() if "last_update" in [c.name for c in table.columns]}
+    assert len(have) == 14 and all(DEFAULTS[name]["last_update"] == "now" for name in have)
+
+
 def test_versions_publish_and_retry(spark, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "t"))
     assert table.latest() is None
@@ -89,14 +109,33 @@ def test_versions_publish_and_retry(spark, tmp_path):
     assert table.append(spark.range(10, 12)) == 1
     assert sorted(r.id for r in table.read().collect()) == [0, 1, 2, 10, 11]
     # data of an unfinished version is not read, and writing it again replaces it
-    spark.range(99).write.parquet(str(tmp_path / "t/data/version=2"))
+    spark.range(99).write.parquet(str(tmp_path / "t/data/2-unfinished"))
     assert table.read().count() == 5
     assert table.delete_using(spark.range(2), ["id"]) == 2
     assert sorted(r.id for r in table.read().collect()) == [2, 10, 11]
+    # a reader keeps the files it found while a published version is written again
+    reader = table.read()
     assert table.write(spark.range(1), version=2) == 2 and table.read().count() == 1
+    assert sorted(r.id for r in reader.collect()) == [2, 10, 11]
     table.keep_last(2)
-    assert sorted(p.name for p in (tmp_path / "t/data").iterdir()) == ["version=1", "version=2"]
     assert table.read().count() == 1 and table.read(1).count() == 5
+    assert table.write(spark.range(4)) == 3
+    table.keep_last(1)
+    assert table.read().count() == 4
+    left = {p.name.split("-")[0] for p in (tmp_path / "t/data").iterdir() if p.name != "2-unfinished"}
+    assert left == {"3"}
+
+
+def test_append_adds_files_only(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    table.write(spark.range(3).selectExpr("id", "cast(id as string) s"))
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t/data").rglob("*.parquet")}
+    table.append(spark.range(3, 5).selectExpr("cast(id as string) s", "id"))
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "t/data").rglob("*.parquet")}
+    assert before.items() <= after.items() and table.read(0).count() == 3
+    assert sorted((r.id, r.s) for r in table.read().collect()) == [(i, str(i)) for i in range(5)]
+    with pytest.raises(ValueError):
+        table.append(spark.range(1))
 
 
 def test_schema_is_enforced(spark):
