@@ -35,8 +35,9 @@ from marquee.operators.settle import settle
 SKETCH_BITS = 20  # counters, 4 bytes each
 SKETCH_ROW = 4096  # counters in a row of the sketch table
 BITMAP_BITS = 23
-CHEAP = 32.0  # expected partners up to which a prefix asks for one match
-MOST_MATCHES = 6
+STEP = 6  # prefix shingles for each match that is asked for in any case
+CHEAP = 32.0  # expected partners of a prefix up to which no more is asked for
+MOST_MATCHES = 12
 ROWS = 4096  # rows in an output batch
 
 SET_SCHEMA = "id long, n long, node binary, part int, counts binary"
@@ -52,9 +53,18 @@ class Similarity:
     under: int = 5
 
     def least(self, n):
-        """How many shingles a set of ``n`` must share with any similar one."""
+        """How many shingles a set of ``n`` must share with any similar one; of a number or a column."""
+        if isinstance(n, Column):
+            return F.ceil(n * self.over / self.under).cast("long")
         return -(-self.over * n // self.under)
 
+    def asked(self, n):
+        """How many matches a set of ``n`` asks for in any case; never falls with ``n``."""
+        extra = n - self.least(n)
+        if isinstance(n, Column):
+            return F.least(F.floor(extra / STEP) + 1, F.lit(MOST_MATCHES))
+        return min(extra // STEP + 1, MOST_MATCHES)
+
 
 def _sets(texts: DataFrame, like: Similarity) -> DataFrame:
     """A row per text, and the rows of the sketch: counts of shingles by the last bits of their numbers."""
@@ -106,9 +116,9 @@ def _sketch(rows: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def matches_wanted(expected: np.ndarray, longest: int) -> int:
-    """How many matches a prefix asks for, by the partners that each of its shingles leads to (rarest first)."""
-    cost, wanted = float(expected.sum()), 1
+def matches_wanted(expected: np.ndarray, shortest: int, longest: int) -> int:
+    """How many matches a prefix asks for, by the partners that its shingles lead to."""
+    cost, wanted = float(expected.sum()), shortest
     while wanted < longest and cost / wanted > CHEAP:
         wanted += 1
     return wanted
@@ -128,10 +138,10 @@ def _prefixes(spark: SparkSession, texts: DataFrame, sketch: np.ndarray, like: S
                     continue
                 often = counts[(found & mask).astype(np.int64)]
                 n, least = len(found), like.least(len(found))
-                longest = min(MOST_MATCHES, least)
+                shortest, longest = like.asked(n), min(2 * MOST_MATCHES, least)
                 order = np.argsort(often, kind="stable")[: n - least + longest]  # equal counts: by number
                 expected = np.maximum(often[order] - 1 - noise, 0)
-                matches = matches_wanted(expected[: n - least + 1], longest)
+                matches = matches_wanted(expected[: n - least + 1], shortest, longest)
                 order = order[: n - least + matches]
                 out.append((found[order].view(np.int64), shingles.set_key(found), n, matches, float(expected.sum())))
                 if sum(len(o[0]) for o in out[-64:]) > ROWS or len(out) >= 64:
@@ -241,58 +251,47 @@ def _verified(spark: SparkSession, texts: DataFrame, sets: DataFrame, pairs: Dat
     return settle(met.mapInArrow(run, "a binary, b binary"), "links")
 
 
-def _alike_in_size(like: Similarity) -> Column:
-    return (F.col("n_a") * like.under >= F.col("n_b") * like.over) & (F.col("n_b") * like.under >= F.col("n_a") * like.over)
-
-
-def _enough(common: Column, like: Similarity) -> Column:
-    """Whether two sets that have ``common`` in common can be similar."""
-    return common * (like.over + like.under) >= (F.col("n_a") + F.col("n_b")) * like.over
+def _with_heads(live: DataFrame) -> DataFrame:
+    """Pairs of a prefix shingle's most typical node and another one that has it.
 
-
-def _reaches(live: DataFrame) -> DataFrame:
-    """Per node its size, and how many shingles it can have in common with any similar set: its ``reach``.
-
-    What stands before a node's first shared prefix shingle is in no similar set: the two share a prefix shingle, so
-    anything rarer that they shared would be in both prefixes too.
+    These only serve to form groups early, so pairs that meet by a few shingles are left to ``_across``.
     """
-    return live.groupBy("node").agg(F.first("n").alias("n"), (F.first("n") - F.min("place")).alias("reach"))
+    pairs = live.where(F.col("head") != F.col("node")).groupBy(F.col("head").alias("a"), F.col("node").alias("b"))
+    met = pairs.agg(F.count(F.lit(1)).alias("met"), F.first("matches").alias("matches"))
+    return met.where(F.col("met") * 2 >= F.col("matches")).select("a", "b")
 
 
-def _with_heads(live: DataFrame, reaches: DataFrame, like: Similarity) -> DataFrame:
-    """Pairs of a prefix shingle's most typical node and another one that has it."""
-    pairs = live.where(F.col("head") != F.col("node")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(reaches.select(*[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "reach")]), F.col(side) == F.col(f"node_{side}"))
-    return pairs.where(_alike_in_size(like) & _enough(F.least("reach_a", "reach_b"), like)).select("a", "b")
-
-
-def _across(live: DataFrame, reaches: DataFrame, roots: DataFrame, like: Similarity) -> DataFrame:
+def _across(live: DataFrame, roots: DataFrame, like: Similarity) -> DataFrame:
     """Pairs of nodes in different groups that share as many prefix shingles as the less demanding asks for.
 
-    The reach is used before pairs are counted, and then the same bound from the first shingle that a pair shares.
+    What stands before the first prefix shingle that two nodes share (rarest first) is in no common set: it is rarer,
+    so it would be in both prefixes. The places of the first one therefore bound what the two have in common, and the
+    places of any later one bound it lower still: a pair that cannot be similar passes at no shingle, and is not made.
     """
-    grouped = live.join(reaches.select("node", "reach"), "node").join(roots, "node", "left").select(
-        "shingle", "node", "place", "n", "matches", "reach", F.coalesce("root", "node").alias("root")
-    )
+    n, least = F.col("n"), like.least(F.col("n"))
+    grouped = live.where(F.col("place") <= n - least).join(roots, "node", "left")
+    grouped = grouped.select("shingle", "node", "place", "n", F.coalesce("root", "node").alias("root"))
     grouped = settle(grouped, "prefix-groups")
     mixed = grouped.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     open_ = grouped.join(mixed.where(F.col("low") != F.col("high")).select("shingle"), "shingle")
-    fields = ("node", "place", "n", "matches", "reach", "root")
+    fields = ("node", "place", "n", "root")
     one = open_.select("shingle", *[F.col(c).alias(f"{c}_a") for c in fields])
     two = open_.select("shingle", *[F.col(c).alias(f"{c}_b") for c in fields])
     other = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
-    met = one.join(two, "shingle").where(other & _alike_in_size(like) & _enough(F.least("reach_a", "reach_b"), like))
-    pairs = met.groupBy("node_a", "node_b").agg(
-        F.count(F.lit(1)).alias("shared"),
-        F.least(F.first("matches_a"), F.first("matches_b")).alias("wanted"),
-        F.first("n_a").alias("n_a"),
-        F.first("n_b").alias("n_b"),
-        F.least(F.first("n_a") - F.min("place_a"), F.first("n_b") - F.min("place_b")).alias("room"),
-    )
-    return pairs.where((F.col("shared") >= F.col("wanted")) & _enough(F.col("room"), like)).select(
-        F.col("node_a").alias("a"), F.col("node_b").alias("b")
+    sizes = (F.col("n_a") * like.under >= F.col("n_b") * like.over) & (F.col("n_b") * like.under >= F.col("n_a") * like.over)
+    room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    enough = room * (like.over + like.under) >= (F.col("n_a") + F.col("n_b")) * like.over
+    met = one.join(two, "shingle").where(other & sizes & enough)
+    met = settle(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "met")
+
+    nodes = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = live.join(nodes, "node", "left_semi").groupBy("node").agg(
+        F.collect_list("shingle").alias("shared"), F.first("matches").alias("matches")
     )
+    for side in ("a", "b"):
+        met = met.join(own.select(*[F.col(c).alias(f"{c}_{side}") for c in own.columns]), F.col(side) == F.col(f"node_{side}"))
+    several = F.size(F.array_intersect("shared_a", "shared_b")) >= F.least("matches_a", "matches_b")
+    return met.where(several).select("a", "b")
 
 
 def groups(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:  # noqa: B008
@@ -303,10 +302,9 @@ def groups(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:  # no
     sets = rows.where(F.col("part").isNull()).select("id", "n", "node")
 
     live = settle(_shared_only(_prefixes(spark, texts, _sketch(rows), like)), "prefixes")
-    reaches = settle(_reaches(live), "reaches")
-    pairs = settle(_with_heads(live, reaches, like), "head-pairs")
+    pairs = settle(_with_heads(live), "head-pairs")
     links = _verified(spark, texts, sets, pairs, like)
-    pairs = settle(_across(live, reaches, components(links), like), "pairs")
+    pairs = settle(_across(live, components(links), like), "pairs")
     roots = components(links.union(_verified(spark, texts, sets, pairs, like)))
 
     rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
