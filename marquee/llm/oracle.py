@@ -35,14 +35,14 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, (size * copies)::BIGIN
 OP3 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, * FROM documents),
 l AS (SELECT r, source, unnest(string_split(text, chr(10))) AS line,
-             generate_subscripts(string_split(text, chr(10)), 1) AS at FROM d WHERE text IS NOT NULL),
+             generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL),
 m AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS mark FROM l),
 n AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
 h AS (SELECT source, mark, count(DISTINCT r) AS held FROM m WHERE mark <> '' GROUP BY source, mark),
 b AS (SELECT h.source, h.mark FROM h JOIN n ON h.source IS NOT DISTINCT FROM n.source
       WHERE held >= 5 AND held > pages * 0.1::DOUBLE),
 k AS (SELECT r, count(*) AS n_lines, count(b.mark) AS n_dropped,
-             coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE b.mark IS NULL), '') AS text
+             coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE b.mark IS NULL), '') AS text
       FROM m LEFT JOIN b ON m.source IS NOT DISTINCT FROM b.source AND m.mark = b.mark GROUP BY r)
 SELECT doc_id, k.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
 FROM d LEFT JOIN k USING (r)
