@@ -20,6 +20,7 @@ import base64
 import codecs
 import gc
 import itertools
+import threading
 from array import array
 from collections.abc import Iterator
 
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_HEADS = 450_000, 500_000, 500_000, 100_000
 HEAD = 6  # bytes of a piece that are looked up at once
+IDLE_S = 6.0  # seconds without encoding after which a worker drops its tables
 ROWS = 256  # texts that are encoded before they are handed on
 NEVER = 1 << 60  # the rank of what is no token
 LONG_TEXT = 1 << 20  # characters; longer texts are cut up piece by piece
@@ -93,11 +95,14 @@ class Transducer:
         self.heads: dict[bytes, tuple[State, list[int]]] = {}  # first bytes of a piece -> where they lead
         self._reset()
 
-    def _reset(self) -> None:
-        """Forget all states but the first: nothing read, nothing pending. A state in use lives on."""
+    def forget(self) -> None:
         for state in self.states.values():
             state.clear()  # no cycles are left
         self.states, self.heads = {}, {}
+
+    def _reset(self) -> None:
+        """Forget all states but the first: nothing read, nothing pending. A state in use lives on."""
+        self.forget()
         self.start = self.state(b"", (0, -1, ()))
 
     def state(self, part: bytes, alive: tuple) -> State:
@@ -177,6 +182,16 @@ class Pieces(dict):
 
 
 _LOADED: dict[int, Pieces] = {}  # of this worker
+_REST: list[threading.Timer] = []  # will drop it
+
+
+def _release() -> None:
+    """Drop the tables of a worker that has gone on to other work, so that they don't add to its memory."""
+    for pieces in _LOADED.values():
+        pieces.transducer.forget()
+        pieces.clear()
+        pieces.older = {}
+    _LOADED.clear()
 
 
 def _pieces(lines: bytes) -> Pieces:
@@ -208,6 +223,8 @@ def _slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     Meanwhile Python's cycle collector rests: what the transducer keeps is no garbage, and walking it takes an eighth
     of the time. States that are forgotten lose their steps, so they are freed without it.
     """
+    while _REST:
+        _REST.pop().cancel()
     gc.disable()
     try:
         for batch in batches:
@@ -215,6 +232,9 @@ def _slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
                 yield batch.slice(at, ROWS)
     finally:
         gc.enable()
+        _REST.append(threading.Timer(IDLE_S, _release))
+        _REST[-1].daemon = True
+        _REST[-1].start()
 
 
 def _encoded(texts: pa.Array, pieces: Pieces, cut: regex.Pattern) -> pa.ListArray:

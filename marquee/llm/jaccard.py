@@ -21,6 +21,7 @@ smallest id in it, null if there is none.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +40,8 @@ STEP = 6  # prefix shingles for each match that is asked for in any case
 CHEAP = 32.0  # expected partners of a prefix up to which no more is asked for
 MOST_MATCHES = 12
 ROWS = 4096  # rows in an output batch
+BATCH_ROWS = 1000  # texts, or pairs of sets, in an input batch
+HEAD = ("head", "head_place", "head_n")
 
 SET_SCHEMA = "id long, n long, node binary, part int, counts binary"
 PREFIX_SCHEMA = "shingle long, node binary, place int, n long, matches int, typical double"
@@ -179,17 +182,17 @@ def _shared_only(prefixes: DataFrame) -> DataFrame:
             out = []
             for row in rows:
                 if last is None or row["shingle"] != last["shingle"]:
-                    last = row | {"head": row["node"], "waiting": True}
+                    last = row | {"head": row["node"], "head_place": row["place"], "head_n": row["n"], "waiting": True}
                 elif row["node"] != last["node"]:
                     if last["waiting"]:
                         out.append(last | {"waiting": False})
-                    last = row | {"head": last["head"], "waiting": False}
+                    last = row | {k: last[k] for k in HEAD} | {"waiting": False}
                     out.append(last)
             yield pa.RecordBatch.from_pylist([{k: v for k, v in o.items() if k not in ("waiting", "typical")} for o in out], schema=schema)
 
-    schema = pa.schema([("shingle", pa.int64()), ("node", pa.binary()), ("place", pa.int32()), ("n", pa.int64()), ("matches", pa.int32()), ("head", pa.binary())])
+    schema = pa.schema([("shingle", pa.int64()), ("node", pa.binary()), ("place", pa.int32()), ("n", pa.int64()), ("matches", pa.int32()), ("head", pa.binary()), ("head_place", pa.int32()), ("head_n", pa.int64())])
     sorted_runs = prefixes.repartition("shingle").sortWithinPartitions("shingle", F.desc("typical"), "node")
-    return sorted_runs.mapInArrow(run, "shingle long, node binary, place int, n long, matches int, head binary")
+    return sorted_runs.mapInArrow(run, "shingle long, node binary, place int, n long, matches int, head binary, head_place int, head_n long")
 
 
 def _bitmap(spark: SparkSession, ids: DataFrame) -> np.ndarray:
@@ -251,14 +254,18 @@ def _verified(spark: SparkSession, texts: DataFrame, sets: DataFrame, pairs: Dat
     return settle(met.mapInArrow(run, "a binary, b binary"), "links")
 
 
-def _with_heads(live: DataFrame) -> DataFrame:
-    """Pairs of a prefix shingle's most typical node and another one that has it.
+def _possible(like: Similarity, n_a: str, place_a: str, n_b: str, place_b: str) -> Column:
+    """Whether two sets can be similar if the first shingle that they share stands at these places, or before."""
+    a, b = F.col(n_a), F.col(n_b)
+    sizes = (a * like.under >= b * like.over) & (b * like.under >= a * like.over)
+    room = F.least(a - F.col(place_a), b - F.col(place_b))
+    return sizes & (room * (like.over + like.under) >= (a + b) * like.over)
 
-    These only serve to form groups early, so pairs that meet by a few shingles are left to ``_across``.
-    """
-    pairs = live.where(F.col("head") != F.col("node")).groupBy(F.col("head").alias("a"), F.col("node").alias("b"))
-    met = pairs.agg(F.count(F.lit(1)).alias("met"), F.first("matches").alias("matches"))
-    return met.where(F.col("met") * 2 >= F.col("matches")).select("a", "b")
+
+def _with_heads(live: DataFrame, like: Similarity) -> DataFrame:
+    """Pairs of a prefix shingle's most typical node and another one that has it; they serve to form groups early."""
+    met = live.where((F.col("head") != F.col("node")) & _possible(like, "n", "place", "head_n", "head_place"))
+    return met.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def _across(live: DataFrame, roots: DataFrame, like: Similarity) -> DataFrame:
@@ -278,34 +285,42 @@ def _across(live: DataFrame, roots: DataFrame, like: Similarity) -> DataFrame:
     one = open_.select("shingle", *[F.col(c).alias(f"{c}_a") for c in fields])
     two = open_.select("shingle", *[F.col(c).alias(f"{c}_b") for c in fields])
     other = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
-    sizes = (F.col("n_a") * like.under >= F.col("n_b") * like.over) & (F.col("n_b") * like.under >= F.col("n_a") * like.over)
-    room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    enough = room * (like.over + like.under) >= (F.col("n_a") + F.col("n_b")) * like.over
-    met = one.join(two, "shingle").where(other & sizes & enough)
+    met = one.join(two, "shingle").where(other & _possible(like, "n_a", "place_a", "n_b", "place_b"))
     met = settle(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "met")
 
-    nodes = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = live.join(nodes, "node", "left_semi").groupBy("node").agg(
-        F.collect_list("shingle").alias("shared"), F.first("matches").alias("matches")
-    )
+    own = live.groupBy("node").agg(F.collect_list("shingle").alias("shared"), F.first("matches").alias("matches"))
+    own = settle(own, "shared")  # of a node at most its prefix
     for side in ("a", "b"):
         met = met.join(own.select(*[F.col(c).alias(f"{c}_{side}") for c in own.columns]), F.col(side) == F.col(f"node_{side}"))
     several = F.size(F.array_intersect("shared_a", "shared_b")) >= F.least("matches_a", "matches_b")
     return met.where(several).select("a", "b")
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows that hold texts or sets go to Python a few at a time while the jobs within run."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def groups(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:  # noqa: B008
     """Per row of ``docs`` (doc_id, text): doc_id, ``n_shingles`` and ``component_id``, the smallest id of its group."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = settle(_sets(texts, like), "shingle-sets")
-    sets = rows.where(F.col("part").isNull()).select("id", "n", "node")
-
-    live = settle(_shared_only(_prefixes(spark, texts, _sketch(rows), like)), "prefixes")
-    pairs = settle(_with_heads(live), "head-pairs")
-    links = _verified(spark, texts, sets, pairs, like)
-    pairs = settle(_across(live, components(links), like), "pairs")
-    roots = components(links.union(_verified(spark, texts, sets, pairs, like)))
+    with _small_batches(spark):
+        rows = settle(_sets(texts, like), "shingle-sets")
+        sets = rows.where(F.col("part").isNull()).select("id", "n", "node")
+
+        live = settle(_shared_only(_prefixes(spark, texts, _sketch(rows), like)), "prefixes")
+        pairs = settle(_with_heads(live, like), "head-pairs")
+        links = _verified(spark, texts, sets, pairs, like)
+        pairs = settle(_across(live, components(links), like), "pairs")
+        roots = components(links.union(_verified(spark, texts, sets, pairs, like)))
 
     rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = settle(rooted.select("id", "n", "root"), "rooted")

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20  # bytes that are worked on at once, unless a single word is longer
+BLOCK = 1 << 18  # bytes that are worked on at once, unless a single word is longer
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
