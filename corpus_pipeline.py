@@ -19,8 +19,17 @@ from marquee.operators.settle import delete_path, scratch_path
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+BATCH_ROWS = 500  # documents that go to Python at once
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Documents are long rows: in batches of Spark's usual 10,000 they would fill what Python leaves of an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language: with a letter, and a mean probability of one half or more."""
+    _small_batches(spark)
     return langid.keep_known(docs, langid.learn(docs))
 
 
@@ -43,6 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids and n_tokens, and whether decoding gives the text back."""
+    _small_batches(spark)
     both = bpe.round_trip(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     rows = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")).withColumn("both", both("text"))
     return rows.select(

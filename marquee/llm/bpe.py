@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_HEADS = 450_000, 500_000, 500_000, 100_000
+MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_HEADS = 320_000, 400_000, 250_000, 60_000
 HEAD = 6  # bytes of a piece that are looked up at once
 IDLE_S = 6.0  # seconds without encoding after which a worker drops its tables
 ROWS = 256  # texts that are encoded before they are handed on
