@@ -20,6 +20,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 BATCH_ROWS = 500  # documents that go to Python at once
+TABLES = 0.3  # of the encoder's usual table sizes; its workers run beside a heap that earlier stages have filled
 
 
 def _small_batches(spark: SparkSession) -> None:
@@ -53,7 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids and n_tokens, and whether decoding gives the text back."""
     _small_batches(spark)
-    both = bpe.round_trip(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    both = bpe.round_trip(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, TABLES)
     rows = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text")).withColumn("both", both("text"))
     return rows.select(
         "doc_id",

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_HEADS = 320_000, 400_000, 250_000, 60_000
+MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_HEADS = 450_000, 500_000, 500_000, 100_000
 HEAD = 6  # bytes of a piece that are looked up at once
 IDLE_S = 6.0  # seconds without encoding after which a worker drops its tables
 ROWS = 256  # texts that are encoded before they are handed on
@@ -86,7 +86,8 @@ class State(dict):
 class Transducer:
     """Encodes pieces of bytes."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], tables: float = 1.0):
+        self.most = [int(n * tables) + 1 for n in (MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_HEADS)]
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.prefixes = {token[:n] for token in ranks for n in range(1, len(token))}
@@ -108,7 +109,7 @@ class Transducer:
     def state(self, part: bytes, alive: tuple) -> State:
         found = self.states.get((part, alive))
         if found is None:
-            if len(self.states) >= MAX_STATES:
+            if len(self.states) >= self.most[0]:
                 self._reset()
             found = self.states[part, alive] = State(self, part, alive)
         return found
@@ -133,7 +134,7 @@ class Transducer:
         key = (last + 1) << 32 | token
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= MAX_PAIRS:
+            if len(self.pairs) >= self.most[1]:
                 self.pairs.clear()
             before = self.tokens.get(last, b"")
             known = self.merged(before + self.tokens[token]) == ([last, token] if last >= 0 else [token])
@@ -155,7 +156,7 @@ class Transducer:
         known = self.heads.get(head)
         if known is None:
             known = self._run(self.start, [], head)
-            if len(self.heads) >= MAX_HEADS:
+            if len(self.heads) >= self.most[3]:
                 self.heads.clear()
             self.heads[head] = known
         at, out = self._run(known[0], known[1].copy(), piece[HEAD:])
@@ -174,7 +175,7 @@ class Pieces(dict):
         if ids is None:
             ids = array("i", self.transducer.encode(piece.encode())).tobytes()
         if len(piece) <= 64:
-            if len(self) >= MAX_PIECES:
+            if len(self) >= self.transducer.most[2]:
                 self.older = dict(self)
                 self.clear()
             self[piece] = ids
@@ -194,11 +195,11 @@ def _release() -> None:
     _LOADED.clear()
 
 
-def _pieces(lines: bytes) -> Pieces:
-    key = hash(lines)
+def _pieces(lines: bytes, tables: float = 1.0) -> Pieces:
+    key = hash((lines, tables))
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Pieces(Transducer(read_ranks(lines)))
+        _LOADED[key] = Pieces(Transducer(read_ranks(lines), tables))
     return _LOADED[key]
 
 
@@ -304,12 +305,15 @@ def decoder(spark: SparkSession, path: str):
     return F.arrow_udf(decode, "string")
 
 
-def round_trip(spark: SparkSession, path: str, pattern: str):
-    """A column function: text -> struct of its ``ids`` and of what they decode to, ``text``; one worker does both."""
+def round_trip(spark: SparkSession, path: str, pattern: str, tables: float = 1.0):
+    """A column function: text -> struct of its ``ids`` and of what they decode to, ``text``; one worker does both.
+
+    ``tables`` scales the bounds of the tables that a worker keeps: smaller ones take less memory and more time.
+    """
     lines = _shared(spark, path)
 
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces, cut = _pieces(lines.value), regex.compile(pattern)
+        pieces, cut = _pieces(lines.value, tables), regex.compile(pattern)
         tokens = TokenTable(pieces.transducer.ranks)
         for batch in _slices(batches):
             ids = _encoded(batch, pieces, cut)
