@@ -29,7 +29,7 @@ def _small_batches(spark: SparkSession) -> None:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language: with a letter, and a mean probability of one half or more."""
+    """Documents whose languages are known: with a letter, and words that are certain by one half or more in the mean."""
     _small_batches(spark)
     return langid.keep_known(docs, langid.learn(docs))
 

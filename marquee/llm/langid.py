@@ -164,10 +164,10 @@ class Field:
         return marginals(scores, used, self.moves)[0][chain, place], words.counts
 
     def sums(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per text the sum of its words' probabilities, and the number of words."""
+        """Per text the sums of its words' probabilities by label, then of their largest ones, and the number of words."""
         each, counts = self.probabilities(data, ends)
         texts = np.repeat(np.arange(len(counts)), counts)
-        return np.stack([np.bincount(texts, each[:, k], len(counts)) for k in range(len(self.labels))], 1), counts
+        return np.stack([np.bincount(texts, p, len(counts)) for p in (*each.T, each.max(1))], 1), counts
 
 
 def fit(samples: list[tuple[str, str]], epochs: int = 4, rate: float = 0.3, decay: float = 1e-6, seed: int = 0) -> Field | None:
@@ -240,12 +240,13 @@ def learn(docs: DataFrame, per_label: int = PER_LABEL) -> Field | None:
     return fit([(r.lang, r.part) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id))])
 
 
-def _predicted(field: Field, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+def _summed(field: Field, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``Field.sums`` of texts of any length."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
     block, at = max(1 << 12, BLOCK * 4 // max(4, len(field.labels))), 0
-    sums, counts = np.zeros((len(texts), len(field.labels))), np.zeros(len(texts), np.int64)
+    sums, counts = np.zeros((len(texts), len(field.labels) + 1)), np.zeros(len(texts), np.int64)
     while at < len(texts):
         end = min(len(texts), max(at + 1, int(np.searchsorted(offsets, offsets[at] + block, "right")) - 1))
         start = int(offsets[at])
@@ -259,11 +260,22 @@ def _predicted(field: Field, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         sums[at:end] += part
         counts[at:end] += n
         at = end
-    best = sums.argmax(1)
+    return sums, counts
+
+
+def _predicted(field: Field, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    sums, counts = _summed(field, texts)
+    best = sums[:, :-1].argmax(1)
     score = np.where(counts > 0, sums[np.arange(len(best)), best] / np.maximum(counts, 1), 0.0)
     return [field.labels[b] if n else UNKNOWN for b, n in zip(best, counts, strict=True)], np.clip(score, 0.0, 1.0)
 
 
+def _lettered() -> Column:
+    """The text, empty where it has no letter."""
+    has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return F.when(has_letter, F.col("text")).otherwise(F.lit(""))
+
+
 def label(docs: DataFrame, field: Field | None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; only the text is looked at."""
     if field is None:
@@ -276,9 +288,7 @@ def label(docs: DataFrame, field: Field | None) -> DataFrame:
             names, score = _predicted(shared.value, batch)
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
 
-    has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    text = F.when(has_letter, F.col("text")).otherwise(F.lit(""))
-    rows = packed(docs, found=F.arrow_udf(predict, "struct<lang:string,score:double>")(text))
+    rows = packed(docs, found=F.arrow_udf(predict, "struct<lang:string,score:double>")(_lettered()))
     return unpacked(rows.select("row", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score")), docs, "lang_pred", "score")
 
 
@@ -303,8 +313,18 @@ def label_words(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, field: Field | None, least: float = 0.5) -> DataFrame:
-    """``docs`` without those that have no language, or none with a score of ``least``; all stay when nothing was learned."""
+    """``docs`` without those that have no language, or whose words are uncertain; all stay when nothing was learned.
+
+    A word's certainty is its largest probability; their mean must be ``least``. How many languages a text has is no matter.
+    """
     if field is None:
         return docs
-    found = label(packed(docs, text=F.col("text")), field)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    def certainty(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sums, counts = _summed(shared.value, batch)
+            yield pa.array(sums[:, -1] / np.maximum(counts, 1), pa.float64(), mask=counts == 0)
+
+    found = packed(docs, certain=F.arrow_udf(certainty, "double")(_lettered()))
+    return found.where(F.col("certain") >= least).select("row.*")

@@ -70,6 +70,21 @@ def test_code_switched_words(spark, field):
     assert rows == {1: [("en", 20), ("fr", 20)], 2: []}
 
 
+def test_clean_texts_of_several_languages_stay(spark, field):
+    en, fr, de = (words.split() * 20 for words in WORDS.values())
+    mixed = [(1, " ".join(en[:40] + fr[:35] + de[:25])), (2, " ".join(en[:50] + fr[:50])), (3, " ".join(de[:34] + en[:33] + fr[:33]))]
+    docs = spark.createDataFrame([*mixed, (4, "123"), (5, None)], "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in langid.label(docs, field).collect()}
+    assert scores[1] < 0.5 and scores[3] < 0.5
+    assert {r.doc_id for r in langid.keep_known(docs, field).collect()} == {1, 2, 3}
+
+
+def test_uncertain_words_go(spark, field):
+    vague = langid.Field(field.labels, np.zeros_like(field.weights), np.zeros_like(field.moves))  # each word a third
+    docs = spark.createDataFrame([(1, "the of and"), (2, "le la et")], "doc_id long, text string")
+    assert langid.keep_known(docs, vague).count() == 0 and langid.keep_known(docs, vague, 0.3).count() == 2
+
+
 def test_only_what_is_not_held_out_is_learned(spark):
     docs = spark.createDataFrame([(*r, 1, "f") for r in corpus()], SCHEMA)
     asked = {r.doc_id: r.h for r in docs.select("doc_id", langid.held_out(docs.doc_id).alias("h")).collect()}
