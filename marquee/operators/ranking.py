@@ -60,10 +60,14 @@ def _numbered(placed: DataFrame, within: Sequence[str], name: str, total: str |
 
 
 def row_numbers(
-    df: DataFrame, order_by: Sequence[Column], within: Sequence[str] = (), name: str = "row_number"
+    df: DataFrame,
+    order_by: Sequence[Column],
+    within: Sequence[str] = (),
+    name: str = "row_number",
+    total: str | None = None,
 ) -> DataFrame:
-    """1-based row number by ``order_by`` inside each ``within`` group."""
-    return _numbered(_placed(df, within, order_by), within, name)
+    """1-based row number by ``order_by`` inside each ``within`` group, and its size in a column ``total`` if named."""
+    return _numbered(_placed(df, within, order_by), within, name, total)
 
 
 def tiles(df: DataFrame, buckets: int, order_by: Sequence[Column], name: str = "tile") -> DataFrame:
