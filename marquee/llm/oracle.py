@@ -134,4 +134,90 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 5
 """
 
+LEVELS = 40  # of a tree, enough for any number of rows
+
+# CRC-32 by a table of 256 numbers, made from the polynomial.
+_CRC_TABLE = """(SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT] || list_transform(range(8), lambda _: 0::BIGINT),
+        lambda c, _: xor(c >> 1, ((c & 1) * 3988292384)::BIGINT))) AS t)"""
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of a text, unsigned; the table is the column ``t``."""
+    numbers = f"list_transform(range(octet_length(encode({text}))), lambda k: ('0x' || substr(hex(encode({text})), (2 * k + 1)::INT, 2))::BIGINT)"
+    return f"xor(list_reduce([4294967295::BIGINT] || {numbers}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _leaf(n_chars: str) -> str:
+    parts = [f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256({' || '.join(parts)})"
+
+
+def _tree(name: str, key: str, leaves: str) -> str:
+    """Nodes of all levels: (key, level, pos, total, h), from ``leaves`` (key, pos, total, h); parents by pairs."""
+    levels = [f"{name}0 AS (SELECT {key}, 0 AS level, pos, total, h FROM {leaves})"]
+    for level in range(1, LEVELS):
+        levels.append(
+            f"{name}{level} AS (SELECT {key}, {level} AS level, pos // 2 AS pos, (any_value(total) + 1) // 2 AS total, "
+            f"CASE WHEN any_value(total) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h "
+            f"FROM {name}{level - 1} GROUP BY {key}, pos // 2)"
+        )
+    every = " UNION ALL ".join(f"SELECT * FROM {name}{level}" for level in range(LEVELS))
+    return ", ".join(levels) + f", {name} AS ({every})"
+
+
+def _way(name: str, key: str, leaves: str, asked: str) -> str:
+    """Per leaf of ``leaves`` (key, asked, pos) the siblings from below: L or R for their side, and their digest."""
+    same = f"n.{key} IS NOT DISTINCT FROM l.{key} AND n.level = g.level AND n.pos = xor(l.pos >> g.level, 1)"
+    return f"""SELECT {asked}, list((CASE WHEN n.pos < (l.pos >> g.level) THEN 'L' WHEN n.pos IS NULL THEN 'N' ELSE 'R' END)
+        || coalesce(n.h, '') ORDER BY g.level) FILTER (WHERE l.total > (1::BIGINT << g.level)) AS way
+        FROM {leaves} l CROSS JOIN (SELECT unnest(range({LEVELS}))::INT AS level) g LEFT JOIN {name} n ON {same} GROUP BY {asked}"""
+
+
+OP11 = f"""
+WITH c AS {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, lang, {_leaf('n_chars')} AS h, {_leaf('(n_chars::HUGEINT + 1)')} AS other,
+             coalesce({_crc('doc_id::VARCHAR')} % 7 = 0, false) AS bad FROM documents, c),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h, r) - 1 AS pos,
+             count(*) OVER (PARTITION BY lang) AS total FROM d),
+{_tree("a", "lang", "l")},
+s AS (SELECT 0 AS k, lang, h, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS total
+      FROM a WHERE level = {LEVELS - 1}),
+{_tree("b", "k", "s")},
+w AS ({_way("a", "lang", "l", "r")}),
+v AS ({_way("b", "k", "s", "lang")}),
+p AS (SELECT l.*, s.h AS subroot, (SELECT h FROM b WHERE level = {LEVELS - 1}) AS root,
+             coalesce(w.way, []) || coalesce(v.way, []) AS way
+      FROM l JOIN w USING (r) JOIN s ON s.lang IS NOT DISTINCT FROM l.lang JOIN v ON v.lang IS NOT DISTINCT FROM l.lang),
+f AS (SELECT *, list_reduce([CASE WHEN bad THEN other ELSE h END] || way, lambda x, y: sha256(
+        CASE y[1] WHEN 'L' THEN y[2:] || x WHEN 'R' THEN x || y[2:] ELSE x END)) AS folded_root FROM p)
+SELECT doc_id, h AS leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda y: y[2:]), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified FROM f
+"""
+
+OP12 = rf"""
+WITH c AS {_CRC_TABLE},
+x AS (SELECT row_number() OVER () AS r, 's' AS side, doc_id, text FROM documents
+      UNION ALL SELECT NULL, 't', NULL, text FROM benchmark),
+w AS (SELECT r, side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM x),
+g AS (SELECT r, side, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS feature FROM w),
+e AS (SELECT feature, {_crc("feature")} % 10000 AS bucket FROM (SELECT DISTINCT feature FROM g), c),
+b AS (SELECT bucket, count(*) FILTER (WHERE side = 's') AS s, count(*) FILTER (WHERE side = 't') AS t
+      FROM g JOIN e USING (feature) GROUP BY bucket),
+z AS (SELECT sum(s) AS s, sum(t) AS t FROM b),
+k AS (SELECT bucket, floor(1000 * ln(((b.t + 1)::DOUBLE * (z.s + 10000)::DOUBLE) / ((b.s + 1)::DOUBLE * (z.t + 10000)::DOUBLE)))::BIGINT
+      AS gain FROM b, z),
+m AS (SELECT r, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight
+      FROM g JOIN e USING (feature) JOIN k USING (bucket) WHERE side = 's' GROUP BY r),
+h AS (SELECT r, doc_id, len(w) AS n_words,
+             ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM w WHERE side = 's'),
+q AS (SELECT doc_id, n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000::DOUBLE * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+      FROM h LEFT JOIN m USING (r)),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_words, n_features, weight) AS place,
+             count(*) FILTER (WHERE n_words >= 20) OVER () * 25 // 100 AS drawn FROM q)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= drawn THEN place END AS rank FROM o
+"""
+
 ORACLE = {"op1_mixing": OP1, "op3_line_dedup": OP3, "op4_jaccard": OP4, "op5_top_k": OP5, "op6_warc": OP6, "op8_url_filter": OP8}
+ORACLE |= {"op11_merkle": OP11, "op12_importance": OP12}

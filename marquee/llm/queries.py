@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe, graph, jaccard, langid, lines, mixing, mtree, pii, urls, warc
+from marquee.llm import bpe, graph, importance, jaccard, langid, lines, merkle, mixing, mtree, pii, urls, warc
 from marquee.llm.common import table
 from marquee.operators.settle import scratch_path
 
@@ -93,10 +93,21 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.label(asked, field).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(table(spark, folder, "documents"))
+
+
+def op12_importance(spark: SparkSession, folder: str) -> DataFrame:
+    docs, target = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark")
+    gain = importance.gains(importance.bucket_counts(docs), importance.bucket_counts(target))
+    scores = importance.scored(docs, gain, seed=7).drop("text")
+    return importance.ranked(scores, percent=25, min_words=20).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing, op2_bpe, op3_line_dedup, op4_jaccard, op5_top_k, op6_warc, op7_neighbours, op8_url_filter, op9_pii,
-        op10_language,
+        op10_language, op11_merkle, op12_importance,
     )
 }
