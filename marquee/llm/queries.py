@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe, graph, importance, jaccard, langid, lines, merkle, mixing, mtree, pii, urls, warc
+from marquee.llm import bpe, graph, importance, jaccard, langid, lines, lm, merkle, mixing, mtree, pii, urls, warc
 from marquee.llm.common import table
 from marquee.operators.settle import scratch_path
 
@@ -104,10 +104,15 @@ def op12_importance(spark: SparkSession, folder: str) -> DataFrame:
     return importance.ranked(scores, percent=25, min_words=20).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_lm(spark: SparkSession, folder: str) -> DataFrame:
+    fold = lm.remainder(F.col("doc_id"), 7)
+    return lm.score(table(spark, folder, "documents"), fold == 2, fold == 3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mixing, op2_bpe, op3_line_dedup, op4_jaccard, op5_top_k, op6_warc, op7_neighbours, op8_url_filter, op9_pii,
-        op10_language, op11_merkle, op12_importance,
+        op10_language, op11_merkle, op12_importance, op13_lm,
     )
 }

@@ -2,7 +2,8 @@
 
 Words are runs of bytes other than space and 0x09-0x0D, with A-Z lowered. A word's number is a polynomial of its bytes
 modulo 2**64 (from running sums, so all words of a block come out at once), then mixed; a shingle's number combines
-those of its words in order. Blocks bound the memory: a long text goes through in several, cut between words.
+those of its words in order. Blocks bound the memory: a long text goes through in several, and the sum of a word that a
+block's end cuts is carried into the next, so a word may be of any length too.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 18  # bytes that are worked on at once, unless a single word is longer
+BLOCK = 1 << 18  # bytes that are worked on at once
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
@@ -40,38 +41,46 @@ class Hasher:
         self.value = mixed(np.arange(1, 257, dtype=_U))[lowered]
         self.word = np.ones(256, bool)
         self.word[[32, 9, 10, 11, 12, 13]] = False
-        self._grow(BLOCK)
+        self.up, self.down = _powers(_BASE, BLOCK + 1), _powers(pow(_BASE, -1, 2**64), BLOCK + 1)
 
-    def _grow(self, n: int) -> None:
-        self.up, self.down = _powers(_BASE, n + 1), _powers(pow(_BASE, -1, 2**64), n + 1)
-
-    def words(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words in ``data``, and how many each of the texts ending at ``ends`` has."""
-        if len(data) >= len(self.up):
-            self._grow(len(data))
+    def _sums(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Polynomials, lengths and starts of the words in at most ``BLOCK`` bytes; no word crosses ``bounds``."""
         inside = self.word[data]
         before, after = np.zeros_like(inside), np.zeros_like(inside)
         before[1:], after[:-1] = inside[:-1], inside[1:]
-        bounds = ends[ends < len(data)]
         before[bounds] = False
         after[bounds[bounds > 0] - 1] = False
         first, last = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after)
         sums = np.zeros(len(data) + 1, _U)
         np.cumsum(self.value[data] * self.up[: len(data)], out=sums[1:])
-        numbers = (sums[last + 1] - sums[first]) * self.down[first]
-        return mixed(numbers + (last - first).astype(_U)), np.diff(np.searchsorted(first, ends), prepend=0)
+        return (sums[last + 1] - sums[first]) * self.down[first], last - first + 1, first
+
+    @staticmethod
+    def _numbers(sums: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return mixed(sums + (lengths - 1).astype(_U))
+
+    def words(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words in ``data``, at most ``BLOCK`` bytes, and how many each of the texts ending at ``ends`` has."""
+        sums, lengths, first = self._sums(data, ends[ends < len(data)])
+        return self._numbers(sums, lengths), np.diff(np.searchsorted(first, ends), prepend=0)
 
     def text_words(self, data: np.ndarray) -> np.ndarray:
         """Numbers of the words of one text of any length."""
-        parts, start = [], 0
-        while start < len(data):
-            end = min(start + BLOCK, len(data))
-            while end < len(data) and self.word[data[end]] and self.word[data[end - 1]]:
-                gap = np.flatnonzero(~self.word[data[end : end + BLOCK]])
-                end = end + int(gap[0]) if len(gap) else min(end + BLOCK, len(data))
-            parts.append(self.words(data[start:end], np.array([end - start]))[0])
-            start = end
-        return np.concatenate(parts) if parts else np.zeros(0, _U)
+        parts, none = [np.zeros(0, _U)], np.zeros(0, np.int64)
+        cut: tuple[np.ndarray, np.ndarray] | None = None  # sum and length of the word that the block before has begun
+        for start in range(0, len(data), BLOCK):
+            block, end = data[start : start + BLOCK], start + BLOCK
+            sums, lengths, _ = self._sums(block, none)
+            if cut is not None and self.word[block[0]]:
+                sums[:1] = cut[0] + sums[:1] * _U(pow(_BASE, int(cut[1][0]), 2**64))
+                lengths[:1] += cut[1]
+            elif cut is not None:
+                parts.append(self._numbers(*cut))
+            cut = None
+            if end < len(data) and self.word[block[-1]]:
+                cut, sums, lengths = (sums[-1:], lengths[-1:]), sums[:-1], lengths[:-1]
+            parts.append(self._numbers(sums, lengths))
+        return np.concatenate(parts)
 
 
 def _combined(words: np.ndarray, width: int) -> np.ndarray:
