@@ -12,7 +12,8 @@ chunks (HTTP/1.1 chunked coding) cut inside it.
 Defined results: a null payload is empty; payloads shorter than ``min_bytes`` are all responses; rows that share the
 smallest id of a payload are all responses; rows without an id revisit the smallest id, and are responses if none has
 one; a null url is written as ``urn:page:<id>``; control characters and spaces in a url are
-written as ``%20``.
+written as ``%20``. A record's id is made of page id and payload, so rows equal in both share one; an archive whose records
+need ids of their own must hold a page once.
 """
 
 from __future__ import annotations
@@ -113,7 +114,11 @@ def _unchunked(body: Column) -> Column:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the archives below ``path``; fails on a record whose length or digest is not what its header says."""
+    """Records of the archives below ``path``.
+
+    Fails on a record without type, length or digest, and on one whose length or digest is not what its header says. The
+    check is a filter that lets all rows pass, so it runs whichever columns a reader takes.
+    """
     rows = spark.read.option("lineSep", VERSION).text(path).where(F.col("value") != "")
     gap = F.instr("value", "\r\n\r\n")
     rows = rows.select(
@@ -124,10 +129,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         _field("WARC-Type").alias("record_type"),
         _field("WARC-Record-ID").alias("record_id"),
         _field("WARC-Target-URI").alias("uri"),
-        F.substring(_field("WARC-Payload-Digest"), len("sha1:") + 1, 32).alias("payload_digest"),
+        F.nullif(F.substring(_field("WARC-Payload-Digest"), len("sha1:") + 1, 32), F.lit("")).alias("payload_digest"),
         _field("WARC-Refers-To").alias("refers_to_record"),
         _field("X-Page-Id").cast("long").alias("page_id"),
-        _field("Content-Length").cast("long").alias("length"),
+        F.expr("try_cast(regexp_extract(head, '(?m)^Content-Length: ([^\\r\\n]*)', 1) as long)").alias("length"),
         "block",
     )
     start = F.instr("block", "\r\n\r\n")
@@ -135,21 +140,23 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     body = F.expr("substring(block, instr(block, '\\r\\n\\r\\n') + 4)")
     body = F.when(http.contains("Transfer-Encoding: chunked"), _unchunked(body)).otherwise(body)
     rows = rows.withColumn("payload", F.when(F.col("record_type") == "response", body))
-    wrong = (F.octet_length("block") != F.col("length")) | (
-        F.col("payload").isNotNull() & (payload_digest(F.col("payload")) != F.col("payload_digest"))
+    sound = (F.octet_length("block") == F.col("length")) & F.col("payload_digest").isNotNull() & (
+        F.when(F.col("record_type") == "response", payload_digest(F.col("payload")) == F.col("payload_digest"))
+        .otherwise(F.col("record_type").isNotNull())
     )
-    checked = F.when(wrong, F.raise_error(F.concat(F.lit("damaged record "), F.col("record_id")))).otherwise(F.col("record_id"))
-    return rows.withColumn("record_id", checked).drop("block", "length")
+    damaged = F.raise_error(F.concat(F.lit("damaged record "), F.coalesce("record_id", F.lit("without id")))).cast("boolean")
+    return rows.where(F.when(F.coalesce(sound, F.lit(False)), F.lit(True)).otherwise(damaged)).drop("block", "length")
 
 
 def resolve(records: DataFrame) -> DataFrame:
     """``records`` with ``payload_bytes``, and for revisits ``refers_to``, the page id of the response.
 
-    Revisits meet the responses by digest and record id; payloads stay where they are, headers move.
+    Revisits meet the responses by digest and record id; payloads stay where they are, headers are written once and move.
     """
     heads = records.select(
         "page_id", "record_type", "record_id", "refers_to_record", "payload_digest", F.octet_length("payload").cast("long").alias("bytes")
     )
+    heads = settle(heads, "warc-headers")
     responses = heads.where(F.col("record_type") == "response").groupBy(
         F.col("payload_digest").alias("of"), F.col("record_id").alias("target")
     ).agg(F.min("page_id").alias("found"), F.min("bytes").alias("full"))

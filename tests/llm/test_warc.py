@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 
 import pytest
 from pyspark.errors import PySparkException
@@ -61,13 +62,48 @@ def test_records_are_well_formed(spark, tmp_path):
     assert seen == len(rows())
 
 
-def test_damage_is_noticed(spark, tmp_path):
-    warc.write_archives(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string"), str(tmp_path / "w"))
-    part = next((tmp_path / "w").glob("part-*"))
-    (tmp_path / "d").mkdir()
-    (tmp_path / "d" / "x.warc").write_bytes(part.read_bytes().replace(b"abc", b"abd"))
-    with pytest.raises(PySparkException):
-        warc.read_archives(spark, str(tmp_path / "d")).collect()
+def written(spark, path, rows) -> bytes:
+    """The bytes of all archives; Spark may write empty ones beside those with records."""
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(path))
+    return b"".join(part.read_bytes() for part in sorted(path.glob("part-*")))
+
+
+def damaged(path, name, data: bytes) -> str:
+    (path / name).mkdir()
+    (path / name / "x.warc").write_bytes(data)
+    return str(path / name)
+
+
+ALTERED = {
+    "payload": (b"abc", b"abd"),
+    "payload_without_digest": (rb"WARC-Payload-Digest: [^\r]*\r\n", b""),
+    "empty_digest": (rb"WARC-Payload-Digest: sha1:[^\r]*", b"WARC-Payload-Digest: sha1:"),
+    "no_length": (rb"(msgtype=response)\r\nContent-Length: [1-9]\d+", rb"\1"),
+    "odd_length": (rb"(msgtype=response\r\nContent-Length: )[1-9]\d+", rb"\1many"),
+    "no_type": (rb"WARC-Type: response\r\n", b""),
+    "revisit_length": (rb"Content-Length: 0", b"Content-Length: 3"),
+    "revisit_without_length": (rb"Content-Length: 0\r\n", b""),
+    "revisit_without_digest": (rb"(WARC-Type: revisit(?:\r\n[^\r]+)*?)\r\nWARC-Payload-Digest: [^\r]*", rb"\1"),
+}
+
+
+@pytest.fixture(scope="module")
+def sound(spark, tmp_path_factory) -> bytes:
+    path = tmp_path_factory.mktemp("sound")
+    data = written(spark, path / "w", [(1, "u", "abc"), (2, "v", "abc")])
+    assert warc.read_archives(spark, damaged(path, "same", data)).count() == 2
+    return data
+
+
+@pytest.mark.parametrize("name", sorted(ALTERED))
+def test_damage_is_noticed(spark, tmp_path, sound, name):
+    """Also by a reader of one column, and by ``resolve``, which drops most of a record."""
+    altered = re.sub(*ALTERED[name], sound)
+    assert altered != sound
+    records = warc.read_archives(spark, damaged(tmp_path, "d", altered))
+    for read in (lambda: records.select("uri"), lambda: warc.resolve(records)):
+        with pytest.raises(PySparkException):
+            read().collect()
 
 
 def test_empty_table(spark, tmp_path):
