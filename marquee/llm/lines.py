@@ -6,7 +6,7 @@ task. A host has at most (lines per page / ratio) boilerplate lines, so they fit
 written, and Spark broadcasts it only if its size allows, else both sides are shuffled and skewed hosts split.
 
 Defined results: lines are compared after trimming spaces, tabs and carriage returns; blank lines are kept and never
-counted; a null host is a host of its own; a null text stays null, an empty one empty; a text that loses all lines
+counted; a line on a single page of its host is never boilerplate, since nothing repeats; a null host is a host of its own; a null text stays null, an empty one empty; a text that loses all lines
 becomes empty and its row stays; equal rows are pages of their own.
 """
 
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from marquee.llm.common import packed, unpacked
 from marquee.operators.settle import settle
 
+REPEATED = 2  # pages that make a repetition
+
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
@@ -29,7 +31,7 @@ def _mark(line: Column) -> Column:
     return F.when(trimmed != "", F.struct(F.xxhash64(trimmed).alias("a"), F.hash(trimmed).alias("b")))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.1, min_pages: int = REPEATED) -> DataFrame:
     """Per ``host`` the ``marks`` of lines on more than ``ratio`` of its pages, and on ``min_pages`` or more."""
     pages = docs.select(F.col(host).alias("host"), F.col("text"))
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
@@ -51,7 +53,7 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.1, min_p
 
 
 def drop_boilerplate(
-    docs: DataFrame, host: str = "source", ratio: float = 0.1, min_pages: int = 5
+    docs: DataFrame, host: str = "source", ratio: float = 0.1, min_pages: int = REPEATED
 ) -> DataFrame:
     """``docs`` with ``text`` without boilerplate lines, ``n_lines`` before and ``n_dropped``."""
     bad = settle(boilerplate(docs, host, ratio, min_pages), "boilerplate")

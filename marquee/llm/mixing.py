@@ -2,10 +2,12 @@
 
 Sizes are summed per source with map-side aggregation, so a source with a third of all rows arrives as one row per
 task. A document of a source with repetition rate r is emitted floor(r) times, and once more if its draw lies below
-the fraction of r. The draw is a hash of seed, id and text: it needs no state, and a lost task repeats it.
+the fraction of r. The draw is a hash of seed, id and text: it needs no state, and a lost task repeats it. Rows that are
+equal in source, id and text draw together: n of them are emitted floor(n r) times and once more by the draw for the
+rest, dealt evenly, so a row that is repeated a thousand times takes a thousand times what one takes. They are found by
+a count of digests; only repeated rows are numbered, sorted over many tasks.
 
-Defined results: a null or empty text has size 0; a null source is a source of its own, ordered last; rows equal in id
-and text share a draw; an empty table gives an empty mix; sources without a target, or without words, are not emitted.
+Defined results: a null or empty text has size 0; a null source is a source of its own, ordered last; an empty table gives an empty mix; sources without a target, or without words, are not emitted.
 """
 
 from __future__ import annotations
@@ -68,17 +70,33 @@ def draw(seed: int, doc_id: Column, text: Column) -> Column:
 def with_copies(docs: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``copies``; ``targets`` has the last but one per source."""
     chosen = targets.select(F.col("source").alias("of"), "source_size", "target")
+    equal = [F.col("source"), F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest")]
+    held = docs.select(*equal).groupBy("source", "doc_id", "digest").agg(F.count(F.lit(1)).alias("held"))
+    repeated = settle(held.where(F.col("held") > 1), "mix-repeated").select(
+        *[F.col(name).alias(f"same_{name}") for name in ("source", "doc_id", "digest")], "held"
+    )
+    same = F.lit(True)
+    for name in ("source", "doc_id", "digest"):
+        same = same & F.col(name).eqNullSafe(F.col(f"same_{name}"))
     rows = packed(
         docs,
         size=word_count(F.col("text")),
         source=F.col("source"),
+        doc_id=F.col("doc_id"),
+        digest=equal[2],
         draw=draw(seed, F.col("doc_id"), F.col("text")),
     )
+    rows = rows.join(repeated, same, "left").drop("same_source", "same_doc_id", "same_digest")
+    single = rows.where(F.col("held").isNull()).withColumns({"held": F.lit(1).cast("long"), "place": F.lit(1).cast("long")})
+    # Which of the equal rows comes first does not matter; the id of the row spreads them over tasks.
+    several = rows.where(F.col("held").isNotNull()).withColumn("any", F.monotonically_increasing_id())
+    several = row_numbers(several, [F.asc("any")], within=["source", "doc_id", "digest"], name="place").drop("any")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(F.coalesce(rate, F.lit(0.0)))
-    extra = (F.col("draw") < F.coalesce(rate, F.lit(0.0)) - whole).cast("long")
-    joined = rows.join(chosen, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("copies", whole + extra)
-    return unpacked(joined, docs, "size", "source_size", "target", "copies")
+    all_rate = F.coalesce(rate, F.lit(0.0)) * F.col("held")
+    dealt = F.floor(all_rate) + (F.col("draw") < all_rate - F.floor(all_rate)).cast("long")
+    copies = F.call_function("div", dealt, F.col("held")) + (F.col("place") <= dealt % F.col("held")).cast("long")
+    joined = single.unionByName(several).join(chosen, F.col("source").eqNullSafe(F.col("of")), "left")
+    return unpacked(joined.withColumn("copies", copies), docs, "size", "source_size", "target", "copies")
 
 
 def targets_of(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, limit: float = 2.0) -> DataFrame:

@@ -24,10 +24,13 @@ l AS (SELECT (goal - below) / (weights - below_weight) AS level FROM o, g
 t AS (SELECT source, source_size,
              least(2.0::DOUBLE * source_size, weight * coalesce((SELECT level FROM l), 0)) AS target FROM w),
 r AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+             count(*) OVER (PARTITION BY d.source, doc_id, coalesce(text, '')) AS n,
+             row_number() OVER (PARTITION BY d.source, doc_id, coalesce(text, '')) - 1 AS j,
              ('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 13))::BIGINT
              / 4503599627370496.0::DOUBLE AS draw
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT *, floor(rate)::BIGINT + (draw < rate - floor(rate))::BIGINT AS copies FROM r)
+g AS (SELECT *, floor(rate * n)::BIGINT + (draw < rate * n - floor(rate * n))::BIGINT AS dealt FROM r),
+c AS (SELECT *, dealt // n + (j < dealt % n)::BIGINT AS copies FROM g)
 SELECT doc_id, size::BIGINT AS size, source_size, target, (size * copies)::BIGINT AS taken, copies FROM c
 """
 
@@ -40,7 +43,7 @@ m AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS mark FROM l),
 n AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
 h AS (SELECT source, mark, count(DISTINCT r) AS held FROM m WHERE mark <> '' GROUP BY source, mark),
 b AS (SELECT h.source, h.mark FROM h JOIN n ON h.source IS NOT DISTINCT FROM n.source
-      WHERE held >= 5 AND held > pages * 0.1::DOUBLE),
+      WHERE held >= 2 AND held > pages * 0.1::DOUBLE),
 k AS (SELECT r, count(*) AS n_lines, count(b.mark) AS n_dropped,
              coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE b.mark IS NULL), '') AS text
       FROM m LEFT JOIN b ON m.source IS NOT DISTINCT FROM b.source AND m.mark = b.mark GROUP BY r)

@@ -34,12 +34,26 @@ def test_equals_brute_force(spark):
         rows.append((i, "\n".join(lines), source))
     rows += [(900, None, "hot"), (901, "", "hot"), (None, "Menu | Home", "hot"), (5, rows[5][1], rows[5][2]), (902, "\n\n", None)]
     docs = spark.createDataFrame([(*r, 1, "k") for r in rows], SCHEMA).repartition(4)
-    for ratio, least in ((0.1, 5), (0.3, 2), (0.0, 1)):
+    for ratio, least in ((0.1, 2), (0.1, 5), (0.3, 2), (0.0, 1)):
         out = drop_boilerplate(docs, ratio=ratio, min_pages=least)
         found = sorted([(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect()], key=str)
         assert found == brute(rows, ratio, least)
         assert set(docs.columns) <= set(out.columns) and {r.kept for r in out.collect()} == {"k"}
 
 
+def test_hosts_of_few_pages(spark):
+    """Menus go from hosts of 2 to 20 pages, whatever shows on one page only stays."""
+    rows = []
+    for pages in range(1, 21):
+        for page in range(pages):
+            text = ["Menu", f"own {page}", "now and then"] if page < 2 else ["Menu", f"own {page}"]
+            rows.append((100 * pages + page, "\n".join(text), f"host{pages}"))
+    docs = spark.createDataFrame([(*r, 1, "k") for r in rows], SCHEMA).repartition(3)
+    found = {r.doc_id: (r.doc_id, r.text, r.n_lines, r.n_dropped) for r in drop_boilerplate(docs).collect()}
+    assert sorted(found.values(), key=str) == brute(rows, 0.1, 2)
+    assert found[100][1] == "Menu\nown 0\nnow and then" and found[200][1] == "own 0" and found[1900][1] == "own 0"
+    assert found[2000][1] == "own 0\nnow and then"  # on a tenth of the pages, not on more
+
+
 def test_empty_table(spark):
     assert drop_boilerplate(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -39,6 +39,8 @@ def test_copies_follow_targets(spark):
         assert row.source_size == sizes[row.source] and row.target == pytest.approx(want[row.source])
         rate = row.target / row.source_size if row.source_size else 0
         assert int(rate) <= row.copies <= int(rate) + (rate > int(rate)) <= 2
+    same = [r.copies for r in counted if r.doc_id == 7]
+    assert len(same) == 2 and abs(same[0] - same[1]) <= 1
     again = mixing.with_copies(docs.repartition(5), mixing.targets_of(docs)).collect()
     assert sorted(map(str, counted)) == sorted(map(str, again))
     mixed = mixing.mix(docs)
@@ -55,6 +57,22 @@ def test_taken_words_come_near_the_target(spark):
         assert taken[r.source] == pytest.approx(r["max(target)"], rel=0.05)
 
 
+def test_repeated_rows_come_near_the_target_too(spark):
+    """A third of all rows are one row: as many words are taken of it as of others."""
+    many = spark.range(1000).selectExpr("1 doc_id", "repeat('w ', 146) text", "'hot' source", "id other")
+    rest = spark.range(2000).selectExpr("id + 10 doc_id", "repeat('v ', cast(id % 9 + 1 as int)) text", "if(id % 2 = 0, 'hot', 'b') source", "id other")
+    docs = many.union(rest).repartition(7)
+    counted = mixing.with_copies(docs, mixing.targets_of(docs)).collect()
+    assert len(counted) == 3000 and sorted(r.other for r in counted if r.doc_id == 1) == list(range(1000))
+    for source in ("hot", "b"):
+        mine = [r for r in counted if r.source == source]
+        assert sum(r["size"] * r.copies for r in mine) == pytest.approx(mine[0].target, rel=0.02)
+    hot = [r.copies for r in counted if r.doc_id == 1]
+    assert max(hot) - min(hot) <= 1
+    again = mixing.with_copies(docs.repartition(3), mixing.targets_of(docs)).collect()
+    assert sorted((r.doc_id, r.copies) for r in counted) == sorted((r.doc_id, r.copies) for r in again)
+
+
 def test_empty_tables_and_sources_without_words(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mixing.mix(empty).count() == 0

@@ -45,7 +45,7 @@ def test_stages_equal_plain_versions(spark, tmp_path):
     assert len(kept) >= 0.98 * (before.count() - 3)
 
     before, after = results["line_dedup"]
-    want = {r[0]: r[1] for r in brute_lines([(r.doc_id, r.text, r.source) for r in before.collect()], 0.1, 5)}
+    want = {r[0]: r[1] for r in brute_lines([(r.doc_id, r.text, r.source) for r in before.collect()], 0.1, 2)}
     assert {r.doc_id: r.text for r in after.collect()} == want
 
     before, after = results["near_copies"]
