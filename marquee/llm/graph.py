@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by a robust-pruned directed graph in every shard, largest inner product first.
 
-Vectors get one more component that makes all of a shard equally long, so that the largest inner product is the
-smallest distance. Points enter the graph in batches that double: a beam search over the graph so far proposes
+Vectors are dealt into bands of nearly equal length (longest to shortest at most ``RATIO``), and a large band by hash into
+shards. In a shard they get one more component that makes all equally long, so that the largest inner product is the
+smallest distance; within a band that component is small, and the graph keeps to the directions. Points enter the graph in batches that double: a beam search over the graph so far proposes
 neighbours, and pruning keeps the nearest of them, drops what lies nearer to it (by the factor ``ALPHA``) than to the
-point, and goes on with the rest. Reverse edges are added and pruned alike. A query runs a beam search in each shard;
-what the beam holds is scored exactly in double precision, and the best of all shards are merged.
+point, and goes on with the rest. Reverse edges are added and pruned alike. A query runs a beam search in the shards of
+the longest bands; what the beam holds is scored exactly in double precision. No product with a vector is above the
+product of both lengths, so of the other bands a query visits those whose longest vector could still beat the last of
+the ``k`` scores it has; skipping the rest loses nothing. The best of all shards are merged.
 
 All queries of a block step together, in arrays. Every vector is indexed. A shard that fits into the beam is searched
 whole, so few candidates are all returned.
@@ -15,12 +18,15 @@ take no part; repeated rows of an id and vector count once; a query meets only v
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.vectors import KEY, search, shards, stacked, usable
+from marquee.llm.vectors import best, distinct_vectors, log_length, stacked, usable
 from marquee.operators.settle import settle
 
 DEGREE = 32
@@ -33,7 +39,11 @@ BATCH = 256
 SHARD_ROWS = 8192
 BLOCK_ROWS = 2048
 PAGE = 512  # points in a row of the index
-INDEX_SCHEMA = "dims int, shard int, first int, vectors binary, near binary, ids binary, counts binary"
+RATIO = 1.2  # of the longest to the shortest vector of a band
+AHEAD = 512  # vectors in the bands that all queries visit, at least
+SLACK = 1e-9  # relative, for rounding in the bound
+KEY = ["dims", "band", "split"]
+INDEX_SCHEMA = "dims int, band int, split int, first int, vectors binary, near binary, ids binary, counts binary"
 
 
 def lengthened(vectors: np.ndarray) -> np.ndarray:
@@ -159,19 +169,36 @@ def build(shard: pd.DataFrame) -> pd.DataFrame:
     for at in range(0, len(vectors), PAGE):
         ids = [np.asarray(i, np.int64) for i in shard["ids"].iloc[at : at + PAGE]]
         out.append((
-            shard["dims"].iloc[0], shard["shard"].iloc[0], at, vectors[at : at + PAGE].tobytes(),
+            *(shard[name].iloc[0] for name in KEY), at, vectors[at : at + PAGE].tobytes(),
             graph.near[at : at + PAGE].tobytes(), np.concatenate(ids).tobytes(),
             np.array([len(i) for i in ids], np.int64).tobytes(),
         ))
     return pd.DataFrame(out, columns=[c.split()[0] for c in INDEX_SCHEMA.split(", ")])
 
 
-def nearest(rows: DataFrame, every: int = 20, k: int = 20, beam: int = BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """For every row whose vec_id is divisible by ``every``: rank, vec_id and score of the ``k`` nearest rows found."""
-    good = usable(rows, zero=False)
-    dealt, n = shards(good, k + 1, shard_rows)
-    index = settle(dealt.groupBy(*KEY).applyInPandas(build, INDEX_SCHEMA), "graph")
+def _bands(vectors: DataFrame, shard_rows: int) -> DataFrame:
+    """Per dimension and band the number of ``splits``, the ``longest`` vector, and whether all queries visit it."""
+    bands = vectors.groupBy("dims", "band").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest"))
+    longer = Window.partitionBy("dims").orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum("n").over(longer), F.lit(0)) < AHEAD
+    return bands.select("dims", "band", F.ceil(F.col("n") / shard_rows).cast("int").alias("splits"), "longest", ahead.alias("ahead"))
+
+
+def _visits(asked: DataFrame, index: DataFrame, n_blocks: int, answer: Callable) -> DataFrame:
+    """``answer`` for the shards that the blocks of ``asked`` queries visit: query_id, vec_id, score."""
+    key = [*KEY, "block"]
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
+    paged = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+
+    def run(pages: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if len(pages) and len(block):
+            return answer(pages, block)
+        return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": []})
+
+    return paged.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(run, "query_id long, vec_id long, score double")
 
+
+def _searcher(k: int, beam: int) -> Callable:
     def answer(pages: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         pages = pages.sort_values("first")
         vectors = np.concatenate([np.frombuffer(b, "f8").reshape(-1, int(pages["dims"].iloc[0])) for b in pages["vectors"]])
@@ -186,16 +213,48 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, beam: int = BEAM, sha
             found, _ = graph.beam(longer, max(beam, 2 * k))
             scores = np.where(found >= 0, (vectors[found] * q[:, None, :]).sum(2), -np.inf)
             for row, query_id in enumerate(block["query_id"].iloc[at : at + BATCH]):
-                best = np.argsort(-scores[row], kind="stable")
-                least = scores[row][best[min(k, len(best) - 1)]]  # k + 1 vectors, and what equals the last
-                best = best[(scores[row][best] >= least) & (found[row][best] >= 0)]
-                where = found[row][best]
+                order = np.argsort(-scores[row], kind="stable")
+                least = scores[row][order[min(k, len(order) - 1)]]  # k + 1 vectors, and what equals the last
+                order = order[(scores[row][order] >= least) & (found[row][order] >= 0)]
+                where = found[row][order]
                 out = np.concatenate([ids[starts[w] : starts[w] + counts[w]] for w in where]) if len(where) else ids[:0]
-                score = np.repeat(scores[row][best], counts[where])
+                score = np.repeat(scores[row][order], counts[where])
                 mine = out != query_id
                 out, score = out[mine], score[mine]
                 top = np.lexsort((out, -score))[:k]
                 parts.append(pd.DataFrame({"query_id": query_id, "vec_id": out[top], "score": score[top]}))
         return pd.concat(parts)
 
-    return search(index, good.where(F.col("vec_id") % every == 0), n, BLOCK_ROWS, answer, k, "double")
+    return answer
+
+
+def nearest(rows: DataFrame, every: int = 20, k: int = 20, beam: int = BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """For every row whose vec_id is divisible by ``every``: rank, vec_id and score of the ``k`` nearest rows found."""
+    good = usable(rows, zero=False)
+    log = log_length(F.col("v"))
+    # A band is centred on a length of one, so that vectors of that length lie in one band whatever their rounding.
+    vectors = distinct_vectors(good, k + 1).select(
+        "v", "ids", F.size("v").alias("dims"), F.floor(log / math.log(RATIO) + 0.5).cast("int").alias("band"), F.exp(log).alias("length")
+    )
+    bands = settle(_bands(vectors, shard_rows), "bands")
+    dealt = vectors.join(bands.select("dims", "band", "splits"), ["dims", "band"])
+    dealt = dealt.select("dims", "band", F.pmod(F.xxhash64("v"), F.col("splits")).cast("int").alias("split"), "v", "ids")
+    index = settle(dealt.groupBy(*KEY).applyInPandas(build, INDEX_SCHEMA), "graph")
+
+    queries = good.where(F.col("vec_id") % every == 0).distinct().select(
+        F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dims"), F.exp(log).alias("length")
+    )
+    queries = settle(queries, "queries")
+    n_blocks = max(1, math.ceil(queries.count() / BLOCK_ROWS))
+    split = F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split")
+    everywhere = queries.join(bands.where("ahead"), "dims").select("query_id", "v", "dims", "band", split)
+    first = settle(best(_visits(everywhere, index.join(bands.where("ahead").select("dims", "band"), ["dims", "band"], "left_semi"),
+                                n_blocks, _searcher(k, beam)), k), "found")
+
+    last = first.where(F.col("rank") == k).select(F.col("query_id").alias("of"), F.col("score").alias("last"))
+    open_ = queries.join(last, F.col("query_id") == F.col("of"), "left").join(bands.where(~F.col("ahead")), "dims")
+    could = F.col("last").isNull() | (queries["length"] * F.col("longest") * (1 + SLACK) >= F.col("last"))
+    some = open_.where(could).select("query_id", "v", "dims", "band", split)
+    second = _visits(some, index.join(bands.where(~F.col("ahead")).select("dims", "band"), ["dims", "band"], "left_semi"),
+                     n_blocks, _searcher(k, beam))
+    return best(first.drop("rank").unionByName(second), k)

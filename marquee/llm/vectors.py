@@ -34,19 +34,30 @@ def usable(rows: DataFrame, zero: bool = True) -> DataFrame:
     return rows.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
 
 
-def shards(rows: DataFrame, keep: int, shard_rows: int) -> tuple[DataFrame, int]:
-    """Distinct vectors of (vec_id, v) with their ``keep`` smallest ``ids``, dealt to shards of about ``shard_rows``.
+def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
+    """Written distinct vectors of (vec_id, v) with their ``keep`` smallest ``ids``.
 
     Before the shuffle Spark trims each task to ``keep`` ids a vector.
     """
     place = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
     few = rows.withColumn("place", place).where(F.col("place") <= keep)
-    one = settle(few.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")), "vectors")
+    return settle(few.groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")), "vectors")
+
+
+def shards(rows: DataFrame, keep: int, shard_rows: int) -> tuple[DataFrame, int]:
+    """Distinct vectors of (vec_id, v) with their ``keep`` smallest ``ids``, dealt to shards of about ``shard_rows``."""
+    one = distinct_vectors(rows, keep)
     n = max(1, math.ceil(one.count() / shard_rows))
     dealt = one.withColumn("dims", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(n)).cast("int"))
     return dealt, n
 
 
+def log_length(v: Column) -> Column:
+    """The logarithm of a vector's length, of any size; the vector is not zero."""
+    most = F.array_max(F.transform(v, F.abs))
+    return F.log(most) + F.log(F.aggregate(v, F.lit(0.0), lambda total, x: total + (x / most) * (x / most))) / 2
+
+
 def search(
     index: DataFrame, queries: DataFrame, n_shards: int, block_rows: int, answer: Callable, k: int, score: str
 ) -> DataFrame:
@@ -73,8 +84,13 @@ def search(
         return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": []})
 
     found = paged.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(run, f"query_id long, vec_id long, score {score}")
-    best: list[Column] = [F.desc("score"), F.asc("vec_id")]
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*best))
+    return best(found, k)
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each query: query_id, rank, vec_id, score."""
+    order: list[Column] = [F.desc("score"), F.asc("vec_id")]
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

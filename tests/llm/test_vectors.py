@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from marquee.llm import graph, mtree
@@ -57,8 +58,6 @@ def test_m_tree_is_exact(spark, monkeypatch, seed, n, dims, page):
 
 
 def test_m_tree_prunes():
-    import pandas as pd
-
     rnd = np.random.default_rng(0)
     x = np.floor(256 * (rnd.normal(size=(20, 16))[rnd.integers(0, 20, 4000)] * 4 + rnd.normal(size=(4000, 16)) * 0.1)).astype(np.int64)
     frame = pd.DataFrame({"v": list(x), "ids": [[i] for i in range(4000)], "dims": 16, "shard": 0})
@@ -89,6 +88,40 @@ def test_graph_recall_and_scores(spark):
         assert sorted(best, key=lambda b: (-b[2], b[1])) == best
 
 
+@pytest.mark.parametrize("case", ["0.2", "0.5", "1.0", "unit", "one_long"])
+def test_graph_recall_on_unequal_lengths(spark, case):
+    """Full shards of vectors in all directions, of log-normal length, or of length one but for one."""
+    rnd = np.random.default_rng(7)
+    x = rnd.normal(size=(8192 if case in ("unit", "one_long") else 4096, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if case == "one_long":
+        x[11] *= 10_000
+    elif case != "unit":
+        x *= np.exp(float(case) * rnd.normal(size=(len(x), 1)))
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)})).repartition(4)
+    found = answers(graph.nearest(rows, 32, 20))
+    hits = 0
+    for q in range(0, len(x), 32):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        assert len(found[q]) == 20 and sorted(found[q], key=lambda b: (-b[2], b[1])) == found[q]
+        hits += len({i for _, i, _ in found[q]} & set(np.argsort(-scores)[:20].tolist()))
+    print(f"recall {case}: {hits / (len(found) * 20):.4f}")
+    assert hits >= 0.9 * len(found) * 20
+
+
+def test_bands_are_skipped_exactly(spark, monkeypatch):
+    """Few vectors ahead, so most bands are visited or skipped by the bound; every shard is searched whole."""
+    monkeypatch.setattr(graph, "AHEAD", 5)
+    rnd = np.random.default_rng(3)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(rnd.normal(size=(300, 4)) * np.exp(2 * rnd.normal(size=(300, 1))))]
+    rows += [(1000 + i, [1e200 * (i + 1), 0.0, 0.0, 0.0]) for i in range(3)] + [(2000, [0.0, 1e-300, 0.0, 0.0]), (2001, [-1.0, 0.5])]
+    rows = [(i, v) for i, v in rows if not (i >= 1000 and i % 10 == 0 and i < 2000)]
+    table_ = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found, want = answers(graph.nearest(table_, 10, 5)), brute(rows, 10, 5, lambda v: v, zero=False)
+    assert {q: [b[1] for b in v] for q, v in found.items()} == {q: [b[1] for b in v] for q, v in want.items() if v}
+
+
 def test_few_candidates_are_all_returned(spark):
     rows = [(i, [float(i + 1), 2.0]) for i in range(9)]
     for found in (answers(graph.nearest(table(spark, rows), 3, 20)), answers(mtree.exact_top_k(table(spark, rows), 3, 20))):
