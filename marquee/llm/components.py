@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.operators.settle import settle
+from marquee.operators.settle import passing, settle
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,10 +33,11 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     ).distinct()
-    edges, before = settle(edges, "edges"), None
-    while True:
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state
-        edges = settle(_small_star(_large_star(edges)).distinct(), "edges")
+    with passing(links.sparkSession):
+        edges, before = settle(edges, "edges"), None
+        while True:
+            state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if state == before:
+                return settle(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), "roots", keep=True)
+            before = state
+            edges = settle(_small_star(_large_star(edges)).distinct(), "edges")

@@ -8,10 +8,12 @@ as many prefix shingles as the smaller of the two asks for, before it is verifie
 Frequencies are counts in a sketch of fixed size over all texts: any order is right, a good one is fast. Links are only
 needed for groups, and a group of near copies has too many to list. So the members of a prefix shingle are first
 verified against its most typical member; groups are formed; and then all pairs of different groups that the prefixes
-allow are verified. No link between groups is lost, pairs within a group are not made.
+allow are verified: of each shingle first the pairs of groups, then their members. No link between groups is lost, pairs
+within a group are not made.
 
 Bounds: the sketch (``SKETCH_BITS``) and the bitmap of representatives (``BITMAP_BITS``) are of fixed size and the only
-things broadcast. Everything else is shuffled by shingle or node, and runs of a hot shingle are streamed.
+things broadcast. Everything else is shuffled by shingle or node, and runs of a hot shingle are streamed in arrays. A
+task sends the prefix of a set once, however many copies it holds, and copies meet their group as one row a node.
 
 Defined results: null, empty and blank texts have an empty set, and are linked with nothing; texts with fewer words
 than the width have one shingle; equal rows are linked; a row without an id takes part, and the group's id is the
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from marquee.llm import shingles
 from marquee.llm.components import components
-from marquee.operators.settle import settle
+from marquee.operators.settle import passing, settle
 
 SKETCH_BITS = 20  # counters, 4 bytes each
 SKETCH_ROW = 4096  # counters in a row of the sketch table
@@ -40,9 +42,8 @@ STEP = 6  # prefix shingles for each match that is asked for in any case
 CHEAP = 32.0  # expected partners of a prefix up to which no more is asked for
 MOST_MATCHES = 12
 ROWS = 4096  # rows in an output batch
+KNOWN_NODES = 1 << 18  # sets whose prefixes a task remembers to have sent
 BATCH_ROWS = 1000  # texts, or pairs of sets, in an input batch
-HEAD = ("head", "head_place", "head_n")
-
 SET_SCHEMA = "id long, n long, node binary, part int, counts binary"
 PREFIX_SCHEMA = "shingle long, node binary, place int, n long, matches int, typical double"
 
@@ -134,11 +135,16 @@ def _prefixes(spark: SparkSession, texts: DataFrame, sketch: np.ndarray, like: S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, counts = shingles.Hasher(), shared.value
         mask, noise = np.uint64(len(counts) - 1), float(counts.mean())
+        sent: set[bytes] = set()
         for batch in batches:
             out: list[tuple] = []
             for found in shingles.shingle_sets(batch.column("text"), like.width, hasher):
-                if not len(found):
+                node = shingles.set_key(found) if len(found) else None
+                if node is None or node in sent:
                     continue
+                if len(sent) == KNOWN_NODES:
+                    sent.clear()
+                sent.add(node)
                 often = counts[(found & mask).astype(np.int64)]
                 n, least = len(found), like.least(len(found))
                 shortest, longest = like.asked(n), min(2 * MOST_MATCHES, least)
@@ -146,7 +152,7 @@ def _prefixes(spark: SparkSession, texts: DataFrame, sketch: np.ndarray, like: S
                 expected = np.maximum(often[order] - 1 - noise, 0)
                 matches = matches_wanted(expected[: n - least + 1], shortest, longest)
                 order = order[: n - least + matches]
-                out.append((found[order].view(np.int64), shingles.set_key(found), n, matches, float(expected.sum())))
+                out.append((found[order].view(np.int64), node, n, matches, float(expected.sum())))
                 if sum(len(o[0]) for o in out[-64:]) > ROWS or len(out) >= 64:
                     yield _prefix_batch(out)
                     out = []
@@ -168,29 +174,70 @@ def _prefix_batch(out: list[tuple]) -> pa.RecordBatch:
     )
 
 
+LIVE = pa.schema([
+    ("shingle", pa.int64()), ("node", pa.binary()), ("place", pa.int32()), ("n", pa.int64()), ("matches", pa.int32()),
+    ("head", pa.binary()), ("head_place", pa.int32()), ("head_n", pa.int64()),
+])
+
+
+class _Runs:
+    """Rows (shingle, node, place, n, matches) sorted by shingle, from batch to batch; of a run its head is carried on."""
+
+    def __init__(self):
+        self.head: pa.Table | None = None  # the first row of the last run
+        self.node: np.ndarray | None = None  # the last node seen
+        self.waiting = False  # whether the head is still to be written
+
+    def shared(self, batch: pa.RecordBatch) -> pa.Table | None:
+        """The distinct rows of runs of several nodes, each with its run's head."""
+        carried = self.head is not None
+        rows = pa.Table.from_batches([batch.select(["shingle", "node", "place", "n", "matches"])])
+        rows = pa.concat_tables([self.head, rows]).combine_chunks() if carried else rows
+        shingle, node = rows.column("shingle").to_numpy(), _node_numbers(rows.column("node"))
+        again = np.zeros(len(shingle), bool)  # the same shingle as the row before
+        again[1:] = shingle[1:] == shingle[:-1]
+        before = np.roll(node, 1, 0)
+        if carried and len(node) > 1:
+            before[1] = self.node
+        keep = np.flatnonzero(~(again & (node == before).all(1)))
+        self.node, again = node[-1], again[keep]
+        run = np.cumsum(~again) - 1
+        starts = keep[np.flatnonzero(~again)]
+        sizes = np.bincount(run)
+        held = sizes.copy()
+        held[0] += carried and not self.waiting  # a head that was written belongs to a run of several
+        out = held[run] > 1
+        out[0] &= not carried or self.waiting
+        self.waiting = held[-1] == 1
+        self.head = rows.slice(int(starts[-1]), 1)
+        if not out.any():
+            return None
+        heads = rows.take(pa.array(starts[run[out]]))
+        found = rows.take(pa.array(keep[out]))
+        columns = [*found.columns, heads.column("node"), heads.column("place"), heads.column("n")]
+        return pa.Table.from_arrays(columns, schema=LIVE)
+
+
+def _node_numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """Keys of sets as two numbers each."""
+    array = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    fixed = array.cast(pa.binary(16))
+    return np.frombuffer(fixed.buffers()[1], np.uint64)[2 * fixed.offset :][: 2 * len(fixed)].reshape(-1, 2)
+
+
 def _shared_only(prefixes: DataFrame) -> DataFrame:
     """Prefix shingles of several nodes, each with its ``head``: the most typical node.
 
-    The rows of a shingle arrive sorted and are streamed; of a run only its first row is remembered.
+    The rows of a shingle arrive sorted and are streamed in arrays; of a run only its first row is remembered.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the final row of the batch before, with its head, and whether it is still to be written
+        runs = _Runs()
         for batch in batches:
-            shingle = batch.column("shingle").to_numpy()
-            rows = batch.to_pylist() if len(shingle) else []
-            out = []
-            for row in rows:
-                if last is None or row["shingle"] != last["shingle"]:
-                    last = row | {"head": row["node"], "head_place": row["place"], "head_n": row["n"], "waiting": True}
-                elif row["node"] != last["node"]:
-                    if last["waiting"]:
-                        out.append(last | {"waiting": False})
-                    last = row | {k: last[k] for k in HEAD} | {"waiting": False}
-                    out.append(last)
-            yield pa.RecordBatch.from_pylist([{k: v for k, v in o.items() if k not in ("waiting", "typical")} for o in out], schema=schema)
-
-    schema = pa.schema([("shingle", pa.int64()), ("node", pa.binary()), ("place", pa.int32()), ("n", pa.int64()), ("matches", pa.int32()), ("head", pa.binary()), ("head_place", pa.int32()), ("head_n", pa.int64())])
+            found = runs.shared(batch) if batch.num_rows else None
+            if found is not None:
+                yield from found.to_batches(max_chunksize=ROWS)
+
     sorted_runs = prefixes.repartition("shingle").sortWithinPartitions("shingle", F.desc("typical"), "node")
     return sorted_runs.mapInArrow(run, "shingle long, node binary, place int, n long, matches int, head binary, head_place int, head_n long")
 
@@ -245,13 +292,14 @@ def _verified(spark: SparkSession, texts: DataFrame, sets: DataFrame, pairs: Dat
                 keep[row] = like.under * common >= like.over * (len(both) - common)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    nodes = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair-nodes")
-    ids = sets.where(F.col("node").isNotNull()).join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-    found = settle(_node_sets(spark, texts, nodes, ids, like), "node-sets")
-    left = found.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    right = found.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return settle(met.mapInArrow(run, "a binary, b binary"), "links")
+    with passing(spark):
+        nodes = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair-nodes")
+        ids = sets.where(F.col("node").isNotNull()).join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+        found = settle(_node_sets(spark, texts, nodes, ids, like), "node-sets")
+        left = found.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+        right = found.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
+        met = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+        return settle(met.mapInArrow(run, "a binary, b binary"), "links", keep=True)
 
 
 def _possible(like: Similarity, n_a: str, place_a: str, n_b: str, place_b: str) -> Column:
@@ -281,12 +329,17 @@ def _across(live: DataFrame, roots: DataFrame, like: Similarity) -> DataFrame:
     grouped = settle(grouped, "prefix-groups")
     mixed = grouped.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     open_ = grouped.join(mixed.where(F.col("low") != F.col("high")).select("shingle"), "shingle")
+    open_ = settle(open_, "open-shingles")
     fields = ("node", "place", "n", "root")
     one = open_.select("shingle", *[F.col(c).alias(f"{c}_a") for c in fields])
     two = open_.select("shingle", *[F.col(c).alias(f"{c}_b") for c in fields])
-    other = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
-    met = one.join(two, "shingle").where(other & _possible(like, "n_a", "place_a", "n_b", "place_b"))
-    met = settle(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "met")
+    # First groups, then members: rows of one group are not compared with each other.
+    held = open_.select("shingle", "root").distinct()
+    apart = held.withColumnRenamed("root", "root_a").join(held.withColumnRenamed("root", "root_b"), "shingle")
+    apart = settle(apart.where(F.col("root_a") < F.col("root_b")), "group-pairs")
+    met = apart.join(one, ["shingle", "root_a"]).join(two, ["shingle", "root_b"])
+    met = met.where(_possible(like, "n_a", "place_a", "n_b", "place_b"))
+    met = settle(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "met")
 
     own = live.groupBy("node").agg(F.collect_list("shingle").alias("shared"), F.first("matches").alias("matches"))
     own = settle(own, "shared")  # of a node at most its prefix
@@ -312,8 +365,8 @@ def groups(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:  # no
     """Per row of ``docs`` (doc_id, text): doc_id, ``n_shingles`` and ``component_id``, the smallest id of its group."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    with _small_batches(spark):
-        rows = settle(_sets(texts, like), "shingle-sets")
+    with _small_batches(spark), passing(spark):
+        rows = settle(_sets(texts, like), "shingle-sets", keep=True)
         sets = rows.where(F.col("part").isNull()).select("id", "n", "node")
 
         live = settle(_shared_only(_prefixes(spark, texts, _sketch(rows), like)), "prefixes")
@@ -322,19 +375,34 @@ def groups(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:  # no
         pairs = settle(_across(live, components(links), like), "pairs")
         roots = components(links.union(_verified(spark, texts, sets, pairs, like)))
 
-    rooted = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = settle(rooted.select("id", "n", "root"), "rooted")
-    least = rooted.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("least"))
-    return rooted.join(least, "root", "left").select(
+        # Copies become one row a node before nodes meet their group.
+        nodes = sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"))
+        nodes = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+        nodes = settle(nodes, "nodes")
+        least = settle(nodes.groupBy("root").agg(F.min("id").alias("least")), "least")
+        groups_ = settle(nodes.select("node", "root").join(least, "root").select("node", "least"), "groups", keep=True)
+
+    return sets.join(groups_, "node", "left").select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"),
+        F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"),
     )
 
 
+def _key(docs: DataFrame) -> Column:
+    """The id of a row; without one a number above usual ids, from all columns, so equal rows have the same."""
+    hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    number = F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{name}`") for name in hashed]), 2)
+    return F.coalesce(F.col("doc_id").cast("long"), number + F.lit(1 << 62))
+
+
 def keep_one(docs: DataFrame, like: Similarity = Similarity()) -> DataFrame:  # noqa: B008
-    """``docs`` without near copies: of each group the row with the smallest id stays, once. Rows without id stay."""
-    kept = groups(docs, like).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("kept_id"), F.xxhash64("text").alias("mark"))
-    once = rows.where(F.col("kept_id").isNotNull()).join(kept, "kept_id", "left_semi").dropDuplicates(["kept_id", "mark"])
-    return once.select("row.*").union(docs.where(F.col("doc_id").isNull()))
+    """``docs`` without near copies: of each group the row with the smallest id stays, once.
+
+    Rows without an id come after all others, by a hash of their columns; rows equal in everything count as one.
+    """
+    rows = docs.select(F.struct("*").alias("row"), _key(docs).alias("kept_id"), "text")
+    found = groups(rows.select(F.col("kept_id").alias("doc_id"), "text"), like)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
+    once = rows.withColumn("mark", F.xxhash64("text")).join(kept, "kept_id", "left_semi")
+    return once.dropDuplicates(["kept_id", "mark"]).select("row.*")
