@@ -13,6 +13,7 @@ from marquee.operators.ranking import tiles
 from marquee.operators.settle import settle
 from marquee.operators.skew import lookup_join
 from marquee.plans.lifecycle import COLUMNS, Lifecycle, Rules
+from marquee.sources.buckets import Change
 from marquee.sources.shop import Shop
 from marquee.sources.versions import VersionedTable
 
@@ -65,11 +66,8 @@ def touched_customers(new: DataFrame) -> DataFrame:
     return new.select("customer_id").distinct()
 
 
-def with_history(rentals: DataFrame, new: DataFrame, customers: DataFrame | None = None) -> DataFrame:
-    """All rentals of the customers who have a new one.
-
-    ``customers`` may give the rentals' customer ids from a cheaper table.
-    """
+def with_history(rentals: DataFrame, new: DataFrame) -> DataFrame:
+    """All rentals of the customers who have a new one."""
     return lookup_join(
         rentals,
         touched_customers(new),
@@ -89,10 +87,16 @@ def lifecycle_increment(shop: Shop, new: DataFrame, rules: Rules = Rules()) -> D
     ``shop.rental`` holds the rentals so far, the new ones included. Value
     tiers rank the customers of this increment among themselves.
     """
-    staging = settle(with_history(shop.rental, new, shop.rental_core), "staging")
+    staging = settle(with_history(shop.rental, new), "staging")
     return Lifecycle(shop.replace(rental=staging), rules, part=True).table()
 
 
+def publish_increment(change: Change, increment: DataFrame, table: str = "lifecycle") -> None:
+    """Put an increment's rows in place of older ones, in the buckets of its customers only."""
+    merged = upsert(change.read(table, increment).select(*COLUMNS), increment, ["customer_id"], newest_by="last_rental_date")
+    change.replace(table, merged)
+
+
 def retier(lifecycle: DataFrame, tiers: int = 10) -> DataFrame:
     """Value tiers over the whole table."""
     ranked = tiles(

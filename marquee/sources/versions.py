@@ -1,31 +1,24 @@
 """Result tables kept as numbered versions, published after they are complete.
 
-``<table>/data/<part>`` holds rows, and ``<table>/published`` one row per finished attempt at a version: the parts that
-make it up. Nothing that was published is written again: a repeated write goes to a part of its own, and the last
-attempt at a version counts. Readers hold the files of the attempt they found. A job that fails half way leaves
-nothing visible. Appending adds a part; the rows so far stay where they are. A table has one writer at a time.
+``<table>/data/<part>`` holds rows, and the log (``marquee.sources.log``) says which parts make up a version. Nothing that
+was published is written again: a repeated write goes to a part of its own, and the last attempt at a version counts.
+Readers hold the files of the attempt they found. A job that fails half way leaves nothing visible. Appending adds a
+part; the rows so far stay where they are, and ``merge`` puts small parts together. A table has one writer at a time.
 """
 
 from __future__ import annotations
 
 import uuid
 
-import pyarrow as pa
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marquee.operators.settle import delete_path
 from marquee.operators.skew import lookup_join
+from marquee.sources.log import State, VersionLog, folder_names
 
-PUBLISHED = T.StructType(
-    [
-        T.StructField("version", T.LongType(), False),
-        T.StructField("attempt", T.LongType(), False),
-        T.StructField("parts", T.ArrayType(T.StringType(), False), False),
-    ]
-)
+NAME, WHOLE = "rows", 0  # the one table and bucket of its log
 
 
 def fit_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -52,29 +45,10 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
+        self.log = VersionLog(spark, f"{path}/log")
 
-    def _published(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(PUBLISHED).parquet(f"{self.path}/published")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-
-    def _entry(self, version: int | None = None) -> Row | None:
-        """The last attempt at a version, by default at the newest."""
-        seen = self._published()
-        if seen is None:
-            return None
-        wanted = seen if version is None else seen.where(F.col("version") == version)
-        return wanted.agg(F.max(F.struct("version", "attempt", "parts")).alias("e")).first()["e"]
-
-    def _publish(self, version: int, parts: list[str]) -> int:
-        before = self._entry(version)
-        attempt = 0 if before is None else before["attempt"] + 1
-        done = self.spark.createDataFrame(pa.table({"version": [version], "attempt": [attempt], "parts": [parts]}))
-        done.coalesce(1).write.mode("append").parquet(f"{self.path}/published")
-        return version
+    def _parts(self, state: State) -> list[str]:
+        return state.buckets.get(NAME, {}).get(WHOLE, [])
 
     def _add_part(self, df: DataFrame, version: int) -> str:
         part = f"{version}-{uuid.uuid4().hex}"
@@ -83,14 +57,13 @@ class VersionedTable:
 
     def latest(self) -> int | None:
         """Newest published version; None before the first."""
-        entry = self._entry()
-        return None if entry is None else entry["version"]
+        return self.log.state().version
 
     def read(self, version: int | None = None) -> DataFrame:
-        entry = self._entry(version)
-        if entry is None:
+        state = self.log.state(version)
+        if state.version is None:
             raise FileNotFoundError(f"{self.path} has no published version" + ("" if version is None else f" {version}"))
-        return self.spark.read.parquet(*[f"{self.path}/data/{part}" for part in entry["parts"]])
+        return self.spark.read.parquet(*[f"{self.path}/data/{part}" for part in self._parts(state)])
 
     def write(self, df: DataFrame, schema: T.StructType | None = None, version: int | None = None) -> int:
         """Replace the table's content; returns the version written.
@@ -102,30 +75,39 @@ class VersionedTable:
             version = 0 if last is None else last + 1
         if schema is not None:
             df = fit_schema(df, schema)
-        return self._publish(version, [self._add_part(df, version)])
+        anew = {NAME: {WHOLE: [self._add_part(df, version)]}}
+        self.log.publish(version, State(version, anew), {}, anew)
+        return version
 
     def append(self, df: DataFrame) -> int:
         """A new version: the parts so far, and one with the rows of ``df``, which has the table's columns."""
-        entry = self._entry()
-        if entry is None:
+        state = self.log.state()
+        if state.version is None:
             return self.write(df)
-        schema, version = self.read().schema, entry["version"] + 1
-        part = self._add_part(fit_schema(df, schema), version)
-        return self._publish(version, [*entry["parts"], part])
+        version = state.version + 1
+        part = self._add_part(fit_schema(df, self.read().schema), version)
+        after = State(version, {NAME: {WHOLE: [*self._parts(state), part]}})
+        self.log.publish(version, after, {NAME: {WHOLE: [part]}}, {})
+        return version
+
+    def merge(self, most: int = 1) -> int | None:
+        """A new version of the same rows in one part, if there are more than ``most``; Spark sizes its files."""
+        state = self.log.state()
+        if len(self._parts(state)) <= most:
+            return state.version
+        return self.write(self.read(state.version).hint("rebalance"))
 
     def delete_using(self, other: DataFrame, on: list[str]) -> int:
         """A new version without the rows that have a partner in ``other``."""
         return self.write(lookup_join(self.read(), other.select(*on).distinct(), on, "left_anti"))
 
     def keep_last(self, count: int) -> None:
-        """Delete the parts that none of the newest ``count`` versions needs."""
-        seen = self._published()
-        if seen is None:
+        """Delete the parts that none of the newest ``count`` versions needs, and entries of eras before them."""
+        needed = self.log.needed(count)
+        if needed is None:
             return
-        entries = seen.groupBy("version").agg(F.max_by("parts", "attempt").alias("parts"), F.flatten(F.collect_list("parts")).alias("all"))
-        kept = F.col("version") > self.latest() - max(count, 1)
-        needed = entries.where(kept).select(F.explode("parts").alias("part"))
-        # Parts of older versions, and of attempts that were repeated; those deleted before are tried again only once more.
-        old = entries.where(F.col("version") > self.latest() - 2 * max(count, 1) - 1).select(F.explode("all").alias("part"))
-        for row in old.distinct().join(needed, "part", "left_anti").collect():  # some parts per version
-            delete_path(self.spark, f"{self.path}/data/{row['part']}")
+        parts, era = needed
+        for part in folder_names(self.spark, f"{self.path}/data"):
+            if (NAME, part) not in parts:
+                delete_path(self.spark, f"{self.path}/data/{part}")
+        self.log.forget(era)

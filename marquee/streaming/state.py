@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marquee.operators.ranking import tiles
 from marquee.operators.settle import settle
@@ -29,6 +30,38 @@ from marquee.plans.lifecycle import (
 from marquee.sources.shop import Shop
 
 
+END = T.StructType(
+    [
+        T.StructField("rental_date", T.TimestampNTZType()),
+        T.StructField("rental_id", T.LongType()),
+        T.StructField("title", T.StringType()),
+    ]
+)
+TOTALS = T.StructType(
+    [
+        T.StructField("customer_id", T.LongType(), False),
+        T.StructField("first", END),
+        T.StructField("last", END),
+        T.StructField("total_revenue", T.DecimalType(28, 2)),
+        T.StructField("num_of_rentals", T.LongType()),
+        T.StructField("num_distinct_rentals", T.LongType()),
+        T.StructField("early", T.DecimalType(28, 2)),
+    ]
+)
+ACTORS = T.StructType(
+    [
+        T.StructField("customer_id", T.LongType(), False),
+        T.StructField("actor_id", T.LongType()),
+        T.StructField("actor_name", T.StringType()),
+        T.StructField("seen", T.LongType()),
+    ]
+)
+
+
+def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 @dataclass(frozen=True)
 class State:
     totals: DataFrame
@@ -78,14 +111,15 @@ def _state_of(shop: Shop, facts: DataFrame, rules: Rules) -> State:
         *totals.columns, F.coalesce("early", F.lit(0)).cast("decimal(28,2)").alias("early")
     )
     watched = titled.groupBy("customer_id", "film_id").agg(F.count("rental_id").alias("times"))
-    return State(totals, watched_actors(shop, watched, rules))
+    return State(_typed(totals, TOTALS), _typed(watched_actors(shop, watched, rules), ACTORS))
 
 
 def merge_state(state: State, shop: Shop, batch: DataFrame, rules: Rules = Rules()) -> State:
     """``state`` with the rentals of ``batch`` added.
 
     ``shop.rental`` holds the rentals so far, the batch included; it is read
-    only for customers whose first rental date moved.
+    only for customers whose first rental date moved. State and rentals may be
+    cut to the customers of the batch: then the result is theirs alone.
     """
     facts = _facts(shop, batch)
     fresh = _state_of(shop, facts, rules).settled()
