@@ -19,20 +19,28 @@ def _any(conditions: Sequence[Column]) -> Column:
     return result
 
 
+def _repeated(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Values that occur more than once, with their row count; nulls are equal to each other.
+
+    In two passes: first the rows are counted by a 64-bit digest of the values, so what is shuffled is a number a row
+    however wide the values are. Only rows whose digest occurs again are counted by the values themselves.
+    """
+    digest = F.xxhash64(*columns)
+    again = df.select(digest.alias("_digest")).groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    some = df.select(*columns, digest.alias("_digest")).join(again.select("_digest"), "_digest", "left_semi")
+    return some.groupBy(*columns).agg(F.count(F.lit(1)).alias("num_rows")).where(F.col("num_rows") > 1)
+
+
 def check_primary_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Keys that occur more than once or hold a null, with their row count."""
-    counted = df.groupBy(*key).agg(F.count(F.lit(1)).alias("num_rows"))
-    return counted.where((F.col("num_rows") > 1) | _any([F.col(c).isNull() for c in key]))
+    null = _any([F.col(c).isNull() for c in key])
+    missing = df.where(null).groupBy(*key).agg(F.count(F.lit(1)).alias("num_rows"))
+    return _repeated(df.where(~null), key).unionByName(missing)
 
 
 def check_unique(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Values that occur more than once; rows with a null are never equal."""
-    return (
-        df.dropna(subset=list(columns))
-        .groupBy(*columns)
-        .agg(F.count(F.lit(1)).alias("num_rows"))
-        .where(F.col("num_rows") > 1)
-    )
+    return _repeated(df.dropna(subset=list(columns)), columns)
 
 
 def check_foreign_key(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:

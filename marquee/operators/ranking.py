@@ -70,6 +70,29 @@ def row_numbers(
     return _numbered(_placed(df, within, order_by), within, name, total)
 
 
+def running_totals(df: DataFrame, value: str, order_by: Sequence[Column], within: Sequence[str], name: str) -> DataFrame:
+    """The sum of ``value`` over the rows of a ``within`` group up to each row by ``order_by``.
+
+    A group that fills several partitions is summed in each, and what earlier partitions hold of it is carried over.
+    """
+    placed = _placed(df, within, order_by)
+    group = Window.partitionBy(*within)
+    runs = placed.groupBy("_part", *within).agg(F.sum(value).alias("_sum"))
+    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(
+        F.col("_part").alias("_run_part"),
+        *[F.col(key).alias(f"_run_{key}") for key in within],
+        F.sum("_sum").over(earlier).alias("_before"),
+    )
+    inside = Window.partitionBy("_part", *within).orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn("_inside", F.sum(value).over(inside))
+    same_run = F.col("_part") == F.col("_run_part")
+    for key in within:
+        same_run = same_run & F.col(key).eqNullSafe(F.col(f"_run_{key}"))
+    total = F.coalesce("_before", F.lit(0)) + F.coalesce("_inside", F.lit(0))
+    return summed.join(runs, same_run).select(*df.columns, total.alias(name))
+
+
 def tiles(df: DataFrame, buckets: int, order_by: Sequence[Column], name: str = "tile") -> DataFrame:
     """``ntile(buckets)`` over the whole table."""
     numbered = _numbered(_placed(df, (), order_by), (), "_number", "_total")

@@ -131,7 +131,11 @@ def sales_by_category(shop: Shop) -> DataFrame:
         .agg(F.sum("paid").alias("paid"))
     )
     filed = per_film.join(shop.film_category.select("film_id", "category_id"), "film_id", "inner")
-    per_category = filed.groupBy("category_id").agg(F.sum("paid").alias("paid"))
+    return category_report(shop, filed.groupBy("category_id").agg(F.sum("paid").alias("paid")))
+
+
+def category_report(shop: Shop, per_category: DataFrame) -> DataFrame:
+    """(category_id, paid) as the report, best first."""
     return (
         per_category.join(shop.category.select("category_id", "name"), "category_id", "inner")
         .groupBy(F.col("name").alias("category"))
@@ -147,9 +151,14 @@ def sales_by_store(shop: Shop) -> DataFrame:
         _sales_per_copy(shop)
         .join(copies, "inventory_id", "inner")
         .groupBy("store_id")
-        .agg(F.sum("paid").alias("total_sales"))
+        .agg(F.sum("paid").alias("paid"))
     )
-    stores = per_store.join(
+    return store_report(shop, per_store)
+
+
+def store_report(shop: Shop, per_store: DataFrame) -> DataFrame:
+    """(store_id, paid) as the report, with the store's place and manager."""
+    stores = per_store.withColumnRenamed("paid", "total_sales").join(
         shop.store.select("store_id", F.col("manager_staff_id").alias("staff_id"), "address_id"),
         "store_id",
         "inner",

@@ -289,6 +289,7 @@ WHERE customer_id IN (SELECT id FROM renter WHERE NOT active)"""),
     "best_unseen_titles": model(f"""{WATCHED}
 SELECT customer_id, category, title, film_id, CAST(rate AS DOUBLE) AS rental_rate, rental_duration FROM unseen
 QUALIFY row_number() OVER (PARTITION BY customer_id, category ORDER BY rate DESC, rental_duration, film_id) <= 10"""),
+    "unseen_titles": model(f"{WATCHED} SELECT customer_id, category, title, film_id FROM unseen"),
     "unseen_title_counts": model(
         f"{WATCHED} SELECT customer_id, category, count(*) AS num_unseen FROM unseen GROUP BY ALL"
     ),
@@ -325,6 +326,8 @@ GROUP BY ALL HAVING count(*) > 1"""),
         f"NOT (ts >= {_cut(1)} AND ts < {_cut(2)})"
     ),
     "lifecycle_stream_stateful": event_life(),
+    "lifecycle_stream_payments": event_life(),
+    "lifecycle_stream_payments_first": event_life(),
     "actor_titles": model("SELECT actor_id, category, title FROM playing JOIN film USING (film_id)"),
     "film_actors": model("SELECT film_id, actor_name FROM playing WHERE actor_id IN (SELECT id FROM person)"),
     "actor_info": model("""
@@ -363,6 +366,20 @@ FROM stock GROUP BY ALL"""),
 WHERE return_date IS NULL AND inventory_id IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY inventory_id ORDER BY rental_date DESC, rental_id DESC) = 1"""),
     "customer_balance": _balance(),
+    "customer_balances": model(f"""
+asked AS (SELECT DISTINCT customer_id, CAST(last_day(rental_date) AS TIMESTAMP) AS as_of FROM rental),
+charged AS (
+  SELECT customer_id, rental_date, rate + CASE WHEN {_LATE} > 0 THEN {_LATE} // 86400000000 ELSE 0 END
+         + CASE WHEN {_LATE} > 2 * rental_duration * 86400000000 THEN rate ELSE 0 END AS owed
+  FROM rental JOIN copies USING (inventory_id) JOIN film USING (film_id)),
+fees AS (
+  SELECT a.customer_id, as_of, sum(owed) AS owed FROM asked a JOIN charged c
+  ON c.customer_id = a.customer_id AND rental_date <= as_of GROUP BY ALL),
+paid AS (
+  SELECT a.customer_id, as_of, sum(amount) AS paid FROM asked a JOIN payment p
+  ON p.customer_id = a.customer_id AND payment_date <= as_of GROUP BY ALL)
+SELECT customer_id, as_of, CAST(coalesce(owed, 0) - coalesce(paid, 0) AS DOUBLE) AS balance
+FROM asked LEFT JOIN fees USING (customer_id, as_of) LEFT JOIN paid USING (customer_id, as_of)"""),
     "customer_balance_replacement": _balance("+ coalesce(kept, 0)"),
     "rewards_report": model(f"""SELECT id AS customer_id, nation AS store_id, first_name, last_name,
   id * 2 AS address_id, active AS activebool FROM renter WHERE id IN (
@@ -433,3 +450,7 @@ _FILM_ROW = """SELECT p_partkey AS film_id, p_name || ' #' || p_partkey AS title
 ORACLE["check_range"] = f"{_FILM_ROW} p_size < 3 OR p_size > 40"
 ORACLE["check_allowed"] = f"{_FILM_ROW} p_brand NOT IN ('Brand#1', 'Brand#2', 'Brand#3')"
 ORACLE["check_length"] = f"{_FILM_ROW} length(p_name || ' #' || p_partkey) > 16 OR length(p_brand) > 7"
+
+# The same results, kept current by changes.
+ORACLE |= {f"{name}_kept": ORACLE[name] for name in ("sales_by_category", "sales_by_store", "stamp_last_update", "token_index", "match_all_terms")}
+ORACLE["snapshot_changes"] = model("SELECT film_id, 'different' AS change FROM film WHERE length(title) > 14")

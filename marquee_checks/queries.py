@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,13 +13,17 @@ from marquee.operators import quality
 from marquee.operators.changes import fill_defaults, stamp_changes
 from marquee.operators.postings import match_all_terms, token_index
 from marquee.operators.ranking import assign_ids, row_numbers, tiles
-from marquee.operators.settle import scratch_path
+from marquee.operators.settle import scratch_path, settle
 from marquee.plans import accounts, incremental, lifecycle, recommend, stock, views
+from marquee.plans.kept_index import KeptIndex
+from marquee.plans.kept_sales import KeptSales, signed
 from marquee.plans.lifecycle import Lifecycle, Rules, customer_lifecycle
 from marquee.plans.popularity import top_titles_by_category
 from marquee.plans.recommend import Recommendations, item_recommendations
 from marquee.plans.search import film_index
+from marquee.plans.snapshots import SnapshotTable, Taken
 from marquee.plans.store_value import mid_value_store_month
+from marquee.sources.buckets import BucketStore, Keyed
 from marquee.sources.catalog import define_table
 from marquee.sources.dump_text import copy_lines, read_copy_text
 from marquee.sources.load import load_shop, with_table_defaults
@@ -29,7 +33,7 @@ from marquee.sources.projection import (
     shop_from_events,
     shop_from_orders,
 )
-from marquee.sources.versions import VersionedTable
+from marquee.sources.versions import VersionedTable, fit_schema
 from marquee.streaming.lifecycle_stream import LifecycleStream, rental_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +78,10 @@ def _table(spark: SparkSession, label: str) -> VersionedTable:
     return VersionedTable(spark, scratch_path(spark, label))
 
 
+def _store(spark: SparkSession, name: str, table: Keyed) -> BucketStore:
+    return BucketStore(spark, scratch_path(spark, name), {name: table})
+
+
 # --- increment -------------------------------------------------------------------------------
 
 
@@ -118,20 +126,44 @@ def _stream(order: tuple[int, ...], **options) -> Query:
         path = scratch_path(spark, "stream")
         rentals = EventProjection(spark, folder).rental()
         stream = LifecycleStream(shop_from_events(spark, folder), path, EVENT_RULES, **options)
-        first, last = read_table(spark, folder, "events").agg(F.min("ts"), F.max("ts")).first()
-        cuts = [first + (last - first) * at // PERIODS for at in range(1, PERIODS)]
-        period = F.lit(0)
-        for cut in cuts:
-            period = period + (F.col("rental_date") >= F.lit(cut).cast("timestamp_ntz")).cast("int")
+        period = _period(spark, folder, "rental_date")
         for at in order:
-            arrived = rentals.where(F.coalesce(period, F.lit(0)) == at)
-            arrived.write.mode("append").parquet(f"{path}/inbox")
+            rentals.where(period == at).write.mode("append").parquet(f"{path}/inbox")
             stream.run(rental_files(spark, f"{path}/inbox", rentals.schema))
         return plain(stream.lifecycle.read())
 
     return run
 
 
+def _period(spark: SparkSession, folder: str, date: str) -> Column:
+    """Which of the equal parts of the events' time a date is in."""
+    first, last = read_table(spark, folder, "events").agg(F.min("ts"), F.max("ts")).first()
+    cuts = [first + (last - first) * at // PERIODS for at in range(1, PERIODS)]
+    period = F.lit(0)
+    for cut in cuts:
+        period = period + (F.col(date) >= F.lit(cut).cast("timestamp_ntz")).cast("int")
+    return F.coalesce(period, F.lit(0))
+
+
+def _two_streams(arrivals: tuple[str, ...]) -> Query:
+    """Rentals and payments are two feeds; ``r0`` is the arrival of the rentals of period 0, ``p0`` of its payments."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        path, events = scratch_path(spark, "stream"), EventProjection(spark, folder)
+        shop = shop_from_events(spark, folder).replace(payment=None)
+        stream = LifecycleStream(shop, path, EVENT_RULES, payments=True)
+        feeds = {"r": (events.rental(), "rental_date"), "p": (events.payment(), "payment_date")}
+        for kind, at in arrivals:
+            rows, date = feeds[kind]
+            inbox = f"{path}/inbox-{kind}"
+            rows.where(_period(spark, folder, date) == int(at)).write.mode("append").parquet(inbox)
+            files = rental_files(spark, inbox, rows.schema)
+            stream.run(rentals=files) if kind == "r" else stream.run(payments=files)
+        return plain(stream.lifecycle.read())
+
+    return run
+
+
 # --- tables ----------------------------------------------------------------------------------
 
 
@@ -142,27 +174,88 @@ def _written(shop) -> DataFrame:
 
 
 def _published(shop) -> DataFrame:
-    """The lifecycle before the mark, then its update, as two versions of one table."""
-    table = _table(shop.spark, "lifecycle")
-    table.write(_old_lifecycle(shop), lifecycle.SCHEMA)
-    table.write(incremental.lifecycle_upsert(table.read(), _increment(shop)), lifecycle.SCHEMA)
-    return table.read()
+    """The lifecycle before the mark, then its update in the buckets of its customers, as two versions."""
+    store = _store(shop.spark, "lifecycle", Keyed(lifecycle.SCHEMA, ("customer_id",), 64))
+    change = store.change()
+    change.write("lifecycle", _old_lifecycle(shop))
+    change.publish()
+    change = store.change()
+    incremental.publish_increment(change, settle(fit_schema(_increment(shop), lifecycle.SCHEMA), "increment"))
+    change.publish()
+    return store.read("lifecycle")
 
 
 def _appended(spark: SparkSession, folder: str) -> DataFrame:
+    """Three appends, put together at the end."""
     table = _table(spark, "orders")
     orders = read_table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
-    table.write(orders.where("o_orderstatus = 'F'"))
-    table.append(orders.where("o_orderstatus <> 'F'"))
+    for status in "FOP":
+        table.append(orders.where(F.col("o_orderstatus") == status))
+    table.merge(most=2)
     return table.read()
 
 
 def _deleted(spark: SparkSession, folder: str) -> DataFrame:
-    table = _table(spark, "orders")
-    table.write(read_table(spark, folder, "orders").select("o_orderkey", "o_custkey"))
+    """Orders by customer; those of blocked customers go, with their buckets rewritten."""
+    orders = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    store = _store(spark, "orders", Keyed(orders.schema, ("o_custkey",), 64))
+    change = store.change()
+    change.write("orders", orders)
+    change.publish()
     blocked = read_table(spark, folder, "customer").where("c_acctbal < 0")
-    table.delete_using(blocked.select(F.col("c_custkey").alias("o_custkey")), ["o_custkey"])
-    return table.read()
+    change = store.change()
+    change.delete("orders", blocked.select(F.col("c_custkey").alias("o_custkey")), ["o_custkey"])
+    change.publish()
+    return store.read("orders")
+
+
+# --- kept results -----------------------------------------------------------------------------
+
+
+def _kept_sales(shop) -> KeptSales:
+    """Sales of the time before the mark with wrong amounts and films filed elsewhere; then everything is put right."""
+    mark = F.lit(MARK).cast("timestamp_ntz")
+    rentals = shop.rental.select("rental_id", "inventory_id", "rental_date")
+    payments = shop.payment_core.select("rental_id", "amount", "payment_date")
+    filed = shop.film_category.select("film_id", "category_id")
+    wrong = F.when(F.col("amount") > 50000, F.col("amount") * 2).otherwise(F.col("amount")).cast("decimal(18,2)")
+    first = filed.agg(F.min("category_id")).first()[0]
+    old_rentals = rentals.where(F.col("rental_date") <= mark)
+    old_payments = payments.where(F.col("payment_date") <= mark).withColumn("amount", wrong)
+    old_filed = filed.withColumn("category_id", F.when(F.col("category_id") < "M", F.lit(first)).otherwise(F.col("category_id")))
+    before = shop.replace(rental=old_rentals, payment=old_payments, film_category=old_filed)
+    kept = KeptSales(before, scratch_path(shop.spark, "sales"), buckets=16)
+    kept.start()
+    kept.change(payments=signed(old_payments, payments, ["rental_id", "amount"]))
+    kept.change(signed(old_rentals, rentals, ["rental_id", "inventory_id"]), filed=signed(old_filed, filed, ["film_id", "category_id"]))
+    return kept
+
+
+def _kept_index(spark: SparkSession, folder: str) -> KeptIndex:
+    """Documents whose texts were their sources at first, and one too many; then each gets its text."""
+    documents = read_table(spark, folder, "documents").select("doc_id", "text", "source")
+    index = KeptIndex(spark, scratch_path(spark, "index"), buckets=32)
+    extra = documents.agg((F.max("doc_id") + 1).alias("doc_id"), F.lit("ed er").alias("text"))
+    index.update(documents.select("doc_id", F.concat_ws(" ", "source", F.lit("ed er")).alias("text")).unionByName(extra))
+    index.update(documents.select("doc_id", "text"), gone=extra)
+    return index
+
+
+def _snapshots(shop) -> tuple[SnapshotTable, Taken]:
+    """Films, and the same with raised rates."""
+    at, later = (F.lit(f"{day} 00:00:00").cast("timestamp_ntz") for day in ("2006-02-15", "2006-03-01"))
+    old = shop.film.select("film_id", "title", "rental_rate")
+    raised = F.when(F.length("title") > 14, F.col("rental_rate") + 1).otherwise(F.col("rental_rate")).cast("decimal(18,2)")
+    films = old.withColumn("last_update", at)
+    table = SnapshotTable(shop.spark, scratch_path(shop.spark, "films"), Keyed(films.schema, ("film_id",), 32))
+    table.take(old, at)
+    return table, table.take(old.withColumn("rental_rate", raised), later)
+
+
+def _balances(shop) -> DataFrame:
+    """What customers owe at the end of every month in which they rented."""
+    asked = shop.rental_core.select("customer_id", last_day("rental_date").cast("timestamp_ntz").alias("as_of"))
+    return accounts.customer_balances(shop, asked, replacement=True)
 
 
 def _dump_round_trip(spark: SparkSession, folder: str) -> DataFrame:
@@ -309,6 +402,7 @@ QUERIES: dict[str, Query] = {
         lambda s: Recommendations(s).unseen_of(s.customer.where(~F.col("activebool")))
         .select("customer_id", "category", "title", "film_id")
     ),
+    "unseen_titles": _orders(lambda s: Recommendations(s).factored().settled().expand()),
     "unseen_title_counts": _orders(lambda s: Recommendations(s).unseen_counts()),
     "movie_recommend": _orders(lambda s: Recommendations(s).ranked()),
     # parts of the lifecycle
@@ -336,6 +430,8 @@ QUERIES: dict[str, Query] = {
     "lifecycle_stream_late": _stream((0, 2, 1)),
     "lifecycle_stream_drop_late": _stream((0, 2, 1), drop_late=True),
     "lifecycle_stream_stateful": _stream((1, 0, 2), stateful=True),
+    "lifecycle_stream_payments": _two_streams(("r0", "p0", "r1", "r2", "p2", "p1")),
+    "lifecycle_stream_payments_first": _two_streams(("p2", "p0", "r0", "r2", "p1", "r1")),
     # views
     "actor_info": _orders(views.actor_info),
     "actor_titles": _orders(views.actor_titles),
@@ -345,6 +441,8 @@ QUERIES: dict[str, Query] = {
     "nicer_film_list": _orders(views.nicer_film_list),
     "sales_by_category": _orders(views.sales_by_category),
     "sales_by_store": _orders(views.sales_by_store),
+    "sales_by_category_kept": _orders(lambda s: _kept_sales(s).by_category()),
+    "sales_by_store_kept": _orders(lambda s: _kept_sales(s).by_store()),
     "staff_list": _orders(views.staff_list),
     # functions
     "inventory_in_stock": _orders(stock.inventory_in_stock),
@@ -356,12 +454,15 @@ QUERIES: dict[str, Query] = {
     "customer_balance_replacement": _orders(
         lambda s: accounts.customer_balance(s, BALANCE_DATE, replacement=True)
     ),
+    "customer_balances": _orders(_balances),
     "rewards_report": _orders(
         lambda s: accounts.rewards_report(s, REWARDS_PURCHASES, REWARDS_AMOUNT, REWARDS_DATE)
     ),
     "last_day": _orders(_month_ends),
     "group_concat": _event_types,
     "stamp_last_update": _orders(_stamped),
+    "stamp_last_update_kept": _orders(lambda s: _snapshots(s)[0].read()),
+    "snapshot_changes": _orders(lambda s: _snapshots(s)[1].changes),
     # sources and sinks
     "read_copy_text": _dump_round_trip,
     "read_copy_text_typed": _typed_round_trip,
@@ -393,4 +494,6 @@ QUERIES: dict[str, Query] = {
     "film_index": _orders(film_index),
     "token_index": lambda spark, folder: token_index(read_table(spark, folder, "documents")),
     "match_all_terms": _search,
+    "token_index_kept": lambda spark, folder: _kept_index(spark, folder).postings(),
+    "match_all_terms_kept": lambda spark, folder: _kept_index(spark, folder).match_all_terms(SEARCH),
 }
