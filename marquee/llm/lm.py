@@ -39,8 +39,8 @@ from marquee.llm import shingles
 from marquee.operators.settle import settle
 
 KEPT, DELETED, UNSEEN = 0, 1, 2  # what a document is for
-BLOCK_BYTES = 8 << 20  # text of a block, and of a piece of a long text
-RANGE_BYTES = 8 << 20  # text whose n-grams are added up in one range
+BLOCK_BYTES = 4 << 20  # text of a block, and of a piece of a long text
+RANGE_BYTES = 4 << 20  # text whose n-grams are added up in one range
 POWERS = 64  # buckets of a level: powers of two of a count
 ROUNDS, ENOUGH = 12, 1e-4  # of EM; nats a token that end it
 TASK_BITS = 33  # numbers of a task below, the task above
