@@ -19,15 +19,13 @@ def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], newest_by: str |
     key = list(key)
     if newest_by is None:
         return old.join(new, key, "left_anti").unionByName(new)
-    # Old rows without a replacement pass by; of those with one, only keys and dates meet the new rows.
-    dates = new.select(*key, F.col(newest_by).alias("_new"))
-    stay = (
-        old.join(dates, key)
-        .where(F.col("_new") < F.col(newest_by))
-        .select(*old.columns)
-    )
-    passed = old.join(new.select(*key), key, "left_anti")
-    return passed.unionByName(stay).unionByName(new.join(stay.select(*key), key, "left_anti").select(*old.columns))
+    # Each side is read once: both rows of a key meet, and one of them is taken whole.
+    columns = [name for name in old.columns if name not in key]
+    before = old.select(*key, F.struct(F.lit(True).alias("_is"), *columns).alias("_old"))
+    after = new.select(*key, F.struct(F.lit(True).alias("_is"), *columns).alias("_new"))
+    stays = F.col("_new._is").isNull() | F.coalesce(F.col(f"_new.{newest_by}") < F.col(f"_old.{newest_by}"), F.lit(False))
+    chosen = [F.when(stays, F.col(f"_old.{name}")).otherwise(F.col(f"_new.{name}")).alias(name) for name in columns]
+    return before.join(after, key, "full").select(*key, *chosen).select(*old.columns)
 
 
 def stamp_changes(
