@@ -23,6 +23,7 @@ import itertools
 import threading
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -184,15 +185,45 @@ class Pieces(dict):
 
 _LOADED: dict[int, Pieces] = {}  # of this worker
 _REST: list[threading.Timer] = []  # will drop it
+_GATE = threading.Lock()  # held while tasks come and go, and while tables are dropped
+_USERS: set[object] = set()  # tasks under way
 
 
 def _release() -> None:
     """Drop the tables of a worker that has gone on to other work, so that they don't add to its memory."""
-    for pieces in _LOADED.values():
-        pieces.transducer.forget()
-        pieces.clear()
-        pieces.older = {}
-    _LOADED.clear()
+    with _GATE:
+        if _USERS:
+            return
+        for pieces in _LOADED.values():
+            pieces.transducer.forget()
+            pieces.clear()
+            pieces.older = {}
+        _LOADED.clear()
+
+
+@contextmanager
+def _at_work() -> Iterator[None]:
+    """The time in which a task uses the tables: they stay, and Python's cycle collector rests.
+
+    What the transducer keeps is no garbage, and walking it takes an eighth of the time. States that are forgotten lose
+    their steps, so they are freed without it.
+    """
+    me = object()
+    with _GATE:  # waits while tables are dropped
+        while _REST:
+            _REST.pop().cancel()
+        _USERS.add(me)
+        gc.disable()
+    try:
+        yield
+    finally:
+        with _GATE:
+            _USERS.discard(me)
+            if not _USERS:
+                gc.enable()
+                _REST.append(threading.Timer(IDLE_S, _release))
+                _REST[-1].daemon = True
+                _REST[-1].start()
 
 
 def _pieces(lines: bytes, tables: float = 1.0) -> Pieces:
@@ -219,23 +250,10 @@ def _shared(spark: SparkSession, path: str):
 
 
 def _slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """The rows of batches, a few at a time.
-
-    Meanwhile Python's cycle collector rests: what the transducer keeps is no garbage, and walking it takes an eighth
-    of the time. States that are forgotten lose their steps, so they are freed without it.
-    """
-    while _REST:
-        _REST.pop().cancel()
-    gc.disable()
-    try:
-        for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                yield batch.slice(at, ROWS)
-    finally:
-        gc.enable()
-        _REST.append(threading.Timer(IDLE_S, _release))
-        _REST[-1].daemon = True
-        _REST[-1].start()
+    """The rows of batches, a few at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def _encoded(texts: pa.Array, pieces: Pieces, cut: regex.Pattern) -> pa.ListArray:
@@ -250,9 +268,10 @@ def encoder(spark: SparkSession, path: str, pattern: str):
     lines = _shared(spark, path)
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces, cut = _pieces(lines.value), regex.compile(pattern)
-        for batch in _slices(batches):
-            yield _encoded(batch, pieces, cut)
+        with _at_work():
+            pieces, cut = _pieces(lines.value), regex.compile(pattern)
+            for batch in _slices(batches):
+                yield _encoded(batch, pieces, cut)
 
     return F.arrow_udf(encode, "array<int>")
 
@@ -313,11 +332,12 @@ def round_trip(spark: SparkSession, path: str, pattern: str, tables: float = 1.0
     lines = _shared(spark, path)
 
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces, cut = _pieces(lines.value, tables), regex.compile(pattern)
-        tokens = TokenTable(pieces.transducer.ranks)
-        for batch in _slices(batches):
-            ids = _encoded(batch, pieces, cut)
-            yield pa.StructArray.from_arrays([ids, _decoded(ids, tokens)], ["ids", "text"])
+        with _at_work():
+            pieces, cut = _pieces(lines.value, tables), regex.compile(pattern)
+            tokens = TokenTable(pieces.transducer.ranks)
+            for batch in _slices(batches):
+                ids = _encoded(batch, pieces, cut)
+                yield pa.StructArray.from_arrays([ids, _decoded(ids, tokens)], ["ids", "text"])
 
     return F.arrow_udf(both, "struct<ids:array<int>,text:string>")
 
