@@ -2,7 +2,8 @@
 
 Every round rewrites the edges so that nodes point to smaller nodes; rounds grow with the logarithm of the longest
 chain. Edges are written after each round, never collected; the driver sees a count and a checksum. A node with many
-neighbours is met by a minimum with map-side aggregation and a join that adaptive execution splits.
+neighbours is met by a minimum with map-side aggregation, which is written, and then by a join that adaptive execution
+splits: it could not, if the minimum were taken in the same stage.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node points to the smallest one around."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+    least = settle(least, "least")
     moved = both.where(F.col("b") > F.col("a")).join(least, "a")
     return moved.select(F.col("b").alias("a"), F.col("least").alias("b"))
 

@@ -310,6 +310,13 @@ def _possible(like: Similarity, n_a: str, place_a: str, n_b: str, place_b: str)
     return sizes & (room * (like.over + like.under) >= (a + b) * like.over)
 
 
+def _possible_groups(like: Similarity) -> Column:
+    """Whether any members of two groups are ``_possible``, by the bounds of their sizes and of what is left of them."""
+    sizes = (F.col("most_a") * like.under >= F.col("least_b") * like.over) & (F.col("most_b") * like.under >= F.col("least_a") * like.over)
+    room = F.least("room_a", "room_b")
+    return sizes & (room * (like.over + like.under) >= (F.col("least_a") + F.col("least_b")) * like.over)
+
+
 def _with_heads(live: DataFrame, like: Similarity) -> DataFrame:
     """Pairs of a prefix shingle's most typical node and another one that has it; they serve to form groups early."""
     met = live.where((F.col("head") != F.col("node")) & _possible(like, "n", "place", "head_n", "head_place"))
@@ -334,9 +341,13 @@ def _across(live: DataFrame, roots: DataFrame, like: Similarity) -> DataFrame:
     one = open_.select("shingle", *[F.col(c).alias(f"{c}_a") for c in fields])
     two = open_.select("shingle", *[F.col(c).alias(f"{c}_b") for c in fields])
     # First groups, then members: rows of one group are not compared with each other.
-    held = open_.select("shingle", "root").distinct()
-    apart = held.withColumnRenamed("root", "root_a").join(held.withColumnRenamed("root", "root_b"), "shingle")
-    apart = settle(apart.where(F.col("root_a") < F.col("root_b")), "group-pairs")
+    held = open_.groupBy("shingle", "root").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("room")
+    )
+    held = settle(held, "open-groups")
+    a, b = (held.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in held.columns[1:]]) for side in ("a", "b"))
+    apart = a.join(b, "shingle").where((F.col("root_a") < F.col("root_b")) & _possible_groups(like))
+    apart = settle(apart.select("shingle", "root_a", "root_b"), "group-pairs")
     met = apart.join(one, ["shingle", "root_a"]).join(two, ["shingle", "root_b"])
     met = met.where(_possible(like, "n_a", "place_a", "n_b", "place_b"))
     met = settle(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "met")
