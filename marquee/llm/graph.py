@@ -47,7 +47,8 @@ INDEX_SCHEMA = "dims int, band int, split int, first int, vectors binary, near b
 
 
 def lengthened(vectors: np.ndarray) -> np.ndarray:
-    """Vectors with one more component, all of the length of the longest."""
+    """Vectors in a unit that suits them, with one more component, all of the length of the longest."""
+    vectors = vectors / np.abs(vectors).max()
     squares = (vectors * vectors).sum(1)
     return np.hstack([vectors, np.sqrt(squares.max() - squares)[:, None]]).astype(np.float32)
 
@@ -209,7 +210,7 @@ def _searcher(k: int, beam: int) -> Callable:
         graph, asked, parts = Graph(lengthened(vectors), near), stacked(block["v"]).astype(np.float64), []
         for at in range(0, len(asked), BATCH):
             q = asked[at : at + BATCH]
-            longer = np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32)
+            longer = np.hstack([q / np.abs(q).max(1, keepdims=True), np.zeros((len(q), 1))]).astype(np.float32)
             found, _ = graph.beam(longer, max(beam, 2 * k))
             scores = np.where(found >= 0, (vectors[found] * q[:, None, :]).sum(2), -np.inf)
             for row, query_id in enumerate(block["query_id"].iloc[at : at + BATCH]):

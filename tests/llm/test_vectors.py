@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from marquee.llm import graph, mtree
@@ -98,7 +99,7 @@ def test_graph_recall_on_unequal_lengths(spark, case):
         x[11] *= 10_000
     elif case != "unit":
         x *= np.exp(float(case) * rnd.normal(size=(len(x), 1)))
-    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)})).repartition(4)
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x))})).repartition(4)
     found = answers(graph.nearest(rows, 32, 20))
     hits = 0
     for q in range(0, len(x), 32):
