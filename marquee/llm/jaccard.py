@@ -317,6 +317,14 @@ def _possible_groups(like: Similarity) -> Column:
     return sizes & (room * (like.over + like.under) >= (F.col("least_a") + F.col("least_b")) * like.over)
 
 
+def _possible_member(like: Similarity) -> Column:
+    """The same for a node of one group and the bounds of another; exact where that one is a single node."""
+    n = F.col("n_a")
+    sizes = (n * like.under >= F.col("least_b") * like.over) & (F.col("most_b") * like.under >= n * like.over)
+    room = F.least(n - F.col("place_a"), F.col("room_b"))
+    return sizes & (room * (like.over + like.under) >= (n + F.col("least_b")) * like.over)
+
+
 def _with_heads(live: DataFrame, like: Similarity) -> DataFrame:
     """Pairs of a prefix shingle's most typical node and another one that has it; they serve to form groups early."""
     met = live.where((F.col("head") != F.col("node")) & _possible(like, "n", "place", "head_n", "head_place"))
@@ -347,8 +355,8 @@ def _across(live: DataFrame, roots: DataFrame, like: Similarity) -> DataFrame:
     held = settle(held, "open-groups")
     a, b = (held.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in held.columns[1:]]) for side in ("a", "b"))
     apart = a.join(b, "shingle").where((F.col("root_a") < F.col("root_b")) & _possible_groups(like))
-    apart = settle(apart.select("shingle", "root_a", "root_b"), "group-pairs")
-    met = apart.join(one, ["shingle", "root_a"]).join(two, ["shingle", "root_b"])
+    apart = settle(apart.select("shingle", "root_a", "root_b", "least_b", "most_b", "room_b"), "group-pairs")
+    met = apart.join(one, ["shingle", "root_a"]).where(_possible_member(like)).join(two, ["shingle", "root_b"])
     met = met.where(_possible(like, "n_a", "place_a", "n_b", "place_b"))
     met = settle(met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "met")
 
