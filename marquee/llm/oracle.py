@@ -29,8 +29,8 @@ r AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.ta
              ('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 13))::BIGINT
              / 4503599627370496.0::DOUBLE AS draw
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-g AS (SELECT *, floor(rate * n)::BIGINT + (draw < rate * n - floor(rate * n))::BIGINT AS dealt FROM r),
-c AS (SELECT *, dealt // n + (j < dealt % n)::BIGINT AS copies FROM g)
+e AS (SELECT *, floor(rate * n)::BIGINT + (draw < rate * n - floor(rate * n))::BIGINT AS dealt FROM r),
+c AS (SELECT *, dealt // n + (j < dealt % n)::BIGINT AS copies FROM e)
 SELECT doc_id, size::BIGINT AS size, source_size, target, (size * copies)::BIGINT AS taken, copies FROM c
 """
 
