@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from decimal import Decimal
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from marquee.operators.postings import match_all_terms, token_index
 from marquee.operators.ranking import running_totals
-from marquee.plans import accounts, views
+from marquee.plans import accounts, recommend, views
 from marquee.plans.kept_index import KeptIndex
 from marquee.plans.kept_sales import KeptSales, signed
 from marquee.plans.recommend import Recommendations
@@ -157,3 +158,28 @@ def test_unseen_titles_factored(spark):
     same(found.expand(one), found.expand().where("customer_id = 1"))
     same(found.counts(), Recommendations(s).unseen_counts())
     assert sum(len(rows(t)) for t in (found.wanted, found.shelves, found.seen)) < 80
+
+
+def test_unseen_titles_are_not_shuffled_once_met(spark, monkeypatch):
+    monkeypatch.setattr(recommend, "UNIT_FILMS", 3)
+    monkeypatch.setattr(recommend, "UNIT_CUSTOMERS", 2)
+    films = [film(n, f"T{n % 7}" if n % 9 else None, f"{n % 5}.99") for n in range(1, 23)]
+    lent = [(c, (c * 5 + n * 3) % 22 + 1) for c in range(1, 8) for n in range(c)]
+    s = shop(
+        spark, film=films, inventory=[(n, n, 1) for n in range(1, 23)], category=[(1, "A"), (2, "B")],
+        film_category=[(n, n % 2 + 1) for n in range(1, 23)], customer=[(c, 1, "X", f"Y{c}", 1, True) for c in range(1, 8)],
+        rental=[rental(n, c, "2005-01-01", copy) for n, (c, copy) in enumerate(lent)],
+    )
+    title, category = {f[0]: f[1] for f in films}, {f[0]: "AB"[f[0] % 2] for f in films}
+    want = []
+    for c in range(1, 8):
+        counts = Counter(category[copy] for who, copy in lent if who == c)
+        seen = {title[copy] for who, copy in lent if who == c} - {None}
+        best = {name for name, n in counts.items() if n == max(counts.values())}
+        want += [(c, category[f], title[f], f) for f in title if category[f] in best and title[f] not in seen]
+    shown = Recommendations(s).factored().expand()
+    assert sorted(map(str, map(tuple, shown.collect()))) == sorted(map(str, want))
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("Exchange")
+    of = Recommendations(s).unseen_of(s.customer.where("customer_id > 4")).select(*shown.columns)
+    assert sorted(map(str, map(tuple, of.collect()))) == sorted(str(row) for row in want if row[0] > 4)
