@@ -13,7 +13,7 @@ from marquee.functions.exact import MICROS_PER_DAY, cents, micros_between, round
 from marquee.operators.ranking import tiles, top_k
 from marquee.operators.settle import settle
 from marquee.operators.skew import lookup_join
-from marquee.plans.facts import cast_names, copy_titles, paid_rentals
+from marquee.plans.facts import NAMELESS, cast_names, cast_numbers, numbered_actors, paid_rentals
 from marquee.sources.shop import Shop
 
 SCHEMA = T.StructType(
@@ -35,6 +35,8 @@ SCHEMA = T.StructType(
     ]
 )
 COLUMNS = SCHEMA.names
+HEAVY = 4096  # films of a customer above which they are dealt over tasks
+PAIRS = 500_000  # of customers and actors that a task counts
 
 
 @dataclass(frozen=True)
@@ -108,8 +110,12 @@ def watched_actors(shop: Shop, watched: DataFrame, rules: Rules) -> DataFrame:
 def three_favourites(seen: DataFrame) -> DataFrame:
     """The three most seen actors of every customer as columns, ties by name."""
     order = [F.desc("seen"), F.asc_nulls_last("actor_name"), F.asc_nulls_last("actor_id")]
+    return _three(top_k(seen, 3, ["customer_id"], order))
+
+
+def _three(best: DataFrame) -> DataFrame:
     places = ((1, "one"), (2, "two"), (3, "three"))
-    return top_k(seen, len(places), ["customer_id"], order).groupBy("customer_id").agg(
+    return best.groupBy("customer_id").agg(
         *[
             F.max(F.when(F.col("place") == place, F.col("actor_name"))).alias(f"fav_actor_{word}")
             for place, word in places
@@ -117,6 +123,40 @@ def three_favourites(seen: DataFrame) -> DataFrame:
     )
 
 
+def favourite_actors(shop: Shop, watched: DataFrame, rules: Rules) -> DataFrame:
+    """``three_favourites`` of ``watched_actors``, from (customer_id, film_id, times).
+
+    Customers times the casts of their films are many more rows than there are rentals. So films come to their customer
+    with the cast as a list of numbers, and only there it is spread out, counted, and cut to three; names come last.
+    Customers with very many films are counted by pairs of customer and actor instead.
+    """
+    actors = numbered_actors(shop, rules.actors_by)
+    casts = settle(cast_numbers(shop, actors), "casts")
+    watched = settle(watched, "watched-films")
+    films = watched.groupBy("customer_id").agg(F.count(F.lit(1)).alias("films"))
+    heavy = settle(films.where((F.col("films") > HEAVY) | F.col("customer_id").isNull()).select("customer_id"), "heavy")
+    sizes = casts.agg(F.sum(F.size("cast")).alias("actors"), F.count_distinct("film_id").alias("films")).first()
+    pairs = watched.count() * max((sizes["actors"] or 0) / max(sizes["films"], 1), 1)
+    tasks = int(pairs // PAIRS) + 1
+
+    def counted(films: DataFrame, together: bool) -> DataFrame:
+        met = lookup_join(films, casts, "film_id").select(
+            "customer_id",
+            (F.col("times") * F.coalesce("appearances", F.lit(1))).alias("times"),
+            F.coalesce("cast", F.array(F.lit(NAMELESS))).alias("cast"),
+        )
+        met = met.repartition(tasks, "customer_id") if together else met
+        each = met.select("customer_id", "times", F.explode("cast").alias("number"))
+        return each.groupBy("customer_id", "number").agg(F.sum("times").alias("seen"))
+
+    order = [F.desc("seen"), F.asc("number")]
+    best = top_k(counted(watched.join(heavy, "customer_id", "left_anti").dropna(subset=["customer_id"]), True), 3, ["customer_id"], order)
+    if not heavy.isEmpty():
+        many = watched.join(heavy, watched["customer_id"].eqNullSafe(heavy["customer_id"]), "left_semi")
+        best = best.unionByName(top_k(counted(many, False), 3, ["customer_id"], order))
+    return _three(lookup_join(best, actors.select("number", "actor_name").dropna(subset=["number"]).distinct(), "number"))
+
+
 class Lifecycle:
     """The lifecycle table and its parts over one shop.
 
@@ -154,8 +194,8 @@ class Lifecycle:
 
     @cached_property
     def copies(self) -> DataFrame:
-        """(film_id, inventory_id, title), read by the actors and the titles."""
-        return settle(copy_titles(self.shop), "copies")
+        """(film_id, inventory_id), read by the actors and the titles."""
+        return settle(self.shop.inventory_core.select("film_id", "inventory_id"), "copies")
 
     def total_revenue(self) -> DataFrame:
         return self.spans.select("customer_id", "total_revenue", "num_of_rentals")
@@ -192,7 +232,7 @@ class Lifecycle:
             .groupBy("customer_id", "film_id")
             .agg(F.count("rental_id").alias("times"))
         )
-        return three_favourites(watched_actors(self.shop, watched, self.rules))
+        return favourite_actors(self.shop, watched, self.rules)
 
     def _ends(self) -> DataFrame:
         """First and last rental of every customer as structs ``a`` and ``b``."""
@@ -220,7 +260,6 @@ class Lifecycle:
         ends = self._ends()
         if self.rules.single_rental == "null":
             ends = ends.where(F.col("a.rental_id") != F.col("b.rental_id"))
-        titles = self.copies.select("inventory_id", "title")
         # Both ends go through one title lookup and come back as columns.
         marked = ends.select(
             "customer_id",
@@ -231,7 +270,8 @@ class Lifecycle:
                 )
             ),
         ).select("customer_id", "is_first", "end.rental_date", "end.inventory_id")
-        titled = lookup_join(marked, titles, "inventory_id")
+        titles = self.shop.film.select("film_id", "title")
+        titled = lookup_join(lookup_join(marked, self.copies, "inventory_id"), titles, "film_id")
 
         def pick(first: bool, column: str) -> Column:
             chosen = F.col("is_first") if first else ~F.col("is_first")

@@ -4,8 +4,9 @@ from decimal import Decimal
 
 import pytest
 
+from marquee.plans import facts, lifecycle
 from marquee.plans.lifecycle import Lifecycle, Rules, customer_lifecycle
-from tests.shops import at, by, days, film, payment, rental, shop
+from tests.shops import at, by, days, film, frame, payment, rental, shop
 
 FILMS = {
     "film": [film(1, "Ape"), film(2, "Bee"), film(3, "Cod")],
@@ -116,3 +117,28 @@ def test_value_tiers(spark, customers):
     size, extra = divmod(customers, 10)
     expected = [t for t in range(1, 11) for _ in range(size + (t <= extra))]
     assert [out[c]["value_tier"] for c in order] == expected
+
+
+@pytest.mark.parametrize("by", ["name", "actor_id"])
+@pytest.mark.parametrize("heavy", [3, 4096])
+def test_favourites_come_from_lists_of_numbers(spark, monkeypatch, by, heavy):
+    monkeypatch.setattr(lifecycle, "HEAVY", heavy)
+    monkeypatch.setattr(lifecycle, "PAIRS", 20)
+    monkeypatch.setattr(facts, "CAST_BLOCK", 2)
+    people = [(1, "A", "X"), (2, "B", "X"), (3, "A", "X"), (4, None, "X"), (5, "C", "Y"), (5, "C", "Y"), (6, "D", "Y")]
+    cast = [(a, f) for f in range(1, 9) for a in range(1, 9) if (a * f) % 5 < 3] + [(None, 2), (1, None), (2, 3)]
+    s = shop(spark, actor=people, film_actor=cast)
+    watched = frame(
+        spark, [(c, f, (f or 1) % 3) for c in (1, 2, 3, 4, None) for f in (*range(1, 2 + (c or 2) * 2), None, 99)], "customer_id int, film_id int, times long"
+    )
+    rules = Rules(actors_by=by)
+    want = lifecycle.three_favourites(lifecycle.watched_actors(s, watched, rules))
+    found = lifecycle.favourite_actors(s, watched, rules)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+
+
+def test_customers_times_casts_are_not_shuffled(spark):
+    s = shop(spark, rental=[rental(1, 1, "2005-01-01", 1)], inventory=[(1, 1, 1)], film=[film(1, "F")], film_actor=[(1, 1)], actor=[(1, "A", "X")])
+    plan = Lifecycle(s).fav_three_actors()._jdf.queryExecution().executedPlan().toString()
+    counted = plan[plan.index("Window") : plan.index("Generate explode")]
+    assert "Exchange" not in counted
