@@ -116,8 +116,10 @@ class KeptSales:
         """Add to the sums of some keys; those without a payment left go."""
         key = self.store.tables[table].key[0]
         sums = settle(sums.where(F.col(key).isNotNull()), "sum-changes")
-        after = _summed(change.read(table, sums).select(key, *SUMS).unionByName(sums), key)
-        change.replace(table, after.where((F.col("payments") != 0) | (F.col("paid") != 0)), sums)
+        # The buckets are written anew, so all their sums are added up as they are: no key is looked for.
+        buckets = self.store.buckets_of(table, sums)
+        after = _summed(change.scan(table, buckets).select(key, *SUMS).unionByName(sums), key)
+        change.put(table, after.where((F.col("payments") != 0) | (F.col("paid") != 0)), buckets)
 
     def by_category(self) -> DataFrame:
         """``views.sales_by_category`` of the shop as it is now."""

@@ -71,7 +71,7 @@ class BucketStore:
         return self._read(table, state, touching)
 
     def _read(self, table: str, state: State, touching: DataFrame | None) -> DataFrame:
-        if touching is None:
+        if touching is None or not any(state.buckets.get(table, {}).values()):
             return self._scan_state(table, state)
         key = list(self.tables[table].key)
         keys = touching.select(*key).distinct()
@@ -139,15 +139,18 @@ class Change:
         names = [name for name in folder_names(self.store.spark, path) if name.startswith(f"{BUCKET}=")]
         return {int(name.split("=")[1]): f"{folder}/{name}" for name in names}
 
-    def append(self, table: str, rows: DataFrame) -> None:
-        """Add rows, whatever keys the table has."""
+    def append(self, table: str, rows: DataFrame) -> DataFrame:
+        """Add rows, whatever keys the table has; returns a scan of what was added."""
         held, added = self.state.buckets.setdefault(table, {}), self.added.setdefault(table, {})
-        for bucket, part in self._written(table, rows).items():
+        written = self._written(table, rows)
+        new = State(self.version, {table: {bucket: [part] for bucket, part in written.items()}})
+        for bucket, part in written.items():
             held.setdefault(bucket, []).append(part)
             if bucket in self.anew.get(table, {}):
                 self.anew[table][bucket] = held[bucket]
             else:
                 added.setdefault(bucket, []).append(part)
+        return self.store._scan_state(table, new)
 
     def put(self, table: str, rows: DataFrame, buckets: set[int]) -> None:
         """``rows`` are all there is in ``buckets`` from now on."""
@@ -165,10 +168,15 @@ class Change:
     def replace(self, table: str, rows: DataFrame, keys: DataFrame | None = None) -> None:
         """``rows`` in place of all rows with one of ``keys``, by default the keys of ``rows``."""
         key = list(self.store.tables[table].key)
+        if not any(self.state.buckets.get(table, {}).values()):
+            self.append(table, rows)  # nothing is there yet
+            return
         with passing(self.store.spark):
             rows = settle(rows, "replacing")
-            keys = rows if keys is None else keys.select(*key).unionByName(rows.select(*key))
-            keys = settle(keys.select(*key).distinct(), "replaced-keys")
+            if keys is None:
+                keys = rows.select(*key)
+            else:
+                keys = settle(keys.select(*key).unionByName(rows.select(*key)).distinct(), "replaced-keys")
             buckets = self.store.buckets_of(table, keys)
             stay = lookup_join(self.scan(table, buckets), keys, key, "left_anti")
             self.put(table, stay.select(*rows.columns).unionByName(rows), buckets)
