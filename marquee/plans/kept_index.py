@@ -53,8 +53,8 @@ class KeptIndex:
         since = F.lit(change.version).cast("long").alias("since")
         with passing(self.spark):
             texts = settle(texts.select("doc_id", "text").where(F.col("doc_id").isNotNull()), "texts")
-            found = settle(token_index(texts, stop_words=self.stop_words).select("term", "doc_id", "tf", since), "postings")
-            change.append("postings", found)
+            found = token_index(texts, stop_words=self.stop_words).select("term", "doc_id", "tf", since)
+            found = change.append("postings", found)
             change.merge("postings", MOST_PARTS)
             keys = texts.select("doc_id")
             if gone is not None:

@@ -12,12 +12,12 @@ from pyspark.sql import types as T
 
 from marquee.operators.postings import match_all_terms, token_index
 from marquee.operators.ranking import running_totals
-from marquee.plans import accounts, recommend, views
+from marquee.plans import accounts, kept_index, recommend, views
 from marquee.plans.kept_index import KeptIndex
 from marquee.plans.kept_sales import KeptSales, signed
 from marquee.plans.recommend import Recommendations
 from marquee.plans.snapshots import SnapshotTable
-from marquee.sources.buckets import Keyed
+from marquee.sources.buckets import Change, Keyed
 from tests.shops import COLUMNS, at, film, frame, payment, rental, rows, shop
 
 FILMS = dict(
@@ -183,3 +183,28 @@ def test_unseen_titles_are_not_shuffled_once_met(spark, monkeypatch):
     assert plan.index("Generate inline") < plan.index("Exchange")
     of = Recommendations(s).unseen_of(s.customer.where("customer_id > 4")).select(*shown.columns)
     assert sorted(map(str, map(tuple, of.collect()))) == sorted(str(row) for row in want if row[0] > 4)
+
+
+def test_sums_are_added_without_looking_for_keys(spark, tmp_path, monkeypatch):
+    replaced, replace = [], Change.replace
+    monkeypatch.setattr(Change, "replace", lambda self, table, *rest: (replaced.append(table), replace(self, table, *rest))[1])
+    s = shop(spark, **FILMS, film_category=[(1, 1), (2, 2)], rental=[rental(1, 1, "2005-01-01", 10)], payment=[payment(1, 1, "2.00"), payment(2, 1, "3.00")])
+    kept = KeptSales(s, str(tmp_path / "sales"), buckets=4)
+    kept.start()
+    gone = frame(spark, [(1, Decimal("3.00"), -1)], "rental_id int, amount decimal(18,2), sign int")
+    kept.change(payments=gone)
+    assert set(replaced) == {"rentals"}
+    assert [tuple(r) for r in kept.store.read("by_film").collect()] == [(1, Decimal("2.00"), 1)]
+    kept.change(payments=frame(spark, [(1, Decimal("2.00"), -1)], "rental_id int, amount decimal(18,2), sign int"))
+    assert kept.store.read("by_film").isEmpty() and kept.store.read("paid").isEmpty()
+
+
+def test_postings_are_written_once(spark, tmp_path, monkeypatch):
+    written, settled = [], kept_index.settle
+    monkeypatch.setattr(kept_index, "settle", lambda df, label: (written.append(label), settled(df, label))[1])
+    index = KeptIndex(spark, str(tmp_path / "index"), buckets=4)
+    index.update(frame(spark, [(1, "red ink"), (2, "red")], "doc_id long, text string"))
+    index.update(frame(spark, [(2, "ink")], "doc_id long, text string"))
+    assert "postings" not in written
+    assert sorted(map(tuple, index.postings().collect())) == [("ink", 1, 1), ("ink", 2, 1), ("red", 1, 1)]
+    assert sorted(map(tuple, index.store.read("terms").groupBy("term").agg(F.sum("texts")).collect())) == [("ink", 2), ("red", 2)]
