@@ -131,7 +131,14 @@ def favourite_actors(shop: Shop, watched: DataFrame, rules: Rules) -> DataFrame:
     Customers with very many films are counted by pairs of customer and actor instead.
     """
     actors = numbered_actors(shop, rules.actors_by)
-    casts = settle(cast_numbers(shop, actors), "casts")
+    records = shop.film.groupBy("film_id").agg(F.count(F.lit(1)).alias("records"))
+    # As with the titles, a film that is recorded twice counts twice.
+    casts = cast_numbers(shop, actors).join(records, "film_id", "full").where(F.col("film_id").isNotNull()).select(
+        "film_id",
+        (F.coalesce("appearances", F.lit(1)) * F.coalesce("records", F.lit(1))).alias("appearances"),
+        F.coalesce("cast", F.array(F.lit(NAMELESS))).alias("cast"),
+    )
+    casts = settle(casts, "casts")
     watched = settle(watched, "watched-films")
     films = watched.groupBy("customer_id").agg(F.count(F.lit(1)).alias("films"))
     heavy = settle(films.where((F.col("films") > HEAVY) | F.col("customer_id").isNull()).select("customer_id"), "heavy")

@@ -142,3 +142,13 @@ def test_customers_times_casts_are_not_shuffled(spark):
     plan = Lifecycle(s).fav_three_actors()._jdf.queryExecution().executedPlan().toString()
     counted = plan[plan.index("Window") : plan.index("Generate explode")]
     assert "Exchange" not in counted
+
+
+def test_a_film_recorded_twice_counts_twice(spark):
+    s = shop(
+        spark, rental=[rental(1, 1, "2005-01-01", 1), rental(2, 1, "2005-01-02", 2), rental(3, 1, "2005-01-03", 3)],
+        inventory=[(1, 1, 1), (2, 2, 1), (3, 3, 1)], film=[film(1, "F"), film(2, "G"), film(2, "G"), film(3, "H"), film(3, "H"), film(3, "H")],
+        film_actor=[(1, 1), (2, 2)], actor=[(1, "A", "X"), (2, "B", "X")],
+    )
+    row = Lifecycle(s).fav_three_actors().first()
+    assert tuple(row) == (1, None, "B X", "A X")
