@@ -5,13 +5,17 @@ addresses spelled out, numbers in any grouping, long ip addresses. Boosted trees
 (digits, groups, separators, checksum) and its context (words and characters around it); proposals above their kind's
 threshold become spans, best first, where they overlap no other span.
 
-The trees are fitted on the driver, on a bounded sample: ``SAMPLE`` documents (smallest hashes of id), of each at most
-``PER_DOC`` base spans and proposals with ``CONTEXT`` characters around, and ``WINDOWS`` places of any text. Base spans are
-positive. A corpus proposal that is no base span may be personal data or not, so it is no example; only what stands
-around it is used. The other examples need no personal data in the sample, only its text, and are always made: scenes of one to four invented spans, rewritten base spans and decoys, in contexts of the sample, where what
-was put in is positive and every other proposal, also one that cuts or joins, is negative. A kind's threshold is the
-lowest sum of the trees at which the share of wrong spans among its held-out made negatives is within ``WRONG`` and the
-score, calibrated on held-out examples by pooling adjacent violators, is at least ``LEAST``.
+The trees learn from every document (``learn``). Its base spans are positive examples. A corpus proposal that is no base
+span may be personal data or not, so it is no example; only what stands around it is used. The other examples need no
+personal data in the text and are always made: scenes of one to four invented spans, rewritten base spans and decoys, in
+contexts of the document, where what was put in is positive and every other proposal, also one that cuts or joins, is
+negative. Contexts are those of every base span, of every run of overlapping proposals, and of a place in every
+``STRETCH`` characters of text; where a table has fewer than ``SCENES`` documents, several scenes are made in each, and
+what is made follows from the text alone. Examples stay in Spark, in blocks of binned rows; a level of a tree is grown
+from sums over all of them, a few thousand whole numbers per task, so trees do not depend on how rows lie in tasks. A
+kind's threshold is the lowest sum of the trees at which the share of wrong spans among its held-out made negatives is
+within ``WRONG`` and the score, calibrated on held-out examples by pooling adjacent violators, is at least ``LEAST``; for
+both, sums are counted in steps of 1 / ``FINE``.
 
 Every pattern is linear in the text: runs are matched possessively, loose patterns have bounded parts, and from each
 digit group at most ``MOST`` windows begin. Proposals are made one by one, scored ``BLOCK`` at a time, and what is kept
@@ -23,11 +27,12 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from bisect import bisect_left
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import chain, islice
+from itertools import chain, cycle, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +40,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.common import packed, unpacked
+from marquee.operators.settle import passing, settle
 
-SAMPLE, PER_DOC, CONTEXT = 3000, 24, 32
-WINDOWS = 2  # places of a sampled document whose surroundings are used
+CONTEXT = 32  # characters around a span
+STRETCH = 8192  # characters of a text, in each of which a scene is made
 WRONG, LEAST = 0.002, 0.9
 ROUNDS, DEPTH, RATE, BINS = 40, 3, 0.3, 16
-SCENES = 8000  # made for training, besides those of base spans
-BLOCK = 8192  # proposals that are described at once
+SCENES = 8000  # that are made at least, besides those of base spans
+BLOCK = 8192  # proposals that are described at once, and examples of a block at least
+KEPT = 4  # trees after which the sums of the examples are written
+FINE, FAR = 1024, 64  # steps of a sum that are told apart, and the largest sum
+UNIT = 2**20  # slopes and weights are summed as whole numbers of this part, so that no order of rows changes them
 
 # The kinds in the order of the results, and the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -52,7 +61,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 # Loose patterns.
-SPELLED = re.compile(r"\s?[(\[](?:at|AT|arobase)[)\]]\s?")
+SPELLED = re.compile(r"[(\[](?:at|AT|arobase)[)\]]\s?")
 BEFORE_AT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
 AFTER_AT = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.|\s?[(\[](?:dot|DOT|point)[)\]]\s?)[A-Za-z0-9-]{1,63}){1,6}")
 NUMBER = re.compile(r"[+(]?[0-9](?:[ ()./-]{0,2}[0-9])++")
@@ -65,19 +74,19 @@ HINTS = {
     "card": re.compile(r"(?i)card|visa|credit|karte|carte|tarjeta|amex|payment"),
     "phone": re.compile(r"(?i)tel|phone|call|fax|mobil|cell|ruf|appel|llam"),
 }
+ELSE = {kind: re.compile("|".join(h.pattern.replace("(?i)", "") for k, h in HINTS.items() if k != kind), re.I) for kind in HINTS}
 OTHER = re.compile(r"(?i)version|license|isbn|order|invoice|token|password|secret|key|id\b|page|date|total|no\.")
 
 
+DOUBLED = {str(i): 2 * i - 9 * (i > 4) for i in range(10)}
+
+
 def luhn(digits: str) -> bool:
-    total = 0
-    for at, digit in enumerate(reversed(digits)):
-        value = int(digit) * (1 + at % 2)
-        total += value - 9 * (value > 9)
-    return total % 10 == 0
+    return (sum(map(int, digits[-1::-2])) + sum(map(DOUBLED.__getitem__, digits[-2::-2]))) % 10 == 0
 
 
 def _digits(text: str) -> str:
-    return "".join(c for c in text if "0" <= c <= "9")
+    return "".join(GROUP.findall(text))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -116,10 +125,13 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
 
     Numbers are all windows of a run's digit groups, however long the run, so what stands beside a number hides it not.
     """
+    end = 0
     for m in SPELLED.finditer(text):
-        before, after = BEFORE_AT.search(text[max(0, m.start() - 64) : m.start()]), AFTER_AT.match(text, m.end())
+        start = m.start() - (m.start() > end and text[m.start() - 1].isspace())
+        end = m.end()
+        before, after = BEFORE_AT.search(text[max(0, start - 64) : start]), AFTER_AT.match(text, end)
         if before and after:
-            yield "email", m.start() - len(before.group()), after.end()
+            yield "email", start - len(before.group()), after.end()
     for m in NUMBER.finditer(text):
         if m.end() - m.start() >= 7:
             yield from _windows(text, (g.span() for g in GROUP.finditer(text, *m.span())))
@@ -174,26 +186,27 @@ SHAPES = {
     "phone": ((3, 3, 4), (2, 2, 2, 2, 2), (10,), (1, 3, 3, 4), (3, 3, 3), (3, 7), (4, 6), (5, 5), (4, 7)),
 }
 NUMERIC = "0123456789 ()./-"
+RUNS, DATE, PARTING = re.compile(r"[0-9A-Fa-f]+"), re.compile(r"(?:19|20)[0-9]{2}(?![0-9])|[0-3]?[0-9][/.][01]?[0-9][/.]"), re.compile(r"[^A-Za-z0-9-]+")
 LEFT, RIGHT = re.compile(r"([0-9]+)[ ()./-]{0,2}\Z"), re.compile(r"[ ()./-]{0,2}([0-9]+)")  # groups beside a span
 
 
 def described(kind: str, span: str, before: str, after: str) -> list[float]:
     """Format and context of a proposal, as numbers."""
-    digits, groups = _digits(span), re.findall(r"[0-9A-Fa-f]+", span)
+    digits, groups = "".join(GROUP.findall(span)), RUNS.findall(span)
     sizes = [len(g) for g in groups] or [0]
-    largest = max((int(g) if len(g) < 5 else 99999 for g in re.findall(r"[0-9]+", span)), default=0)
+    largest = max([int(g) if len(g) < 5 else 99999 for g in GROUP.findall(span)], default=0)
     shape, usual = tuple(sizes), SHAPES[kind]
-    left, right, ending = LEFT.search(before), RIGHT.match(after), re.split(r"[^A-Za-z0-9-]+", span)[-1]
+    left, right, ending = LEFT.search(before), RIGHT.match(after), PARTING.split(span)[-1]
     return [
         KINDS.index(kind), len(span), len(digits), len(groups), sizes[0], sizes[-1], max(sizes), min(sizes),
         span.count(" "), span.count("-"), span.count("."), span.count("/"), span.count("(") - 2 * span.count(")"),
         span.count(":"), luhn(digits) if kind == "card" else -1, int(digits[0]) if digits else -1, len(set(digits)),
-        bool(re.match(r"(?:19|20)[0-9]{2}(?![0-9])|[0-3]?[0-9][/.][01]?[0-9][/.]", span)),
+        bool(DATE.match(span)),
         bool(HINTS[kind].search(before)), bool(OTHER.search(before)),
-        any(HINTS[k].search(before) for k in KINDS if k != kind),
+        bool(ELSE[kind].search(before)),
         ord(before[-1]) if before and before[-1] < "\x80" and not before[-1].isalpha() else (0 if not before else 127),
         ord(after[0]) if after and after[0] < "\x80" and not after[0].isalpha() else (0 if not after else 127),
-        sum(c.isdigit() for c in before[-8:] + after[:8]), largest,
+        sum(map(str.isdigit, before[-8:] + after[:8])), largest,
         len(left.group(1)) if left else 0, len(right.group(1)) if right else 0, int(digits[1]) if len(digits) > 1 else -1,
         len(set(sizes)), len(ending), ending.isalpha() + ending.islower(), span.count("::"),
         sum(map(str.isdigit, before[len(before.rstrip(NUMERIC)) :])), sum(map(str.isdigit, after[: len(after) - len(after.lstrip(NUMERIC))])),
@@ -310,12 +323,15 @@ def _scene(parts: list[tuple[str, str]], before: str, after: str, rnd: random.Ra
     ]
 
 
+Tree = tuple[np.ndarray, np.ndarray, np.ndarray]  # feature, bin, value by node
+
+
 @dataclass
 class Trees:
     """Boosted trees on binned features, the calibration of their sums, and each kind's least sum."""
 
     edges: np.ndarray
-    trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # feature, bin, value by node
+    trees: list[Tree] = field(default_factory=list)
     start: float = 0.0
     steps: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
     thresholds: dict[str, float] = field(default_factory=dict)
@@ -326,7 +342,7 @@ class Trees:
     def sums(self, x: np.ndarray) -> np.ndarray:
         bins, out = self.binned(x), np.full(len(x), self.start)
         for tree in self.trees:
-            out += _values(tree, bins)
+            out += _values(tree, bins.T)
         return out
 
     def scores(self, sums: np.ndarray) -> np.ndarray:
@@ -335,43 +351,72 @@ class Trees:
         return values[np.clip(np.searchsorted(at, sums, "right") - 1, 0, len(values) - 1)] if len(at) else np.zeros(len(sums))
 
 
-def _values(tree: tuple[np.ndarray, np.ndarray, np.ndarray], bins: np.ndarray) -> np.ndarray:
+def _values(tree: Tree, bins: np.ndarray) -> np.ndarray:
     feature, cut, value = tree
-    node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+    node, rows = np.zeros(bins.shape[1], np.int64), np.arange(bins.shape[1])
     for _ in range(DEPTH):
-        node = 2 * node + 1 + (bins[rows, feature[node]] > cut[node])
+        node = 2 * node + 1 + (bins[feature[node], rows] > cut[node])
     return value[node]
 
 
-def _tree(bins: np.ndarray, slope: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    nodes = 2 ** (DEPTH + 1) - 1
-    feature, cut, value = np.zeros(nodes, np.int64), np.full(nodes, BINS), np.zeros(nodes)
-    node = np.zeros(len(bins), np.int64)
-    for at in range(2**DEPTH - 1):
-        mine = np.flatnonzero(node == at)
-        if not len(mine):
-            continue
-        best = 1e-9
-        for j in range(bins.shape[1]):
-            g = np.cumsum(np.bincount(bins[mine, j], slope[mine], BINS + 1))
-            h = np.cumsum(np.bincount(bins[mine, j], weight[mine], BINS + 1))
-            gain = g**2 / (h + 1) + (g[-1] - g) ** 2 / (h[-1] - h + 1) - g[-1] ** 2 / (h[-1] + 1)
-            k = int(gain[:-1].argmax())
-            if gain[k] > best:
-                best, feature[at], cut[at] = gain[k], j, k
-        node[mine] = 2 * at + 1 + (bins[mine, feature[at]] > cut[at])
-    for at in range(2**DEPTH - 1, nodes):
-        mine = node == at
-        value[at] = -RATE * slope[mine].sum() / (weight[mine].sum() + 1)
-    return feature, cut, value
-
-
-def _pooled(sums: np.ndarray, truth: np.ndarray) -> np.ndarray:
-    """Where steps begin and their shares of positives, which never fall."""
-    order = np.argsort(sums, kind="stable")
+@dataclass
+class Block:
+    """Different binned examples: bins by feature, kind, how many there are and how many are positive, sum."""
+
+    bins: np.ndarray
+    kinds: np.ndarray
+    counts: np.ndarray
+    sums: np.ndarray
+
+    def added(self, trees: Sequence[Tree]) -> np.ndarray:
+        """The sums with those of further trees."""
+        sums = self.sums
+        for tree in trees:
+            sums = sums + _values(tree, self.bins)
+        return sums
+
+    def slopes(self, trees: Sequence[Tree], tree: Tree, depth: int) -> np.ndarray:
+        """Slopes and weights by node of a level of ``tree``, feature and bin, in whole ``UNIT``."""
+        p = 1 / (1 + np.exp(-self.added(trees)))
+        n, positive = self.counts
+        slope = np.rint(p * UNIT) * n - positive * float(UNIT)
+        weight = np.rint(p * (1 - p) * UNIT) * n
+        feature, cut, _ = tree
+        node, rows = np.zeros(len(p), np.int64), np.arange(len(p))
+        for _ in range(depth):
+            node = 2 * node + 1 + (self.bins[feature[node], rows] > cut[node])
+        cell, cells = (node - (2**depth - 1)) * (BINS + 1), 2**depth * (BINS + 1)
+        sums = [[np.bincount(at, v, cells).reshape(2**depth, -1) for v in (slope, weight)] for at in (cell + b for b in self.bins)]
+        return np.array(sums).astype(np.int64).transpose(2, 0, 3, 1)  # node, feature, bin, which
+
+    def steps(self, trees: Sequence[Tree]) -> np.ndarray:
+        """Kind, step of the sum, examples, positives of them."""
+        step = np.clip(np.floor(self.added(trees) * FINE), -FAR * FINE, FAR * FINE).astype(np.int64)
+        at, where = np.unique(np.stack([self.kinds, step]), axis=1, return_inverse=True)
+        return np.stack([*at, *(np.bincount(where.ravel(), v, at.shape[1]).astype(np.int64) for v in self.counts)])
+
+
+def _split(tree: Tree, depth: int, slopes: np.ndarray) -> None:
+    """Choose the splits of a level, and after the last one the values of the leaves."""
+    feature, cut, value = tree
+    for i, sums in enumerate(slopes / UNIT):
+        at = 2**depth - 1 + i
+        g, h = (np.cumsum(sums[:, :, k], 1) for k in (0, 1))
+        gain = g**2 / (h + 1) + (g[:, -1:] - g) ** 2 / (h[:, -1:] - h + 1) - g[:, -1:] ** 2 / (h[:, -1:] + 1)
+        j, k = np.unravel_index(int(gain[:, :-1].argmax()), gain[:, :-1].shape)
+        if gain[j, k] > 1e-9:
+            feature[at], cut[at] = j, k
+        if depth == DEPTH - 1:
+            j, k = feature[at], cut[at]  # without a split all are left
+            for leaf, (a, b) in enumerate(((g[j, k], h[j, k]), (g[j, -1] - g[j, k], h[j, -1] - h[j, k])), 2 * at + 1):
+                value[leaf] = -RATE * a / (b + 1)
+
+
+def _pooled(steps: np.ndarray, rows: np.ndarray, positive: np.ndarray) -> np.ndarray:
+    """Where pools of ascending steps begin and their shares of positives, which never fall."""
     pools: list[list[float]] = []  # start, positives, rows
-    for s, t in zip(sums[order], truth[order], strict=True):
-        pools.append([s, float(t), 1.0])
+    for s, t, n in zip(steps, positive, rows, strict=True):
+        pools.append([s, float(t), float(n)])
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
             last = pools.pop()
             pools[-1][1] += last[1]
@@ -379,82 +424,287 @@ def _pooled(sums: np.ndarray, truth: np.ndarray) -> np.ndarray:
     return np.array([[p[0] for p in pools], [p[1] / (p[2] + 1) for p in pools]])
 
 
-def _edges(values: np.ndarray) -> np.ndarray:
+def _quantiles(values: np.ndarray, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``np.quantile`` of ascending values that stand for so many rows each."""
+    ends, place = np.cumsum(counts), at * (counts.sum() - 1)
+    low, high = (values[np.searchsorted(ends, f(place), "right")] for f in (np.floor, np.ceil))
+    return low + (high - low) * (place - np.floor(place))
+
+
+def _edges(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Bounds of bins: half by rows, half by distinct values, since most features are zero outside of one kind."""
     half = BINS // 2
-    return np.sort(np.append(np.quantile(values, np.linspace(0, 1, half + 1)[1:-1]), np.quantile(np.unique(values), np.linspace(0, 1, half + 2)[1:-1])))
+    return np.sort(np.append(_quantiles(values, counts, np.linspace(0, 1, half + 1)[1:-1]), np.quantile(values, np.linspace(0, 1, half + 2)[1:-1])))
 
 
-def fit(rows: list[tuple[str, str, str, str, bool]], seed: int = 0) -> Trees:
-    """Trees from (kind, span, before, after, whether a base span); of other rows only the context is used."""
-    rows = rows or [("", "", "", "", False)]
-    rnd, groups = random.Random(seed), []
+def _counted(x: np.ndarray) -> np.ndarray:
+    """Feature, value and rows of every value of every feature."""
+    parts = [(j, *np.unique(x[:, j], return_counts=True)) for j in range(FEATURES)]
+    return np.concatenate([np.stack([np.full(len(v), j), v, n]) for j, v, n in parts], 1).astype(np.int64)
+
+
+def _binned(edges: np.ndarray, x: np.ndarray, truth: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kind and bins of different examples, a row each, and their counts."""
+    keys = np.concatenate([x[:, :1], Trees(edges).binned(x)], 1).astype(np.uint8)
+    some, where = np.unique(np.ascontiguousarray(keys).view(f"V{FEATURES + 1}").ravel(), return_inverse=True)
+    masks = (~held, ~held & truth, held, held & truth)
+    return some, np.stack([np.bincount(where, m, len(some)).astype(np.int64) for m in masks])
+
+
+def _block(keys: np.ndarray, counts: np.ndarray, start: float) -> Block:
+    rows = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, FEATURES + 1)
+    return Block(np.ascontiguousarray(rows[:, 1:].T), rows[:, 0], counts, np.full(len(rows), start))
+
+
+def _start(train: int, positive: int, held: int, held_positive: int) -> float:
+    positive += held_positive
+    return float(np.log((positive + 1) / (train + held - positive + 1)))
+
+
+def _boosted(model: Trees, slopes: Callable, steps: Callable, keep: Callable) -> Trees:
+    """Grow the trees from ``slopes(trees, tree, depth)`` of all that train, and calibrate on ``steps(trees)`` of the others.
+
+    ``keep(trees)`` adds trees to the sums of what trains; ``slopes`` is told those not added yet, ``steps`` all.
+    """
+    waiting: list[Tree] = []
+    for _ in range(ROUNDS):
+        nodes = 2 ** (DEPTH + 1) - 1
+        tree = (np.zeros(nodes, np.int64), np.full(nodes, BINS), np.zeros(nodes))
+        for depth in range(DEPTH):
+            _split(tree, depth, slopes(waiting, tree, depth))
+        model.trees.append(tree)
+        waiting.append(tree)
+        if len(waiting) == KEPT:
+            keep(waiting)
+            waiting = []
+    found = steps(model.trees)
+    cells, where = np.unique(found[1], return_inverse=True)
+    model.steps = _pooled(cells / FINE, *(np.bincount(where.ravel(), v, len(cells)) for v in found[2:]))
+    likely = model.steps[0][model.steps[1] >= LEAST]
+    for at, kind in enumerate(KINDS):
+        _, step, rows, positive = found[:, found[0] == at]
+        step, wrong = step[rows > positive], (rows - positive)[rows > positive]
+        order = np.argsort(-step)
+        passed = np.searchsorted(np.cumsum(wrong[order]), int(WRONG * wrong.sum()), "right")
+        least = (step[order][passed] + 1) / FINE if len(order) else -np.inf
+        model.thresholds[kind] = max(least, float(likely[0]) if len(likely) else np.inf)
+    return model
+
+
+def _made(rnd: random.Random) -> list[tuple[str, str]]:
+    """Parts of a scene."""
+    parts, alike, style = [], rnd.choice([None, None, *KINDS, "phone"]), rnd.random()  # a list of one kind, or whatever comes
+    for _ in range(rnd.choice([1, 1, 2, 2, 3, 4])):
+        kind = alike or (rnd.choice(KINDS) if rnd.random() < 0.4 else "")
+        span = invented(kind, rnd) if kind else decoy(rnd)
+        bare = kind == "card" and rnd.random() < 0.7
+        if bare and rnd.random() < 0.5:
+            gap = rnd.choice("  -")
+            span = gap.join(span[i : i + 4] for i in range(0, len(span), 4)) if len(span) == 16 else gap.join((span[:4], span[4:10], span[10:]))
+        parts.append((kind, rewritten(kind, span, random.Random(style) if alike and style < 0.7 else rnd) if kind and not bare else span))
+    return parts
+
+
+Examples = tuple[np.ndarray, np.ndarray, np.ndarray]  # described, whether positive, whether held out
+
+
+def examples_of(rows: Sequence[tuple[str, str, str, str, bool]], rnd: random.Random) -> Examples:
+    """Examples from (kind, span, before, after, whether a base span); of other rows only the context is used."""
+    groups = []
     for kind, span, before, after, positive in rows:
         if positive:
             groups.append([(kind, span, before, after, True)])
             groups.append(_scene([(kind, rewritten(kind, span, rnd))], before, after, rnd))
             groups.append(_scene([("", decoy(rnd))], before, after, rnd))
-    for _ in range(SCENES):
-        parts, alike, style = [], rnd.choice([None, None, *KINDS, "phone"]), rnd.random()  # a list of one kind, or whatever comes
-        for _ in range(rnd.choice([1, 1, 2, 2, 3, 4])):
-            kind = alike or (rnd.choice(KINDS) if rnd.random() < 0.4 else "")
-            span = invented(kind, rnd) if kind else decoy(rnd)
-            bare = kind == "card" and rnd.random() < 0.7
-            if bare and rnd.random() < 0.5:
-                gap = rnd.choice("  -")
-                span = gap.join(span[i : i + 4] for i in range(0, len(span), 4)) if len(span) == 16 else gap.join((span[:4], span[4:10], span[10:]))
-            parts.append((kind, rewritten(kind, span, random.Random(style) if alike and style < 0.7 else rnd) if kind and not bare else span))
-        groups.append(_scene(parts, *rnd.choice(rows)[2:4], rnd))
-    examples = [e for group in groups for e in group]
-    truth = np.array([e[4] for e in examples], float)
-    x = np.array([described(*e[:4]) for e in examples], float)
-    model = Trees(np.array([_edges(x[:, j]) for j in range(FEATURES)]))
+        else:
+            groups.append(_scene(_made(rnd), before, after, rnd))
     held = np.repeat([rnd.random() < 0.3 for _ in groups], [len(group) for group in groups])
-    bins, model.start = model.binned(x), float(np.log((truth.sum() + 1) / (len(truth) - truth.sum() + 1)))
-    sums, train = np.full(len(x), model.start), ~held
-    for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-sums))
-        model.trees.append(_tree(bins[train], (p - truth)[train], (p * (1 - p))[train]))
-        sums = sums + _values(model.trees[-1], bins)
-    model.steps = _pooled(sums[held], truth[held])
-    likely = model.steps[0][model.steps[1] >= LEAST]
-    for at, kind in enumerate(KINDS):
-        wrong = np.sort(sums[held & (x[:, 0] == at) & (truth == 0)])[::-1]
-        allowed = int(WRONG * len(wrong))
-        least = float(np.nextafter(wrong[allowed], np.inf)) if len(wrong) else -np.inf
-        model.thresholds[kind] = max(least, float(likely[0]) if len(likely) else np.inf)
-    return model
+    x = np.array([described(*e[:4]) for group in groups for e in group], np.int32).reshape(-1, FEATURES)
+    return x, np.array([e[4] for group in groups for e in group], bool), held.astype(bool)
+
+
+def _all_edges(counted: np.ndarray) -> np.ndarray:
+    by_value = [counted[1:, counted[0] == j] for j in range(FEATURES)]
+    return np.array([_edges(*part[:, np.argsort(part[0])]) for part in by_value])
+
+
+def fit(rows: list[tuple[str, str, str, str, bool]], seed: int = 0) -> Trees:
+    """Trees from a few (kind, span, before, after, whether a base span); of other rows only the context is used."""
+    rows = rows or [("", "", "", "", False)]
+    contexts = [("", "", before, after, False) for _, _, before, after, _ in islice(cycle(rows), SCENES)]
+    x, truth, held = examples_of([*(row for row in rows if row[4]), *contexts], random.Random(seed))
+    model = Trees(_all_edges(_counted(x)))
+    keys, counts = _binned(model.edges, x, truth, held)
+    model.start = _start(*counts.sum(1).tolist())
+    train, held = (_block(keys[at[0] > 0], at[:, at[0] > 0], model.start) for at in (counts[:2], counts[2:]))
+
+    def keep(trees: Sequence[Tree]) -> None:
+        train.sums = train.added(trees)
+
+    return _boosted(model, train.slopes, held.steps, keep)
 
 
 def _around(text: str, start: int, end: int) -> tuple[str, str, str]:
     return text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, per_doc: int = PER_DOC) -> Trees:
-    """Fit on the proposals and base spans of ``sample`` documents."""
-    mark = F.xxhash64(F.col("doc_id"))
-    chosen = docs.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(mark, "doc_id").limit(sample).distinct()
-    texts = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    kind = "array<struct<kind:string,span:string,before:string,after:string,base:boolean>>"
+def places(text: str, scenes: int, rnd: random.Random) -> list[tuple[str, str, str, str, bool]]:
+    """The base spans of a text, and the other contexts that it teaches; ``scenes`` of a stretch."""
+    found = [(kind, *_around(text, start, end), True) for kind, start, end in base_spans(text)]
+    reach = 0
+    for kind, start, end in proposals(text):
+        if start >= reach:
+            found.append((kind, *_around(text, start, end), False))
+        reach = max(reach, end)
+    for start in range(0, max(len(text), 1), STRETCH):
+        for _ in range(scenes):
+            at = rnd.randint(start, min(start + STRETCH, len(text)))
+            found.append(("", *_around(text, at, at), False))
+    return found
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+
+EXAMPLES = "x array<int>, truth boolean, held boolean"
+KEYED = "key binary, train long, positive long, held long, held_positive long"
+BLOCKS = "bins binary, kinds binary, counts binary, sums binary"
+
+
+def examples(docs: DataFrame) -> DataFrame:
+    """What the whole texts of all documents teach; copies of a text teach the same, each time."""
+    n = docs.count()
+    texts = docs.select("text") if n else docs.sparkSession.createDataFrame([("",)], "text string")
+    scenes = -(-SCENES // max(n, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in (value.as_py() or "" for value in batch.column(0)):
+                rnd = random.Random(zlib.crc32(text.encode("utf-8", "replace")))
+                found = places(text, scenes, rnd)
+                for at in range(0, len(found), BLOCK):  # a text may have very many
+                    yield examples_of(found[at : at + BLOCK], rnd)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[Examples] = []
+        for part in chain(run(batches), [None]):
+            parts += [part] if part else []
+            if parts and (part is None or sum(len(x) for x, _, _ in parts) >= BLOCK):
+                x, truth, held = map(np.concatenate, zip(*parts, strict=True))
+                lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * FEATURES, x.ravel())
+                yield pa.RecordBatch.from_arrays([lists, pa.array(truth), pa.array(held)], names=["x", "truth", "held"])
+                parts = []
+
+    return texts.mapInArrow(blocks, EXAMPLES)
+
+
+def _row(*values: np.ndarray, names: str) -> pa.RecordBatch:
+    """One row of arrays as bytes."""
+    columns = [pa.array([v.tobytes()], pa.binary()) for v in values]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in names.split(", ")])
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[Examples]:
+    for x, truth, held in (batch.columns for batch in batches):
+        flat = x.flatten().to_numpy(zero_copy_only=False)
+        yield flat.reshape(-1, FEATURES), *(v.to_numpy(zero_copy_only=False).astype(bool) for v in (truth, held))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    types = (np.uint8, np.uint8, np.int64, np.float64)
+    for batch in batches:
+        for row in zip(*batch.columns, strict=True):
+            bins, kinds, counts, sums = (np.frombuffer(v.as_buffer(), t) for v, t in zip(row, types, strict=True))
+            yield Block(bins.reshape(FEATURES, -1), kinds, counts.reshape(2, -1), sums)
+
+
+def _written(blocks: Iterator[Block]) -> Iterator[pa.RecordBatch]:
+    for b in blocks:
+        yield _row(b.bins, b.kinds, b.counts, b.sums, names=BLOCKS)
+
+
+def _longs(names: str, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=[c.split()[0] for c in names.split(", ")])
+
+
+def learn(docs: DataFrame) -> Trees:
+    """Fit on all documents."""
+    with passing(docs.sparkSession):
+        taught = settle(examples(docs), "pii-examples")
+        model = Trees(_edges_of(taught))
+        keyed = settle(_keyed(taught, model.edges), "pii-binned")
+        totals = keyed.agg(*[F.sum(c) for c in keyed.columns[1:]]).first()
+        model.start = _start(*totals)
+        return _boosted(model, *_over(keyed, model.start))
+
+
+def _edges_of(taught: DataFrame) -> np.ndarray:
+    names = "feature long, value long, rows long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, _, _ in _described(batches):
+            yield _longs(names, _counted(x))
+
+    values = taught.mapInArrow(run, names).groupBy("feature", "value").agg(F.sum("rows"))
+    return _all_edges(np.array(values.collect(), np.int64).T)  # different values of 37 small numbers
+
+
+def _keyed(taught: DataFrame, edges: np.ndarray) -> DataFrame:
+    """Different binned examples, and how many there are of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in KEYED.split(", ")]
+        for x, truth, held in _described(batches):
+            keys, counts = _binned(edges, x, truth, held)
+            columns = [pa.array([k.tobytes() for k in keys], pa.binary()), *map(pa.array, counts)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    rows = taught.mapInArrow(run, KEYED)
+    return rows.groupBy("key").agg(*[F.sum(c).alias(c) for c in rows.columns[1:]])
+
+
+def _over(keyed: DataFrame, start: float) -> tuple[Callable, Callable, Callable]:
+    """``slopes``, ``steps`` and ``keep`` of ``_boosted`` over examples in Spark."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for value in batch:
-                text = value.as_py()
-                base = [(*s, True) for s in base_spans(text)]
-                n = sum(1 for _ in proposals(text))
-                rest = ((*s, False) for s in islice(proposals(text), 0, None, max(1, n // per_doc)))
-                found = list(islice(chain(base[:: max(1, len(base) // per_doc)], rest), per_doc))
-                places = [(len(text) * (2 * i + 1)) // (2 * WINDOWS) for i in range(WINDOWS)]
-                found += [("", place, place, False) for place in places]
-                out.append([dict(zip(("kind", "span", "before", "after", "base"), (k, *_around(text, s, e), b), strict=True)) for k, s, e, b in found if e - s <= 200])
-            yield pa.array(out, pa.list_(pa.struct([(n, pa.bool_() if n == "base" else pa.string()) for n in ("kind", "span", "before", "after", "base")])))
-
-    found = texts.select("doc_id", F.arrow_udf(run, kind)("text").alias("found"))
-    rows = found.groupBy("doc_id").agg(F.min("found").alias("found")).select("doc_id", F.explode("found").alias("f"))
-    rows = rows.select("doc_id", "f.*").collect()  # at most sample * (per_doc + WINDOWS) rows of bounded length
-    return fit([(r.kind, r.span, r.before, r.after, r.base) for r in sorted(rows, key=lambda r: tuple(map(str, r)))])
+            keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8)
+            counts = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
+            yield from _written([_block(keys, counts, start)])
+
+    def blocked(n: str, positive: str) -> DataFrame:
+        return settle(keyed.where(F.col(n) > 0).select("key", n, positive).mapInArrow(blocks, BLOCKS), "pii-blocks")
+
+    train, held = [blocked("train", "positive")], blocked("held", "held_positive")
+
+    def slopes(trees: Sequence[Tree], tree: Tree, depth: int) -> np.ndarray:
+        trees = list(trees)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2**depth, FEATURES, BINS + 1, 2), np.int64)
+            for block in _blocks(batches):
+                total += block.slopes(trees, tree, depth)
+            yield _row(total, names="slopes binary")
+
+        parts = train[0].mapInArrow(run, "slopes binary").collect()  # a task's sums, some 40 KB at most
+        return sum(np.frombuffer(p[0], np.int64).reshape(2**depth, FEATURES, BINS + 1, 2) for p in parts)
+
+    def steps(trees: Sequence[Tree]) -> np.ndarray:
+        trees, names = list(trees), "kind long, step long, rows long, positive long"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in _blocks(batches):
+                yield _longs(names, block.steps(trees))
+
+        found = held.mapInArrow(run, names).groupBy("kind", "step").agg(F.sum("rows"), F.sum("positive"))
+        return np.array(found.collect(), np.int64).reshape(-1, 4).T  # at most 2 * FAR * FINE steps of each kind
+
+    def keep(trees: Sequence[Tree]) -> None:
+        trees = list(trees)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _written(Block(b.bins, b.kinds, b.counts, b.added(trees)) for b in _blocks(batches))
+
+        train[0] = settle(train[0].mapInArrow(run, BLOCKS), "pii-blocks")
+
+    return slopes, steps, keep
 
 
 def all_spans(texts: list[str], model: Trees) -> list[list[tuple[str, int, int, bool, float]]]:

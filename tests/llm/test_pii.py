@@ -179,6 +179,30 @@ def test_a_sample_without_proposals_still_teaches(spark):
     assert pii.all_spans([text for _, text, _ in plain], model) == [[]] * len(plain)
 
 
+def test_all_documents_teach(spark, monkeypatch):
+    """However many documents there are, the trees follow from each of them, and not from how rows lie in tasks."""
+    monkeypatch.setattr(pii, "ROUNDS", 2)
+    rows = [(i, f"the word of {i} and", 1) for i in range(3300)]
+    plain = spark.createDataFrame(rows, SCHEMA)
+    chosen = plain.selectExpr("doc_id", "xxhash64(doc_id) h").orderBy("h", "doc_id").collect()
+    told = {r.doc_id for r in chosen[3000:]}  # behind the first 3000 by hash
+    docs = spark.createDataFrame([(i, f"{text} mail jo.{i}@mail.example.com" if i in told else text, 1) for i, text, _ in rows], SCHEMA)
+
+    def facts(model):
+        return model.start, model.thresholds, model.edges.tolist(), model.steps.tolist(), [[part.tolist() for part in tree] for tree in model.trees]
+
+    model = facts(pii.learn(docs))
+    assert model != facts(pii.learn(plain))
+    assert model == facts(pii.learn(docs.repartition(7)))
+
+
+def test_every_base_span_and_stretch_is_a_place():
+    text = "x@y.zz " * 100 + "a " * pii.STRETCH + "call 555 123 4567 or (555) 987-6543"
+    found = pii.places(text, 1, random.Random(0))
+    assert sum(row[4] for row in found) == 100 and [row[0] for row in found if not row[4]].count("") == len(text) // pii.STRETCH + 1
+    assert len(pii.places("a@" + "b" * 300 + ".org", 3, random.Random(0))) == 4  # however long
+
+
 def test_long_numeric_texts_are_proposed_one_by_one():
     """A log of numbers has more windows than memory should hold at once."""
     text = "12 3456 789 01 " * 40_000
