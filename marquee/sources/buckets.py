@@ -165,14 +165,14 @@ class Change:
         """Replace the whole table."""
         self.put(table, rows, set(range(self.store.tables[table].buckets)))
 
-    def replace(self, table: str, rows: DataFrame, keys: DataFrame | None = None) -> None:
-        """``rows`` in place of all rows with one of ``keys``, by default the keys of ``rows``."""
+    def replace(self, table: str, rows: DataFrame, keys: DataFrame | None = None, settled: bool = False) -> None:
+        """``rows`` in place of all rows with one of ``keys``, by default the keys of ``rows``; ``settled`` if they lie in files."""
         key = list(self.store.tables[table].key)
         if not any(self.state.buckets.get(table, {}).values()):
             self.append(table, rows)  # nothing is there yet
             return
         with passing(self.store.spark):
-            rows = settle(rows, "replacing")
+            rows = rows if settled else settle(rows, "replacing")
             if keys is None:
                 keys = rows.select(*key)
             else:

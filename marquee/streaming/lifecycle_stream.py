@@ -153,16 +153,14 @@ class LifecycleStream:
         batch = batch.select(*self.store.tables["rentals"].schema.names)
         if self.drop_late and newest is not None:
             batch = batch.where(F.col("rental_date") > F.lit(newest).cast("timestamp_ntz"))
-        batch = settle(batch, "batch")
-        change.append("rentals", batch)
+        batch = change.append("rentals", batch)
         change.merge("rentals", MOST_PARTS)
         if self.payments:
             owners = batch.select(*OWNER.names)
             change.append("owners", owners)
             change.merge("owners", MOST_PARTS)
             come = lookup_join(change.read("waiting", owners), owners, "rental_id", "inner")
-            come = settle(come.select(*PAYMENT.names), "paid-before")
-            change.append("payments", come)
+            come = change.append("payments", come.select(*PAYMENT.names))
             change.delete("waiting", come, ["rental_id"])
         latest = batch.agg(F.max("rental_date")).first()[0]
         return batch, max((d for d in (latest, newest) if d is not None), default=None)
@@ -171,8 +169,7 @@ class LifecycleStream:
         """The payments whose rentals have come; the others wait for them."""
         batch = settle(batch.select(*WAITING.names), "batch")
         owners = settle(change.read("owners", batch), "owners")
-        known = settle(lookup_join(batch, owners, "rental_id", "inner").select(*PAYMENT.names), "known")
-        change.append("payments", known)
+        known = change.append("payments", lookup_join(batch, owners, "rental_id", "inner").select(*PAYMENT.names))
         change.merge("payments", MOST_PARTS)
         change.append("waiting", lookup_join(batch, owners.select("rental_id"), "rental_id", "left_anti"))
         change.merge("waiting", MOST_PARTS)
@@ -181,21 +178,22 @@ class LifecycleStream:
     def _refresh(self, change: Change, batch: DataFrame) -> None:
         """New lifecycle rows for the customers in ``batch``."""
         customers = settle(batch.select("customer_id").distinct(), "customers")
-        rentals = settle(change.read("rentals", customers), "history")
-        shop = self.shop.replace(rental=rentals)
-        if self.payments:
-            shop = shop.replace(payment=settle(change.read("payments", customers), "payments"))
+        rentals = change.read("rentals", customers)
+        if self.payments:  # both are read once, where the rentals meet what was paid
+            shop = self.shop.replace(rental=rentals, payment=change.read("payments", customers))
+        else:  # the state reads again only the customers whose first date moved
+            shop = self.shop.replace(rental=rentals if self.stateful else settle(rentals, "history"))
         if self.stateful:
             old = State(settle(change.read("totals", customers), "totals"), settle(change.read("actors", customers), "actors"))
             state = merge_state(old, shop, batch, self.rules).settled()
-            change.replace("totals", state.totals, customers)
-            change.replace("actors", state.actors, customers)
+            change.replace("totals", state.totals, customers, settled=True)
+            change.replace("actors", state.actors, customers, settled=True)
             rows = lifecycle_of(state, self.rules)
         else:
             rows = Lifecycle(shop, self.rules, part=not self.payments).table()
         rows = settle(rows, "refreshed")
         before = settle(change.read("lifecycle", customers), "before")
-        change.replace("lifecycle", rows, customers)
+        change.replace("lifecycle", rows, customers, settled=True)
         if self.tier_scope == "all":
             self._keep_tiers(change, before, rows)
 

@@ -157,7 +157,7 @@ def merge_state(state: State, shop: Shop, batch: DataFrame, rules: Rules = Rules
         "customer_id",
         "left_semi",
     )
-    reread = _early(paid_rentals(shop, history, part=True), moved, rules)
+    reread = _early(paid_rentals(shop, settle(history, "state-history"), part=True), moved, rules)
     early = (
         F.when(~known, F.col("_new_early"))
         .when(F.col("_new_first") < F.col("_old_first"), F.coalesce("reread", F.lit(0)))

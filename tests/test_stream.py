@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 
+from marquee.operators.settle import settle
 from marquee.plans.lifecycle import SCHEMA, Rules, customer_lifecycle
 from marquee.sources.versions import fit_schema
 from marquee.streaming.lifecycle_stream import LifecycleStream, rental_files
@@ -109,3 +110,28 @@ def test_a_batch_reads_and_rewrites_its_customers_buckets(spark, tmp_path):
     whole = base.replace(rental=frame(rentals + more))
     assert lines(stream.lifecycle.read()) == kept(customer_lifecycle(whole))
     assert lines(stream.lifecycle.read(touching=frame(more))) == [r for r in kept(customer_lifecycle(whole)) if r.startswith(("[7,", "[8,"))]
+
+
+@pytest.mark.parametrize("stateful", [False, True])
+def test_rentals_of_a_batch_are_written_once_and_history_only_where_it_is_read(spark, tmp_path, monkeypatch, stateful):
+    """What a batch brings lies in the store and nowhere else; the state reads back customers whose first date moved."""
+    written = {}
+
+    def noted(df, label, *args, **options):
+        found = settle(df, label, *args, **options)
+        written.setdefault(label, []).append(found.count())
+        return found
+
+    monkeypatch.setattr("marquee.streaming.lifecycle_stream.settle", noted)
+    monkeypatch.setattr("marquee.streaming.state.settle", noted)
+    rentals = [rental(n, n % 20, f"2005-0{n % 6 + 1}-1{n % 9}", 10) for n in range(1, 101)]
+    base = shop(spark, payment=[payment(n, n, f"{n % 37}.50") for n in range(1, 101)], **FILMS)
+    stream = LifecycleStream(base, str(tmp_path / "out"), stateful=stateful, buckets=2)
+    frame = lambda data: spark.createDataFrame(data, COLUMNS["rental"])
+    stream.process(frame(rentals), 0)
+    more = [rental(2000, 7, "2005-06-20", 20), rental(2001, 8, "2004-06-20", 20)]
+    stream.process(frame(more), 1)
+    assert "batch" not in written
+    assert written.get("history") == (None if stateful else [100, 12]) and written.get("state-history") == ([0, 6] if stateful else None)
+    whole = base.replace(rental=frame(rentals + more))
+    assert lines(stream.lifecycle.read()) == kept(customer_lifecycle(whole))
