@@ -185,6 +185,29 @@ def test_unseen_titles_are_not_shuffled_once_met(spark, monkeypatch):
     assert sorted(map(str, map(tuple, of.collect()))) == sorted(str(row) for row in want if row[0] > 4)
 
 
+def test_unseen_titles_are_written_in_runs(spark, monkeypatch):
+    """Seen films stand at the ends of blocks, side by side, twice under one title, or fill a block; one customer is null."""
+    monkeypatch.setattr(recommend, "UNIT_FILMS", 4)
+    monkeypatch.setattr(recommend, "UNIT_CUSTOMERS", 2)
+    shelf = {n: {3: "T1", 7: None}.get(n, f"T{n}") for n in range(1, 15)}  # its places are those of the numbers
+    seen = {1: [1], 2: [4, 5], 3: [5, 6, 8], 4: [9, 10, 11, 12], 5: [13, 14], 6: [*shelf], 7: [2], 8: [40], None: [2]}
+    lent = [(c, n) for c, numbers in seen.items() for n in numbers]
+    s = shop(
+        spark, film=[film(n, t) for n, t in shelf.items()] + [film(40, "Other")], inventory=[(n, n, 1) for n in (*shelf, 40)],
+        category=[(1, "A"), (2, "B")], film_category=[*((n, 1) for n in shelf), (40, 2)], customer=FILMS["customer"],
+        rental=[rental(n, c, "2005-01-01", copy) for n, (c, copy) in enumerate(lent)],
+    )
+    shown = Recommendations(s).factored().settled().expand()
+    want = []
+    for c, numbers in seen.items():
+        titles = {shelf.get(n) for n in numbers if c is not None} - {None}
+        want += [(c, "A", t, n) for n, t in shelf.items() if c != 8 and t not in titles]
+    assert sorted(map(str, map(tuple, shown.collect()))) == sorted(map(str, want))
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    written = plan[plan.index("Generate inline") :].split("\n")[0]
+    assert "slice(" in written and "lambda" not in written  # no film is asked who has seen it
+
+
 def test_sums_are_added_without_looking_for_keys(spark, tmp_path, monkeypatch):
     replaced, replace = [], Change.replace
     monkeypatch.setattr(Change, "replace", lambda self, table, *rest: (replaced.append(table), replace(self, table, *rest))[1])
